@@ -6,14 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadlens.llm import audio
 from leadlens.llm.common import table
 from leadlens.llm.minhash import near_duplicates
+from leadlens.llm.packing import best_fit_pack
+from leadlens.llm.sharding import shard_documents
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.store_texts(table(spark, sf_dir, "documents")))
+
+
+def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -38,6 +60,9 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT id, min(low) AS low FROM
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_telephony_audio": op3_telephony_audio,
+        "op6_karmarkar_karp_shards": op6_karmarkar_karp_shards,
     }
 
 
