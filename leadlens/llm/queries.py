@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadlens.llm import audio
 from leadlens.llm.common import table
+from leadlens.llm.html_text import extract_text
 from leadlens.llm.minhash import near_duplicates
 from leadlens.llm.packing import best_fit_pack
 from leadlens.llm.sharding import shard_documents
+from leadlens.llm.toxicity import score_toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +38,14 @@ def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -63,6 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_telephony_audio": op3_telephony_audio,
         "op6_karmarkar_karp_shards": op6_karmarkar_karp_shards,
+        "op8_toxicity": op8_toxicity,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
