@@ -11,6 +11,7 @@ from leadlens.llm.common import table
 from leadlens.llm.html_text import extract_text
 from leadlens.llm.minhash import near_duplicates
 from leadlens.llm.packing import best_fit_pack
+from leadlens.llm.pii import find_spans
 from leadlens.llm.sharding import shard_documents
 from leadlens.llm.toxicity import score_toxicity
 
@@ -34,6 +35,10 @@ def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_telephony_audio": op3_telephony_audio,
+        "op4_personal_data": op4_personal_data,
         "op6_karmarkar_karp_shards": op6_karmarkar_karp_shards,
         "op8_toxicity": op8_toxicity,
         "op10_html_extraction": op10_html_extraction,
