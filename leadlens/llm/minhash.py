@@ -3,8 +3,8 @@
 Each document's shingle set is reduced to minwise tokens. In every tree a document walks from the root to the
 children named by the minwise tokens that the node selects; the node's own hash decides how many (1.25 on average, so
 that a pair at the target similarity of 0.8 keeps one common path in expectation). Nodes that are small enough are
-compared exhaustively on sketches, larger ones branch again, and what is still large at the greatest depth is linked
-to one member. Independent trees are repeated. That leaves groups that hold all links the trees found; within them the
+compared exhaustively on sketches, larger ones branch again unless most of their members are near the first. Those, and
+what is still large at the greatest depth, are linked to one member. Independent trees are repeated. That leaves groups that hold all links the trees found; within them the
 links are confirmed on the full shingle sets, in chunks of bounded size.
 """
 
@@ -21,7 +21,7 @@ from leadlens.llm.common import buffers, mix, saved, shingle_sets, slices, utf8,
 from leadlens.llm.components import components
 
 #: Independent trees: a pair at similarity 0.8 shares a path of three steps in one tree with probability 0.64.
-TREES = 16
+TREES = 12
 DEPTH, DEEPEST = 3, 9
 FUNCTIONS = 128
 NODE_ROWS = 128
@@ -96,7 +96,7 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
         row, node = children(np.arange(batch.num_rows), batch.column("node").to_numpy().view(np.uint64), sig)
-        yield pa.record_batch([batch.column(c).take(pa.array(row)) for c in ("rep", "n", "s1", "s2")] + [pa.array(node.view(np.int64))], ["rep", "n", "s1", "s2", "node"])
+        yield pa.record_batch([batch.column("rep").take(pa.array(row)), pa.array(node.view(np.int64))], ["rep", "node"])
 
 
 class Sets:
@@ -217,34 +217,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     signed = saved(docs.mapInArrow(_sign(words), "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, sig binary, nodes array<long>"))
     same = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = signed.where("n > 0").join(same.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+    chosen = signed.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "nodes").join(same.select("rep"), "rep", "left_semi")
+    kept = saved(chosen.dropDuplicates(["rep"]))
+    reps = kept.drop("nodes")
 
-    nodes = reps.select("rep", "n", "s1", "s2", F.explode("nodes").alias("node"))
+    nodes = kept.select("rep", F.explode("nodes").alias("node"))
     links = None
     for depth in range(DEPTH, DEEPEST + 1):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
         shared = saved(nodes.join(sizes, "node"))
-        small = shared.where(f"rows <= {NODE_ROWS}").select("node", "rep", "n", "s1", "s2").repartition("node").sortWithinPartitions("node")
+        small = shared.where(f"rows <= {NODE_ROWS}").select("node", "rep").join(reps, "rep").repartition("node").sortWithinPartitions("node")
         found = small.mapInArrow(_near_in_nodes(percent), "a long, b long").distinct()
         hot = shared.where(f"rows > {NODE_ROWS}")
         ended = hot.isEmpty()
-        if not ended and depth == DEEPEST:
-            found = found.union(hot.where("rep != hub").select("hub", "rep").distinct())
+        if not ended:
+            dense = saved(_dense(hot, reps)) if depth < DEEPEST else hot.select("node").distinct()
+            found = found.union(hot.join(dense, "node", "left_semi").where("rep != hub").select("hub", "rep").distinct())
+            hot = saved(hot.join(dense, "node", "left_anti"))
+            ended = hot.isEmpty()
         links = found if links is None else links.union(found)
-        if ended:
+        if ended or depth == DEEPEST:
             break
-        nodes = hot.select("rep", "node").join(reps, "rep").select("rep", "n", "s1", "s2", "sig", "node").mapInArrow(_descend, "rep long, n long, s1 long, s2 long, node long")
+        signatures = signed.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+        nodes = hot.select("rep", "node").join(signatures, "rep").mapInArrow(_descend, "rep long, node long")
 
     blobs = components(links).withColumnsRenamed({"id": "rep", "label": "blob"})
     sized = blobs.join(reps.select("rep", "n"), "rep")
     parts = sized.groupBy("blob").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_ROWS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("parts"))
     dealt = saved(sized.join(parts, "blob").select("rep", "blob", "parts", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("chunk")))
+    texts = saved(docs.join(dealt.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     # The first member of a split group stands in each of its chunks, so that most of them grow together at once.
     guests = parts.where("parts > 1").select(F.col("blob").alias("rep"), "blob", "parts", F.explode(F.expr("sequence(0, parts - 1)")).alias("chunk"))
     one = dealt.join(guests.select("rep", "chunk").withColumn("guest", F.lit(True)), ["rep", "chunk"], "left_anti").unionByName(guests)
-    exact = saved(_confirmed(docs, one.select("rep", "blob", "chunk", F.lit(0).alias("other")), words, percent))
+    exact = saved(_confirmed(texts, one.select("rep", "blob", "chunk", F.lit(0).alias("other")), words, percent))
     if not dealt.where("parts > 1").isEmpty():
-        exact = exact.union(_across_chunks(docs, dealt.where("parts > 1"), exact, words, percent))
+        exact = exact.union(_across_chunks(texts, dealt.where("parts > 1"), exact, words, percent))
 
     joined = components(exact).withColumnsRenamed({"id": "rep", "label": "low"})
     whole = signed.select("doc_id", "n", "f1", "f2").dropDuplicates(["doc_id"]).join(same, ["f1", "f2", "n"], "left")
@@ -252,6 +259,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return whole.join(joined, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), (F.col("doc_id") == top).alias("kept"))
 
 
+def _dense(hot: DataFrame, reps: DataFrame) -> DataFrame:
+    """Large nodes whose members are mostly near their first one: to branch them would only repeat them. All their members
+    are linked to the first, which loses nothing, as links are confirmed later."""
+    hubs = hot.select("node", F.col("hub").alias("rep")).distinct().join(reps.select("rep", F.col("s1").alias("h1"), F.col("s2").alias("h2")), "rep").drop("rep")
+    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("h1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("h2")))
+    return hot.join(hubs, "node").groupBy("node").agg(F.avg((differ <= SKETCH_BITS).cast("int")).alias("near")).where("near >= 0.5").select("node")
+
+
 def _across_chunks(docs: DataFrame, dealt: DataFrame, exact: DataFrame, words: int, percent: int) -> DataFrame:
     """The links of split groups that lie across chunks: members outside the group's largest class against all others."""
     known = components(exact).withColumnsRenamed({"id": "rep"})
