@@ -13,6 +13,7 @@ from leadlens.llm.minhash import near_duplicates
 from leadlens.llm.packing import best_fit_pack
 from leadlens.llm.pii import find_spans
 from leadlens.llm.sharding import shard_documents
+from leadlens.llm.suffix import remove_repeats
 from leadlens.llm.toxicity import score_toxicity
 
 
@@ -47,6 +48,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_personal_data": op4_personal_data,
         "op6_karmarkar_karp_shards": op6_karmarkar_karp_shards,
         "op8_toxicity": op8_toxicity,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_html_extraction": op10_html_extraction,
     }
 
