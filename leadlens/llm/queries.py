@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadlens.llm import audio
+from leadlens.llm.ann import near_embeddings
 from leadlens.llm.common import table
 from leadlens.llm.html_text import extract_text
 from leadlens.llm.minhash import near_duplicates
@@ -44,6 +45,10 @@ def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_telephony_audio": op3_telephony_audio,
         "op4_personal_data": op4_personal_data,
         "op6_karmarkar_karp_shards": op6_karmarkar_karp_shards,
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_html_extraction": op10_html_extraction,
