@@ -158,7 +158,7 @@ def features(payloads: list[bytes]) -> list[str]:
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text"):
             texts = part.column("text").to_pylist()
             media = [riff(t + b"\xff" * (-len(t) % UNIT or (UNIT if not t else 0)), "mulaw") for t in texts]
             back = [unriff(m)[2] for m in media]
@@ -173,20 +173,24 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _input(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
     """Texts as mu-law media, read back: doc_id, n_bytes, payload, media, feature.
 
     The payload is the UTF-8 text with bytes 255 up to a positive multiple of 576. Null text counts as empty. Repeated
     rows and rows without an id are kept as they are.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, payload binary, media binary, feature string")
+    return _input(docs).mapInArrow(_store, "doc_id long, n_bytes long, payload binary, media binary, feature string")
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """Sizes and checksums of what store_texts() returns, computed in one pass without moving the media."""
+def digests(docs: DataFrame) -> DataFrame:
+    """Sizes and checksums of what store_texts() returns for docs, in the pass that stores and reads: the media don't move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _store(batches):
             payload, media = (batch.column(c).to_pylist() for c in ("payload", "media"))
             yield pa.record_batch(
                 {
@@ -201,4 +205,4 @@ def digests(stored: DataFrame) -> DataFrame:
                 }
             )
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _input(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -34,7 +34,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.store_texts(table(spark, sf_dir, "documents")))
+    return audio.digests(table(spark, sf_dir, "documents"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
