@@ -41,11 +41,23 @@ class WordBpe:
             out.update((w, raw[4 * a + 4 : 4 * b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
         return out
 
+    def _complete(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words; a mark at the end of a word is a piece of its own, so that the word before it may be known."""
+        known = self.known
+        split = {w for w in words if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isalpha()}
+        bare = {w[:-1] for w in split} | {w[-1] for w in split} | (words - split)
+        out = self._new([w for w in bare if w not in known])
+        get = lambda w: known[w] if w in known else out[w]
+        out.update([(w, get(w[:-1]) + get(w[-1])) for w in split])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, as the tokenizer gives them without special tokens."""
-        words = [None if _ODD.search(t) else t.split() for t in texts]
+        # The vocabulary is lower case; only a capital sigma is lowered by its place in the word.
+        words = [None if _ODD.search(t) else (t if "\u03a3" in t else t.lower()).split() for t in texts]
         known = self.known
-        new = self._new(list({w for ws in words if ws for w in ws if w not in known}))
+        missing = {w for ws in words if ws for w in ws if w not in known}
+        new = self._complete(missing) if missing else {}
         if len(known) < KEPT_WORDS:
             known.update(new)
             new = known
