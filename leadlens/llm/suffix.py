@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of ``text``; a character that loses some of its bytes goes as a whole.
 
-    Other columns stay. Null texts stay null; rows without a doc_id go, as they have no order.
+    Other columns stay. Null texts stay null. Rows without a doc_id have no order and stay as they are.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     done = remove_repeats(docs.withColumn("_null", F.col("text").isNull()), keep=[*others, "_null"])
@@ -340,4 +340,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others] + ["_null boolean"])
     rows = done.withColumn("_row", F.from_json(F.col("row_key").cast("string"), kind))
     text = F.when(~F.col("_row._null"), readable("kept"))
-    return rows.select(*(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id") if c == "doc_id" else text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    done = rows.select(*(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id") if c == "doc_id" else text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    return done.unionByName(docs.where("doc_id is null"))
