@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlens.llm import audio
+from leadlens.llm import audio, spiece
 from leadlens.llm.ann import near_embeddings
 from leadlens.llm.common import table
 from leadlens.llm.html_text import extract_text
@@ -41,6 +41,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), as_ids=False)
+
+
 def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_telephony_audio": op3_telephony_audio,
         "op4_personal_data": op4_personal_data,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_karmarkar_karp_shards": op6_karmarkar_karp_shards,
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_toxicity": op8_toxicity,
