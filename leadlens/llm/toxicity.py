@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import slices, utf8
+from leadlens.llm.common import saved, slices, utf8
 
 #: Labelled documents that lexicon and weights are fitted on: those with the least hash of their id.
-FIT_DOCUMENTS = 20_000
+FIT_DOCUMENTS = 12_000
 #: Terms of the lexicon, and the departure from chance (G squared) that a term needs.
-TERMS, LEAST_G2 = 1000, 20.0
+TERMS, LEAST_G2 = 300, 20.0
 STEM_LENGTHS = (4, 5, 6)
+#: Characters at the start of a text by which copies are told in the sample.
+OPENING = 64
 #: Words on each side of a hit that make its context.
 WINDOW = 8
 THRESHOLD = 0.3
@@ -64,24 +67,32 @@ class Trie:
                 best = what
         return best
 
-    def near(self, word: str, edits: int = 1) -> float:
-        """The weight of the heaviest whole term within ``edits`` edits, or 0.
+    def _tail(self, at: int, word: str) -> float:
+        """The weight of the term that ends exactly where ``word`` does, from a node on, or 0."""
+        for ch in word:
+            at = self.next[at].get(ch, -1)
+            if at < 0:
+                return 0.0
+        return self.end[at][0] if self.end[at] else 0.0
+
+    def near(self, word: str) -> float:
+        """The weight of the heaviest term one edit from ``word``, or 0.
 
-        The automaton of the word runs along the trie: a state is the row of edit distances between the word's
-        prefixes and the path so far; paths whose row has no entry within reach are left.
+        The Levenshtein automaton of the word has an exact and an edited state; along the trie's exact path each node is
+        left once by a dropped, a changed and an added letter, and from there on only the exact rest is accepted.
         """
-        best, stack = 0.0, [(0, list(range(len(word) + 1)))]
-        while stack:
-            at, row = stack.pop()
-            what = self.end[at]
-            if what and not what[1] and row[-1] <= edits and what[0] > best:
-                best = what[0]
+        best, at = 0.0, 0
+        for i in range(len(word) + 1):
+            rest = word[i + 1 :]
+            if i < len(word):
+                best = max(best, self._tail(at, rest))
             for ch, to in self.next[at].items():
-                step = [row[0] + 1]
-                for i, own in enumerate(word, 1):
-                    step.append(min(step[-1] + 1, row[i] + 1, row[i - 1] + (own != ch)))
-                if min(step) <= edits:
-                    stack.append((to, step))
+                best = max(best, self._tail(to, word[i:]))
+                if i < len(word) and ch != word[i]:
+                    best = max(best, self._tail(to, rest))
+            at = self.next[at].get(word[i], -1) if i < len(word) else -1
+            if at < 0:
+                return best
         return best
 
 
@@ -114,7 +125,7 @@ class Model:
         if what:
             return (2 if what[1] else 1), what[0]
         if any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes):
-            w = self.near.near(word, 1)
+            w = self.near.near(word)
             if w:
                 return 3, w
         return 0, 0.0
@@ -165,16 +176,14 @@ def g_squared(a: int, b: int, toxic: int, clean: int) -> float:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each document, and distinct stems of them, each once."""
+    """How many clean and toxic documents of a batch have each word, and each stem of words."""
     for batch in batches:
-        out: tuple[list, list] = ([], [])
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = set(_WORD.findall((text or "").lower()))
-            stems = {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) >= k}
-            for t in words | stems:
-                out[0].append(t)
-                out[1].append(toxic)
-        yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], ["term", "toxic"])
+            counts[toxic].update(words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) >= k})
+        for toxic, c in enumerate(counts):
+            yield pa.record_batch([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "n"])
 
 
 def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, tuple[float, bool]]:
@@ -186,12 +195,16 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     ranked = sorted(kept.items(), key=lambda x: (-x[1][0], x[0]))
     out: dict[str, tuple[float, bool]] = {}
     words = {t: v for t, v in ranked if not t.endswith("*")}
-    for term, (g, w) in ranked[:TERMS]:
+    stems: tuple[str, ...] = ()
+    for term, (g, w) in ranked:
+        if len(out) == TERMS or term.rstrip("*").startswith(stems):
+            continue  # what a chosen stem opens is found by it
         if term.endswith("*"):
             stem = term[:-1]
             below = max((v[0] for t, v in words.items() if t.startswith(stem)), default=0)
             if g > 1.2 * below:
                 out[stem] = (w, True)
+                stems += (stem,)
         else:
             out.setdefault(term, (w, False))
     return out
@@ -232,8 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         share = (toxic + 0.1) / (len(rows) + 1)
         return Model({}, [0.0] * len(FEATURES), math.log(share / (1 - share)))
     known = docs.sparkSession.createDataFrame(rows, "doc_id long, toxic long")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    counts = sample.select("text", "toxic").mapInArrow(_terms, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    # Copies of one document would make its rare words look like terms: one stands for all that open alike.
+    one = found.groupBy(F.substring(F.coalesce("text", F.lit("")), 1, OPENING).alias("opening")).agg(F.min(F.struct("doc_id", "text", "toxic")).alias("x"))
+    sample = saved(one.select("x.text", "x.toxic"))
+    counts = sample.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, n long").groupBy("term").agg(F.sum(F.col("toxic") * F.col("n")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("b"))
     # 3 of 4 terms of a corpus stand in one or two documents; no such term reaches LEAST_G2.
     bound = counts.where((F.col("a") >= 3) & (F.col("a") * clean > 3 * F.col("b") * toxic)).orderBy(F.desc("a"), "term").limit(20 * TERMS)
     model = Model(choose_terms([(r.term, r.a, r.b) for r in bound.collect()], toxic, clean))
