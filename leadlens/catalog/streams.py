@@ -1,0 +1,35 @@
+"""The event streams over the events table, run to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leadlens.registry import Tables, query
+from leadlens.streaming import jobs
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_tail_counts(t: Tables) -> DataFrame:
+    return jobs.drained(jobs.event_stream(t.spark, t.folder).groupBy("event_type").count().withColumnRenamed("count", "n"), "complete")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def stream_dedupe(t: Tables) -> DataFrame:
+    rows = jobs.event_stream(t.spark, t.folder)
+    return jobs.drained(jobs.deduped(rows.union(rows), ["event_id"], "60 days").select("event_id"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS units FROM events GROUP BY 1, 2")
+def stream_window_day(t: Tables) -> DataFrame:
+    return jobs.drained(jobs.per_window(jobs.event_stream(t.spark, t.folder), "1 day"), "update").groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max("n").alias("n"), F.max_by("units", "n").alias("units"))
+
+
+@query("SELECT user_id, count(*) AS n, max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'search' THEN 2 WHEN 'cart' THEN 3 WHEN 'purchase' THEN 4 ELSE -1 END) AS furthest FROM events GROUP BY 1")
+def stream_user_state(t: Tables) -> DataFrame:
+    return jobs.drained(jobs.counters(jobs.event_stream(t.spark, t.folder)), "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("furthest").alias("furthest"))
+
+
+@query()
+def stream_sessions(t: Tables) -> DataFrame:
+    return jobs.drained(jobs.sessions(jobs.event_stream(t.spark, t.folder)))
