@@ -264,7 +264,7 @@ def _dense(hot: DataFrame, reps: DataFrame) -> DataFrame:
     are linked to the first, which loses nothing, as links are confirmed later."""
     hubs = hot.select("node", F.col("hub").alias("rep")).distinct().join(reps.select("rep", F.col("s1").alias("h1"), F.col("s2").alias("h2")), "rep").drop("rep")
     differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("h1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("h2")))
-    return hot.join(hubs, "node").groupBy("node").agg(F.avg((differ <= SKETCH_BITS).cast("int")).alias("near")).where("near >= 0.5").select("node")
+    return hot.join(reps.select("rep", "s1", "s2"), "rep").join(hubs, "node").groupBy("node").agg(F.avg((differ <= SKETCH_BITS).cast("int")).alias("near")).where("near >= 0.5").select("node")
 
 
 def _across_chunks(docs: DataFrame, dealt: DataFrame, exact: DataFrame, words: int, percent: int) -> DataFrame:
