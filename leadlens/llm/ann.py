@@ -175,7 +175,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     taken = reps.select("v").orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).toPandas()["v"].tolist()
     dims = [len(v) for v in taken]
     dim = max(set(dims), key=dims.count) if dims else 0
-    sample = np.array([v for v in taken if len(v) == dim], np.float64).reshape(-1, dim)
+    sample = np.array([v for v in taken if len(v) == dim], np.float64).reshape(-1, dim) if dim else np.zeros((0, 0))
     quantiser = Quantiser(sample / np.linalg.norm(sample, axis=1, keepdims=True) if dim else sample)
 
     indexed = saved(reps.select("rep", "label", "copies", "v").mapInArrow(_index(quantiser), "rep long, label string, copies long, v array<double>, dim int, keys array<int>"))

@@ -186,13 +186,14 @@ def encode(docs: DataFrame, model: str, as_ids: bool = True) -> DataFrame:
 def decode(encoded: DataFrame, spark: SparkSession, model: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids) by a join of ids to the piece table, in order; byte pieces give their bytes.
 
-    No ids give an empty text; rows with equal doc_id are told apart by their ids.
+    No ids give an empty text; repeated rows and rows without an id stay.
     """
     pieces = Pieces.load(model)
     rows = [(i, bytearray(t.encode())) for t, i, _ in pieces.rows] + [(pieces.byte0 + b, bytearray([b])) for b in range(256)]
     table = F.broadcast(spark.createDataFrame(rows, "id int, raw binary"))
-    one = encoded.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).select("doc_id", "ids", F.posexplode_outer("ids").alias("at", "id"))
-    joined = one.join(table, "id", "left").groupBy("doc_id", "ids").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("raw").alias("raw")))).alias("x"))
+    rows = encoded.groupBy("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).agg(F.count("*").alias("copies"))
+    one = rows.select("doc_id", "ids", "copies", F.posexplode_outer("ids").alias("at", "id"))
+    joined = one.join(table, "id", "left").groupBy("doc_id", "ids", "copies").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("raw").alias("raw")))).alias("x"))
     whole = F.expr("decode(unhex(array_join(transform(x, y -> y.raw), '')), 'UTF-8')")
     text = F.regexp_replace(F.coalesce(whole, F.lit("")), SPACE, " ")
-    return joined.select("doc_id", F.substring(text, 2, 2147483647).alias("text"))
+    return joined.select("doc_id", F.substring(text, 2, 2147483647).alias("text"), F.explode(F.expr("sequence(1, cast(copies as int))")).alias("copy")).drop("copy")
