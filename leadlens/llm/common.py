@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Seconds between two requests to the driver's garbage collector.
+RELEASE_S = 2
+_released = [0.0]
+
+
+def release(spark: SparkSession) -> None:
+    """Executors keep the files of a shuffle until the driver's JVM finds that no plan needs it; have it look, now and then."""
+    if time.monotonic() - _released[0] > RELEASE_S:
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation of what came before."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadlens-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
 
 
 def utf8(col: str | Column = "text") -> Column:
