@@ -50,15 +50,15 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def children(row: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, node) one step down: each node names one function, one in four names a second."""
+def children(row: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, node, parent) one step down: each node names one function, one in four names a second."""
     out = []
     for branch in (1, 2):
         pick = mix(node + np.uint64(branch))
         keep = slice(None) if branch == 1 else (pick >> np.uint64(40)) % np.uint64(4) == 0
         r, n, f = row[keep], node[keep], (pick[keep] % np.uint64(FUNCTIONS)).astype(np.int64)
-        out.append((r, mix(mix(n * np.uint64(3) + f.astype(np.uint64)) + sig[r, f])))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+        out.append((r, mix(mix(n * np.uint64(3) + f.astype(np.uint64)) + sig[r, f]), n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _sign(words: int):
@@ -70,7 +70,7 @@ def _sign(words: int):
                 sig = np.array([minwise(s) for s in sets], np.uint32)
                 row, node = np.repeat(np.arange(len(sets)), TREES), np.tile(roots, len(sets))
                 for _ in range(DEPTH):
-                    row, node = children(row, node, sig)
+                    row, node, _ = children(row, node, sig)
                 order = np.argsort(row, kind="stable")
                 starts = np.searchsorted(row[order], np.arange(len(sets) + 1))
                 sketch = sketches(sig)
@@ -91,12 +91,15 @@ def _sign(words: int):
 
 
 def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All paths below the given nodes, to the greatest depth: at most 126 steps for a row, 14 on average."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-        row, node = children(np.arange(batch.num_rows), batch.column("node").to_numpy().view(np.uint64), sig)
-        yield pa.record_batch([batch.column("rep").take(pa.array(row)), pa.array(node.view(np.int64))], ["rep", "node"])
+        row, node = np.arange(batch.num_rows), batch.column("node").to_numpy().view(np.uint64)
+        for depth in range(DEPTH + 1, DEEPEST + 1):
+            row, node, parent = children(row, node, sig)
+            yield pa.record_batch([batch.column("rep").take(pa.array(row)), pa.array(parent.view(np.int64)), pa.array(node.view(np.int64)), pa.array(np.full(len(row), depth, np.int32))], ["rep", "parent", "node", "depth"])
 
 
 class Sets:
@@ -222,7 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     reps = kept.drop("nodes")
 
     nodes = kept.select("rep", F.explode("nodes").alias("node"))
-    links = None
+    links = paths = None
     for depth in range(DEPTH, DEEPEST + 1):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
         shared = saved(nodes.join(sizes, "node"))
@@ -238,14 +241,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         links = found if links is None else links.union(found)
         if ended or depth == DEEPEST:
             break
-        signatures = signed.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
-        nodes = hot.select("rep", "node").join(signatures, "rep").mapInArrow(_descend, "rep long, node long")
+        if paths is None:
+            signatures = signed.select(F.col("doc_id").alias("rep"), "sig")
+            paths = saved(hot.select("rep", "node").join(signatures, "rep").mapInArrow(_descend, "rep long, parent long, node long, depth int").distinct())
+        parents = hot.select(F.col("node").alias("parent")).distinct()
+        nodes = paths.where(F.col("depth") == depth + 1).join(parents, "parent", "left_semi").select("rep", "node")
 
     blobs = components(links).withColumnsRenamed({"id": "rep", "label": "blob"})
     sized = blobs.join(reps.select("rep", "n"), "rep")
     parts = sized.groupBy("blob").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_ROWS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("parts"))
     dealt = saved(sized.join(parts, "blob").select("rep", "blob", "parts", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("chunk")))
-    texts = saved(docs.join(dealt.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    # The members grow with the corpus, so that they are never broadcast, not even while they are few.
+    members = dealt.select(F.col("rep").alias("doc_id")).hint("merge")
+    texts = saved(docs.join(members, "doc_id", "left_semi"))
     # The first member of a split group stands in each of its chunks, so that most of them grow together at once.
     guests = parts.where("parts > 1").select(F.col("blob").alias("rep"), "blob", "parts", F.explode(F.expr("sequence(0, parts - 1)")).alias("chunk"))
     one = dealt.join(guests.select("rep", "chunk").withColumn("guest", F.lit(True)), ["rep", "chunk"], "left_anti").unionByName(guests)
