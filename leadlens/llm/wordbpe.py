@@ -12,7 +12,7 @@ import numpy as np
 _ODD_POINTS = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
 _ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]|<[|]")
 #: Words kept by a worker.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 
 
 class WordBpe:
@@ -35,7 +35,7 @@ class WordBpe:
         out = {}
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             raw = ids.tobytes()
             out.update((w, raw[4 * a + 4 : 4 * b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
@@ -55,12 +55,17 @@ class WordBpe:
         """Little-endian 32-bit ids of each text, as the tokenizer gives them without special tokens."""
         # The vocabulary is lower case; only a capital sigma is lowered by its place in the word.
         words = [None if _ODD.search(t) else (t if "\u03a3" in t else t.lower()).split() for t in texts]
-        known = self.known
-        missing = {w for ws in words if ws for w in ws if w not in known}
-        new = self._complete(missing) if missing else {}
-        if len(known) < KEPT_WORDS:
-            known.update(new)
-            new = known
-        else:
-            new |= {w: known[w] for ws in words if ws for w in set(ws) if w in known}
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if ws is None else b"".join([new[w] for w in ws]) for t, ws in zip(texts, words, strict=True)]
+        known, out, late = self.known, [], []
+        for i, (t, ws) in enumerate(zip(texts, words, strict=True)):
+            try:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if ws is None else b"".join(map(known.__getitem__, ws)))
+            except KeyError:
+                out.append(b"")
+                late.append(i)
+        if late:
+            new = self._complete(set().union(*(words[i] for i in late)) - known.keys())
+            if len(known) < KEPT_WORDS:
+                known.update(new)
+            for i in late:
+                out[i] = b"".join([known[w] if w in known else new[w] for w in words[i]])
+        return out
