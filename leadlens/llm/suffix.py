@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import buffers, mix, prefix_hash, range_hash, slices, utf8, whole_groups
+from leadlens.llm.common import buffers, mix, powers, prefix_hash, range_hash, slices, utf8, whole_groups
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
@@ -32,25 +32,27 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     if n < LENGTH:
         return {k: np.zeros(0, t) for k, t in (("doc", np.int64), ("first", np.int64), ("last", np.int64), ("anchor", np.int64), ("h", np.uint64), ("s", np.uint64))}
     prefix = prefix_hash(data)
-    at = np.arange(n - GRAM + 1)
-    gram = range_hash(prefix, at, at + GRAM)
-    low = (gram & ~_PLACE) | at.astype(np.uint64)  # equal grams: the first in the window
+    # range_hash of every gram, without gathering by index
+    gram = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix), True)[: n - GRAM + 1] + np.uint64(GRAM))
+    low = (gram & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)  # equal grams: the first in the window
     size = 1
     while 2 * size <= SPAN:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < SPAN:
         low = np.minimum(low[: len(low) - (SPAN - size)], low[SPAN - size :])
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: n - LENGTH + 1]
-    start = np.flatnonzero(np.arange(n - LENGTH + 1) + LENGTH <= offsets[doc + 1])
+    windows = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+    begin = np.cumsum(windows) - windows
+    start = np.repeat(offsets[:-1] - begin, windows) + np.arange(windows.sum())
     anchor = (low[start] & _PLACE).astype(np.int64)
     new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[start[1:]] != doc[start[:-1]])
+    new[1:] = anchor[1:] != anchor[:-1]
+    new[begin[windows > 0]] = True
     head = np.flatnonzero(new)
     first, last = start[head], start[np.append(head[1:], len(start)) - 1] if len(head) else start[:0]
     anchor = anchor[head]
     whole = range_hash(prefix, first, last + LENGTH)
-    return {"doc": doc[first], "first": first, "last": last, "anchor": anchor, "h": gram[anchor], "s": mix(whole + (anchor - first).astype(np.uint64))}
+    return {"doc": np.searchsorted(offsets, first, "right") - 1, "first": first, "last": last, "anchor": anchor, "h": gram[anchor], "s": mix(whole + (anchor - first).astype(np.uint64))}
 
 
 class Block:
