@@ -42,6 +42,16 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+_memory: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """What ``owner`` keeps in this worker process. Workers outlive stages, so that what other operators kept goes."""
+    for other in [k for k in _memory if k != owner]:
+        del _memory[other]
+    return _memory.setdefault(owner, {})
+
+
 def utf8(col: str | Column = "text") -> Column:
     """A text column as its UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

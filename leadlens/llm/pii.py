@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import slices, utf8
+from leadlens.llm.common import remembered, slices, utf8
 
 #: An address is `[A-Za-z0-9._%+-]+@` and this: the local part is looked for from the "@" back, in time linear in the text.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -192,6 +192,7 @@ def train(counts: dict[Pattern, int]) -> Classifier:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembered("pii")
     for batch in batches:
         seen: dict[tuple[str, str], int] = {}
         for text in batch.column("text").to_pylist():

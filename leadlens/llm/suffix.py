@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import buffers, mix, powers, prefix_hash, range_hash, slices, utf8, whole_groups
+from leadlens.llm.common import buffers, mix, powers, prefix_hash, range_hash, remembered, slices, utf8, whole_groups
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
@@ -101,6 +101,7 @@ _ANSWERS = "block long, kind int, at long, payload binary"
 
 def _send(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        remembered("suffix")
         b = Block(table, buckets)
         lo, hi = b.bounds[:-1].tolist(), b.bounds[1:].tolist()
         low, s6 = b.h.astype(np.uint32), b.s.view(np.uint8).reshape(-1, 8)[:, :6]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import saved, slices, utf8
+from leadlens.llm.common import remembered, saved, slices, utf8
 
 #: Labelled documents that lexicon and weights are fitted on: those with the least hash of their id.
 FIT_DOCUMENTS = 12_000
@@ -176,6 +176,7 @@ def g_squared(a: int, b: int, toxic: int, clean: int) -> float:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembered("toxicity")
     """How many clean and toxic documents of a batch have each word, and each stem of words."""
     for batch in batches:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -273,6 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity")
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 x = np.array([model.features(t) for t in part.column("text").cast(pa.string()).to_pylist()])
@@ -288,6 +290,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(texts):
+        remembered("toxicity")
         return texts.fillna("").map(lambda t: float(model.scores(np.array(model.features(t)))) < THRESHOLD)
 
     return docs.where(clean("text"))

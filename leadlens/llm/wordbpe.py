@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import cache
 
 import numpy as np
 
+from leadlens.llm.common import remembered
+
 #: White space that str.split() and the tokenizer may see differently, and the tokenizer's own markers: such texts go whole.
 _ODD_POINTS = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
 _ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]|<[|]")
@@ -27,9 +28,9 @@ class WordBpe:
         self.mark_id = self.tokenizer.token_to_id(self.mark)
 
     @staticmethod
-    @cache
     def load(path: str) -> WordBpe:
-        return WordBpe(path)
+        kept = remembered("packing")
+        return kept[path] if path in kept else kept.setdefault(path, WordBpe(path))
 
     def _new(self, words: list[str]) -> dict[str, bytes]:
         out = {}
