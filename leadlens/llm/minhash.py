@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import buffers, mix, saved, shingle_sets, slices, utf8, whole_groups
+from leadlens.llm.common import buffers, mix, remembered, saved, shingle_sets, slices, utf8, whole_groups
 from leadlens.llm.components import components
 
 #: Independent trees: a pair at similarity 0.8 shares a path of three steps in one tree with probability 0.64.
@@ -63,6 +63,7 @@ def children(row: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.nda
 
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("minhash")
         roots = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x51ED2701))
         for batch in batches:
             for part in slices(batch, "text"):
@@ -238,6 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             found = found.union(hot.join(dense, "node", "left_semi").where("rep != hub").select("hub", "rep").distinct())
             hot = saved(hot.join(dense, "node", "left_anti"))
             ended = hot.isEmpty()
+        found = saved(found)  # one plan a depth, so that the driver never holds one of all depths
         links = found if links is None else links.union(found)
         if ended or depth == DEEPEST:
             break
