@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8), the one with the least id; rows without an id stay."""
-    kept = near_duplicates(docs, words=5, similarity=0.8).where("kept").select("doc_id")
+    kept = saved(near_duplicates(docs, words=5, similarity=0.8).where("kept").select("doc_id"))
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 

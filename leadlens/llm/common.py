@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Seconds between two requests to the driver's garbage collector.
-RELEASE_S = 2
+RELEASE_S = 0.5
 _released = [0.0]
 
 
