@@ -2,7 +2,7 @@
 
 Every DOM node gets a density: its characters for each tag, less where many of them stand in links. The node whose
 children have the largest sum of densities is the core; the least density on its path to the body is the threshold
-that sibling content under the path must reach. Page furniture is dropped by element and role.
+that content anywhere else under the body must reach. Page furniture is dropped by element and role.
 """
 
 from __future__ import annotations
@@ -30,15 +30,19 @@ FURNITURE = frozenset("nav aside footer form script style noscript template ifra
 #: Words of a class, id or role that mark furniture; whole words between "-", "_" and case changes.
 ROLES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended recirc widget pagination pager skip search complementary contentinfo".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that win where two nodes have the same sum.
+MARKED = frozenset(["article", "main"])
+#: Furniture that a page doesn't show as text.
+UNSEEN = frozenset("head title script style noscript template iframe svg object embed canvas audio video".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "drop", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("blocks", "children", "density", "drop", "heads", "own", "parent", "peak", "shown", "sum", "tag")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False):
         self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = 0.0
+        self.blocks = self.heads = False
+        self.peak, self.density, self.sum = self, 0.0, 0.0
 
 
 def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -122,56 +126,104 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def densities(root: Node) -> list[Node]:
-    """Fill in counts and the composite text density of every node; returns the nodes, parents first."""
+def _density(counts: list[int], share: float) -> float:
+    """Composite text density of [characters, tags, characters in links, links]; share is that of link characters in the body."""
+    c, t, lc, lt = counts[0], *(max(1, x) for x in counts[1:])
+    if not c:
+        return 0.0
+    base = log(c / max(1, c - counts[2]) * counts[2] + share * c + e)
+    return c / t * log(max(1.0, c / lc * t / lt)) / max(1.0, log(base))
+
+
+def _counts(children: list[Node | str]) -> tuple[list[int], list[int]]:
+    """The counts of children together: without furniture, and as the page shows them."""
+    own, shown = [0] * 4, [0] * 4
+    for c in children:
+        if isinstance(c, str):
+            n = len(_WHITE.sub(" ", c).strip())
+            own[0] += n
+            shown[0] += n
+        elif not (c.drop and c.tag in UNSEEN):
+            link = c.tag == "a"
+            for out, x in ((shown, c.shown),) if c.drop else ((shown, c.shown), (own, c.own)):
+                out[0] += x[0]
+                out[1] += x[1] + 1
+                out[2] += x[0] if link else x[2]
+                out[3] += x[3] + link
+    return own, shown
+
+
+def _parts(node: Node) -> Iterator[Node | list[Node | str]]:
+    """The children of a node: blocks, and runs of the text and inline elements between them."""
+    run: list[Node | str] = []
+    for c in node.children:
+        if isinstance(c, str) or not (c.tag in BLOCK or c.blocks):
+            run.append(c)
+        else:
+            if run:
+                yield run
+                run = []
+            if not c.drop:
+                yield c
+    if run:
+        yield run
+
+
+def densities(root: Node) -> tuple[list[Node], float]:
+    """Fill in counts, density and peak (the node below with the largest sum of its children's densities) of every node.
+
+    Returns the nodes, parents first, and the body's share of link characters. Text between blocks counts as a child.
+    """
     nodes = _walk(root)
     for node in reversed(nodes):
-        for c in node.children:
-            if isinstance(c, str):
-                node.chars += len(_WHITE.sub(" ", c).strip())
-            elif not c.drop:
-                node.chars += c.chars
-                node.tags += c.tags + 1
-                node.link_chars += c.link_chars
-                node.link_tags += c.link_tags + (c.tag == "a")
-        if node.tag == "a":
-            node.link_chars = node.chars
+        node.own, node.shown = _counts(node.children)
+        inner = [c for c in node.children if isinstance(c, Node) and not c.drop]
+        node.blocks = any(c.tag in BLOCK or c.blocks for c in inner)
+        node.heads = node.tag in HEADINGS or (bool(inner) and all(c.heads for c in inner) and not any(isinstance(c, str) and c.strip() for c in node.children))
     body = next((n for n in nodes if n.tag == "body"), root)
-    share = body.link_chars / max(1, body.chars)
-    for node in nodes:
-        if node.chars and not node.drop:
-            c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-            base = log(c / max(1, c - node.link_chars) * node.link_chars + share * c + e)
-            node.density = c / t * log(max(1.0, c / lc * t / lt)) / max(1.0, log(base) if base > 1 else 1.0) if t > 1 or lc > 1 else float(c)
-    return nodes
-
-
-def core(root: Node) -> tuple[Node, float]:
-    """(node with the largest sum of its children's densities, least density on its path to the body)."""
-    nodes = densities(root)
-    best, most = root, -1.0
-    for node in nodes:
-        if not node.drop:
-            total = sum(c.density for c in node.children if isinstance(c, Node))
-            if total > most:
-                best, most = node, total
-    threshold, up = best.density, best
+    share = body.shown[2] / max(1, body.shown[0])
+    for node in reversed(nodes):
+        if node.drop:
+            continue
+        node.density = total = _density(node.own, share)
+        node.peak = node
+        if node.blocks:
+            total = 0.0
+            for x in _parts(node):
+                if isinstance(x, list):
+                    total += _density(_counts(x)[0], share)
+                else:
+                    total += x.density
+                    if x.sum > node.peak.sum or (x.sum == node.peak.sum and x.peak.tag in MARKED):
+                        node.peak, node.sum = x.peak, x.sum
+        if node.peak is node or total > node.sum or (total == node.sum and node.peak.tag not in MARKED):
+            node.peak, node.sum = node, total
+    return nodes, share
+
+
+def core(root: Node) -> tuple[Node, float, float]:
+    """(node with the largest sum of its children's densities, least density on its path to the body, share of link characters).
+
+    Furniture isn't text, but it thins out the nodes on the path, as the method has it.
+    """
+    nodes, share = densities(root)
+    body = next((n for n in nodes if n.tag == "body" and not n.drop), root)
+    best = up = body.peak if body.peak.sum else root.peak
+    threshold = min(up.density, _density(up.shown, share))
     while up.parent is not None and up.tag != "body":
         up = up.parent
-        threshold = min(threshold, up.density)
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is None:  # the only article of a page is its content, even if a part of the furniture is denser
-        marked = [n for n in nodes if n.tag in ("article", "main") and n.chars and not n.drop]
-        node = marked[0] if len(marked) == 1 else None
-    return node or best, threshold
+        threshold = min(threshold, up.density, _density(up.shown, share))
+    return best, threshold, share
 
 
 def main_text(page: str) -> str:
-    """The page's main text, one block a line."""
+    """The page's main text, one block a line.
+
+    From the body down, each node that reaches the threshold gives the densest node below it, on the core's path or off it.
+    A heading is too short for a density of its own and goes with the block or the text that follows it.
+    """
     root = parse(page)
-    top, threshold = core(root)
+    best, threshold, share = core(root)
     blocks: list[str] = []
     words: list[str] = []
 
@@ -181,23 +233,51 @@ def main_text(page: str) -> str:
         if line:
             blocks.append(line)
 
-    whole = top.tag in ("article", "main")
-    stack: list[Node | str | None] = [top]
+    path = set()
+    up: Node | None = best
+    while up is not None:
+        path.add(up)
+        up = up.parent
+    marked = {best}
+    stack: list[tuple[Node | str | None, bool]] = [(root, best is root)]
     while stack:
-        node = stack.pop()
+        node, whole = stack.pop()
         if node is None:
             flush()
-        elif isinstance(node, str):
+            continue
+        if isinstance(node, str):
             words.append(node)
-        elif node.drop or (not whole and node.parent is top and node.tag in ("div", "section", "ul", "ol", "table") and node.density < threshold):
             continue
-        elif node.tag == "br":
+        if node.drop:
+            continue
+        if not whole and node not in path and node.density >= threshold:
+            marked.add(node.peak)
+        whole = whole or node in marked
+        if node.tag == "br":
             words.append(" ")
-        else:
+            continue
+        if whole:
             if node.tag in BLOCK:
                 flush()
-                stack.append(None)
-            stack.extend(reversed(node.children))
+                stack.append((None, False))
+            stack.extend((c, True) for c in reversed(node.children))
+            continue
+        below: list[tuple[Node | str | None, bool]] = []
+        kept = False
+        for x in reversed(list(_parts(node))):
+            run = isinstance(x, list)
+            counts = _counts(x)[0] if run else x.own
+            if not counts[0]:
+                continue
+            if run or not x.heads:
+                kept = (not run and x in path) or _density(counts, share) >= threshold
+            if run:
+                below += [(None, False), *((c, True) for c in reversed(x)), (None, False)] if kept else []
+            else:
+                below.append((x, x.heads and kept))
+        flush()
+        stack.append((None, False))
+        stack.extend(below)
     flush()
     return "\n".join(blocks)
 

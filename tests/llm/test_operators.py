@@ -394,3 +394,25 @@ def test_html_query(spark):
     got = html_text.extract_text(spark.createDataFrame(data, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 61), ("1", 61), ("2", 0), ("None", 0)] and all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _page(inner):
+    return "<html><body><nav>" + '<a href="/x">menu</a>' * 12 + f"</nav>{inner}<footer>us</footer></body></html>"
+
+
+def test_html_density_decides():
+    def text(k, n):
+        return [f"Paragraph {k} {j} " + "has some words " * n + "in it." for j in range(3)]
+
+    def section(k, n):
+        return f"<section><h2>Part {k}</h2>" + "".join(f"<p>{x}</p>" for x in text(k, n)) + "</section>"
+
+    split = _page(f'<div>{section(1, 20)}{section(2, 8)}</div><div>{section(3, 12)}</div><div><a href="/a">one</a> <a href="/b">two</a></div>')
+    assert html_text.main_text(split).split("\n") == ["Part 1", *text(1, 20), "Part 2", *text(2, 8), "Part 3", *text(3, 12)]
+    body = "".join(f"<p>{x}</p>" for x in text(1, 15))
+    for title in ("<h1>A title</h1>", '<div class="top"><h1>A title</h1></div>'):
+        assert html_text.main_text(_page(f'{title}<div class="entry">{body}</div>')).split("\n") == ["A title", *text(1, 15)]
+    teaser = _page(f'<div class="content">{body}</div><div><article><h3>Teaser</h3><p>Read on</p></article></div>')
+    assert html_text.main_text(teaser).split("\n") == text(1, 15)
+    loose = _page(f'<div class="content">{text(1, 15)[0]}<br>and <b>more</b> text<p>{text(1, 15)[1]}</p></div>')
+    assert html_text.main_text(loose).split("\n") == [text(1, 15)[0] + " and more text", text(1, 15)[1]]
