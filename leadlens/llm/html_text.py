@@ -20,13 +20,15 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WHITE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp".split())
+#: Elements in which any other can be self-closed.
+FOREIGN = ("svg", "math")
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that close an open paragraph.
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An opening tag closes an open one of its set, up to the nearest of the limits.
 SAME = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
-FURNITURE = frozenset("nav aside footer form script style noscript template iframe svg math button select textarea input dialog menu head title object embed canvas audio video".split())
+FURNITURE = frozenset("nav aside footer form script style noscript template iframe svg button select textarea input dialog menu head title object embed canvas audio video".split())
 #: Words of a class, id or role that mark furniture; whole words between "-", "_" and case changes.
 ROLES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus respond reply replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended recirc widget pagination pager skip search complementary contentinfo".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -88,6 +90,13 @@ def parse(page: str) -> Node:
                     node = node.parent
                 close(node.parent)
             continue
+        foreign = next((x for x in FOREIGN if open_tags.get(x)), None)
+        if foreign and tag in BLOCK and not open_tags.get("foreignobject"):  # a drawing or formula that was never closed ends here
+            node = here
+            while node.tag != foreign:
+                node = node.parent
+            close(node.parent)
+            foreign = None
         if tag in ENDS_P and open_tags.get("p"):
             node = here
             while node.tag != "p":
@@ -102,7 +111,7 @@ def parse(page: str) -> Node:
                 close(node.parent)
         node = Node(tag, here, here.drop or _furniture(tag, m[3], articles > 0))
         here.children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (foreign and m[3].endswith("/")):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag in ("textarea", "title"):
                 node.children.append(page[at : end.start() if end else len(page)])

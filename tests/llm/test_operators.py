@@ -416,3 +416,15 @@ def test_html_density_decides():
     assert html_text.main_text(teaser).split("\n") == text(1, 15)
     loose = _page(f'<div class="content">{text(1, 15)[0]}<br>and <b>more</b> text<p>{text(1, 15)[1]}</p></div>')
     assert html_text.main_text(loose).split("\n") == [text(1, 15)[0] + " and more text", text(1, 15)[1]]
+
+
+def test_html_self_closed():
+    body = "".join(f"<p>Paragraph {j} of the text, with words enough for it.</p>" for j in range(3))
+    want = [f"Paragraph {j} of the text, with words enough for it." for j in range(3)]
+    for icon in ('<svg class="icon"/>', "<svg/>", "<math/>", '<svg><title>An icon</title><path d="M0 0"/><text>x</text></svg>', "<svg><path d='M0 0'></svg>", "<svg><style/><title/></svg>", "<svg><path/>"):
+        assert html_text.main_text(_page(f"{icon}<article>{body}</article>")).split("\n") == want
+        assert html_text.main_text(_page(f"<article><h1>Top</h1>{icon}{body}{icon}</article>")).split("\n") == ["Top", *want]
+        assert html_text.main_text(_page(f"<article>{icon}{body}</article><div><svg></svg></div>")).split("\n") == want
+    formula = "<math><mi>a</mi><mo>=</mo><mn>2</mn></math>"
+    assert html_text.main_text(_page(f"<article>{body}<p>Here {formula} holds.</p></article>")).split("\n") == [*want, "Here a=2 holds."]
+    assert html_text.main_text(_page(f"<script>if (a < '<svg/>') {{}}</script><article>{body}</article>")).split("\n") == want
