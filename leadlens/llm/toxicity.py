@@ -25,8 +25,6 @@ FIT_DOCUMENTS = 12_000
 #: Terms of the lexicon, and the departure from chance (G squared) that a term needs.
 TERMS, LEAST_G2 = 300, 20.0
 STEM_LENGTHS = (4, 5, 6)
-#: Characters at the start of a text by which copies are told in the sample.
-OPENING = 64
 #: Words on each side of a hit that make its context.
 WINDOW = 8
 THRESHOLD = 0.3
@@ -231,6 +229,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def whole_texts(found: DataFrame) -> DataFrame:
+    """(text, toxic) of found (doc_id, text, toxic), each text once, with the label of its least id.
+
+    Exact copies of one document would make its rare words look like terms; texts that only open alike all stay.
+    """
+    text = F.coalesce("text", F.lit(""))
+    one = found.groupBy(F.sha2(text, 256).alias("hash")).agg(F.min(F.struct("doc_id", "text", "toxic")).alias("x"))
+    return saved(one.select("x.text", "x.toxic"))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn lexicon and weights from at most FIT_DOCUMENTS labelled documents that aren't held out.
 
@@ -240,16 +248,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = usable.join(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
     rows = [(r.doc_id, r.toxic) for r in chosen.collect()]
-    toxic = sum(t for _, t in rows)
-    clean = len(rows) - toxic
+    known = docs.sparkSession.createDataFrame(rows, "doc_id long, toxic long")
+    sample = whole_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"))
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not toxic or not clean:
-        share = (toxic + 0.1) / (len(rows) + 1)
+        share = (toxic + 0.1) / (toxic + clean + 1)
         return Model({}, [0.0] * len(FEATURES), math.log(share / (1 - share)))
-    known = docs.sparkSession.createDataFrame(rows, "doc_id long, toxic long")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    # Copies of one document would make its rare words look like terms: one stands for all that open alike.
-    one = found.groupBy(F.substring(F.coalesce("text", F.lit("")), 1, OPENING).alias("opening")).agg(F.min(F.struct("doc_id", "text", "toxic")).alias("x"))
-    sample = saved(one.select("x.text", "x.toxic"))
     counts = sample.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, n long").groupBy("term").agg(F.sum(F.col("toxic") * F.col("n")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("b"))
     # 3 of 4 terms of a corpus stand in one or two documents; no such term reaches LEAST_G2.
     bound = counts.where((F.col("a") >= 3) & (F.col("a") * clean > 3 * F.col("b") * toxic)).orderBy(F.desc("a"), "term").limit(20 * TERMS)

@@ -348,6 +348,18 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(frame(spark, docs[:3]), labels_df.limit(0)).count() == 3 and toxicity.score_toxicity(frame(spark, []), labels_df).count() == 0
 
 
+def test_toxicity_common_opening(spark):
+    docs, labels = toxic_data()
+    opening = "licensed for any use as long as this line stays where it is, at the top of the text. "
+    docs = [(i, opening + t, *rest) for i, t, *rest in docs]
+    found = [(i, t, dict((k, x) for k, _, x in labels)[i]) for i, t, *_ in docs] + [(9000, docs[0][1], 0), (9001, None, 0), (9002, "", 0)]
+    got = toxicity.whole_texts(spark.createDataFrame(found, "doc_id long, text string, toxic long"))
+    assert got.count() == len(docs) + 1 and got.where("toxic = 1").count() == len(docs) // 5
+    truth = {i: t for i, _, t in labels}
+    scored = toxicity.score_toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(r.predicted == truth[r.doc_id] for r in scored)
+
+
 def test_one_edit_automaton():
     rng = random.Random(1)
     terms = {"".join(rng.choice("abc") for _ in range(rng.randint(5, 7))): (1.0, False) for _ in range(20)}
