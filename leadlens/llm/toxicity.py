@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from leadlens.llm.common import remembered, saved, slices, utf8
 
 #: Labelled documents that lexicon and weights are fitted on: those with the least hash of their id.
 FIT_DOCUMENTS = 12_000
-#: Terms of the lexicon, and the departure from chance (G squared) that a term needs.
-TERMS, LEAST_G2 = 300, 20.0
+#: The departure from chance (G squared) that a term of the lexicon needs.
+LEAST_G2 = 20.0
+#: Letters of the shortest term, and of the shortest stem, that is looked for with an edit; what such a hit counts.
+NEAR_TERM, NEAR_STEM, NEAR = 4, 5, 0.5
 STEM_LENGTHS = (4, 5, 6)
 #: Words on each side of a hit that make its context.
 WINDOW = 8
@@ -66,12 +70,30 @@ class Trie:
         return best
 
     def _tail(self, at: int, word: str) -> float:
-        """The weight of the term that ends exactly where ``word`` does, from a node on, or 0."""
+        """The weight of the heaviest term that ends where ``word`` does, or stem that ends before, from a node on, or 0."""
+        best = 0.0
         for ch in word:
+            what = self.end[at]
+            if what and what[1]:
+                best = max(best, what[0])
             at = self.next[at].get(ch, -1)
             if at < 0:
-                return 0.0
-        return self.end[at][0] if self.end[at] else 0.0
+                return best
+        return max(best, self.end[at][0]) if self.end[at] else best
+
+    def swapped(self, word: str) -> float:
+        """The weight of the heaviest term that ``word`` is with two letters beside each other swapped, or 0."""
+        best, at = 0.0, 0
+        for i in range(len(word) - 1):
+            if word[i] != word[i + 1]:
+                to = self.next[at].get(word[i + 1], -1)
+                to = self.next[to].get(word[i], -1) if to >= 0 else -1
+                if to >= 0:
+                    best = max(best, self._tail(to, word[i + 2 :]))
+            at = self.next[at].get(word[i], -1)
+            if at < 0:
+                break
+        return best
 
     def near(self, word: str) -> float:
         """The weight of the heaviest term one edit from ``word``, or 0.
@@ -96,34 +118,37 @@ class Trie:
 
 @dataclass
 class Model:
-    """A lexicon, weights of FEATURES, and a cache of the words seen."""
+    """A lexicon, weights of FEATURES, and a cache of the words seen.
+
+    ``under`` has the words below the lexicon's stems, which are looked for with an edit; ``ordinary`` has words that are
+    one edit from a term and are no misspelling of it, as clean documents have them.
+    """
 
     terms: dict[str, tuple[float, bool]]
     weights: list[float] = field(default_factory=list)
     bias: float = 0.0
+    under: dict[str, float] = field(default_factory=dict)
+    ordinary: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.trie, self.seen = Trie(self.terms), {}
-        whole = {t: v for t, v in self.terms.items() if not v[1] and len(t) >= 5}
-        self.near = Trie(whole)
-        # One edit leaves the first or the last half of a term as it is.
-        self.heads, self.tails = {t[: len(t) // 2] for t in whole}, {t[len(t) // 2 :] for t in whole}
-        self.head_sizes, self.tail_sizes = sorted({len(t) for t in self.heads}), sorted({len(t) for t in self.tails})
+        below = {t: (w, False) for t, w in self.under.items() if len(t) >= NEAR_TERM}
+        self.near = Trie(below | {t: v for t, v in self.terms.items() if len(t) >= (NEAR_STEM if v[1] else NEAR_TERM)})
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "bias": self.bias}
+        return {"terms": self.terms, "weights": self.weights, "bias": self.bias, "under": self.under, "ordinary": self.ordinary}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
     def look_up(self, word: str) -> tuple[int, float]:
-        """(0 nothing, 1 term, 2 stem, 3 one edit from a term; weight); terms of fewer than five letters aren't misspelled."""
+        """(0 nothing, 1 term, 2 stem, 3 an edit or a swap from a term, an opening or a word below a stem; weight)."""
         what = self.trie.exact(word)
         if what:
             return (2 if what[1] else 1), what[0]
-        if any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes):
-            w = self.near.near(word)
+        if len(word) >= NEAR_TERM - 1 and word not in self.ordinary:
+            w = max(self.near.near(word), self.near.swapped(word))
             if w:
                 return 3, w
         return 0, 0.0
@@ -142,7 +167,7 @@ class Model:
             if kind[0]:
                 hits[w] = kind
         n = [0, 0, 0, 0]
-        quoted, weight, context = 0, 0.0, 0
+        quoted, weight, context = 0.0, 0.0, 0.0
         if hits:
             spans = list(_WORD.finditer(low))
             marks = [i for i, w in enumerate(words) if w in hits]
@@ -153,11 +178,11 @@ class Model:
                 after = low[spans[i].end() : spans[min(len(spans) - 1, i + WINDOW)].end()]
                 said = not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i])
                 is_quote = bool(_QUOTES.search(before) and _QUOTES.search(after)) or said
-                if kind != 3:
-                    quoted += is_quote
-                    weight += 0.25 * w if is_quote else w
-                    context += sum(x in hits and hits[x][0] != 3 for x in words[max(0, i - WINDOW) : i + WINDOW + 1]) - 1
-        total = n[1] + n[2]
+                part = NEAR if kind == 3 else 1
+                quoted += part * is_quote
+                weight += part * (0.25 * w if is_quote else w)
+                context += part * sum((NEAR if hits[x][0] == 3 else 1) for x in words[max(0, i - WINDOW) : i + WINDOW + 1] if x in hits) - part * part
+        total = n[1] + n[2] + NEAR * n[3]
         return [math.log1p(n[1]), math.log1p(quoted), math.log1p(n[2]), math.log1p(n[3]), 100 * total / (len(words) + 20), math.log1p(weight), math.log1p(context)]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -173,18 +198,35 @@ def g_squared(a: int, b: int, toxic: int, clean: int) -> float:
     return out
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _g_squared(toxic: int, clean: int) -> F.Column:
+    """g_squared of the columns a and b."""
+    a, b, n = F.col("a"), F.col("b"), toxic + clean
+    cells = ((a, a + b, toxic), (b, a + b, clean), (toxic - a, n - a - b, toxic), (clean - b, n - a - b, clean))
+    return reduce(add, [F.when(k > 0, 2 * k * F.log(k * float(n) / (row * float(col)))).otherwise(0.0) for k, row, col in cells])
+
+
+def _count(batches: Iterator[pa.RecordBatch], terms: Callable[[set[str]], set[str]]) -> Iterator[pa.RecordBatch]:
+    """How many clean and toxic documents of a batch have each term of their words."""
     remembered("toxicity")
-    """How many clean and toxic documents of a batch have each word, and each stem of words."""
     for batch in batches:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = set(_WORD.findall((text or "").lower()))
-            counts[toxic].update(words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) >= k})
+            counts[toxic].update(terms(set(_WORD.findall((text or "").lower()))))
         for toxic, c in enumerate(counts):
             yield pa.record_batch([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "n"])
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each word, and with each stem of words."""
+    return _count(batches, lambda words: words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) >= k})
+
+
+def _by_label(sample: DataFrame, of: Callable) -> DataFrame:
+    """(term, a, b): toxic and clean documents of the sample with a term."""
+    rows = sample.select("text", "toxic").mapInArrow(of, "term string, toxic long, n long")
+    return rows.groupBy("term").agg(F.sum(F.col("toxic") * F.col("n")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("b"))
+
+
 def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, tuple[float, bool]]:
     """Terms bound to toxic documents; a stem stays only where it says more than the words it opens."""
     kept = {}
@@ -196,7 +238,7 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     words = {t: v for t, v in ranked if not t.endswith("*")}
     stems: tuple[str, ...] = ()
     for term, (g, w) in ranked:
-        if len(out) == TERMS or term.rstrip("*").startswith(stems):
+        if term.rstrip("*").startswith(stems):
             continue  # what a chosen stem opens is found by it
         if term.endswith("*"):
             stem = term[:-1]
@@ -255,10 +297,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not toxic or not clean:
         share = (toxic + 0.1) / (toxic + clean + 1)
         return Model({}, [0.0] * len(FEATURES), math.log(share / (1 - share)))
-    counts = sample.select("text", "toxic").mapInArrow(_terms, "term string, toxic long, n long").groupBy("term").agg(F.sum(F.col("toxic") * F.col("n")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("b"))
+    counts = _by_label(sample, _terms)
     # 3 of 4 terms of a corpus stand in one or two documents; no such term reaches LEAST_G2.
-    bound = counts.where((F.col("a") >= 3) & (F.col("a") * clean > 3 * F.col("b") * toxic)).orderBy(F.desc("a"), "term").limit(20 * TERMS)
-    model = Model(choose_terms([(r.term, r.a, r.b) for r in bound.collect()], toxic, clean))
+    bound = saved(counts.where((F.col("a") >= 3) & (F.col("a") * clean > 3 * F.col("b") * toxic)))
+    strong = bound.where(_g_squared(toxic, clean) >= 0.999 * LEAST_G2)
+    model = Model(choose_terms([(r.term, r.a, r.b) for r in strong.collect()], toxic, clean))
+    stems = {t: v[0] for t, v in model.terms.items() if v[1]}
+    opened = [F.substring("term", 1, k).isin([t for t in stems if len(t) == k]) for k in STEM_LENGTHS if any(len(t) == k for t in stems)]
+    if opened:
+        words = [r.term for r in bound.where(~F.col("term").endswith("*")).where(reduce(or_, opened)).select("term").collect()]
+        model = Model(model.terms, under={w: max(stems.get(w[:k], 0.0) for k in STEM_LENGTHS) for w in words})
+
+    def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count(batches, lambda words: {w for w in words if model.look_up(w)[0] == 3})
+
+    common = _by_label(sample, edited).where((F.col("b") >= 1) & (F.col("a") * clean <= 3 * F.col("b") * toxic))
+    model = Model(model.terms, under=model.under, ordinary=frozenset(r.term for r in common.select("term").collect()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

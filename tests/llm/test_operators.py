@@ -386,6 +386,19 @@ def test_quotation_lowers_context():
     assert m.look_up("loweikeit") == (2, 4.0) and m.look_up("morron")[0] == 3 and m.look_up("melon")[0] == 0
 
 
+def test_misspelled_lexicon():
+    counts = [("blockheads", 60, 0), ("blockheadish", 40, 0), ("block*", 100, 0), ("dolt", 50, 0), *((f"term{chr(97 + i // 26)}{chr(97 + i % 26)}x", 30, 0) for i in range(400))]
+    terms = toxicity.choose_terms(counts, 1000, 9000)
+    assert len(terms) == 402 and terms["block"][1]
+    m = toxicity.Model(terms, [0.0] * 7, under={"blockheads": 3.0})
+    for w in ("blokhead", "blcokheads", "blxckheads", "dolr", "odlt"):
+        assert m.look_up(w)[0] == 3, w
+    assert m.look_up("blocks")[0] == m.look_up("blockheadz")[0] == 2 and m.look_up("dolt")[0] == 1 and m.look_up("green")[0] == 0
+    assert toxicity.Model(terms, ordinary=frozenset(["dole"])).look_up("dole") == (0, 0.0)
+    x = m.features("you are a blokhead and a dolr today")
+    assert x[3] > 0 and x[4] > 0 and x[5] > 0 and x[6] > 0 and x[5] < m.features("you are a blockhead and a dolt today")[5]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav><!-- x --><div class="side-bar ad">Buy now, it is very cheap and good today</div>
 <article><h1>Title &amp; more</h1><p><b>First&nbsp; block.<br><p>Second <a href="/x">linked</a>
