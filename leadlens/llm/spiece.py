@@ -46,6 +46,7 @@ class Pieces:
         self.rows = [(t, i, order[s]) for t, i, s in own]
         self.rank, self.id = {t: r for t, _, r in self.rows}, {t: i for t, i, _ in self.rows}
         self.byte0 = p.piece_to_id("<0x00>")
+        self.raw = {i: t.encode() for t, i, _ in self.rows} | {self.byte0 + b: bytes([b]) for b in range(256)}
         self.longest = max(len(t) for t in self.rank)
         apart = "".join(c for c in "\n\t\r\x0b\x0c" if not any(c in t for t in self.rank))
         self.words = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[{apart}]|[^{SPACE}{apart}]+")
@@ -79,6 +80,10 @@ class Pieces:
                     heapq.heappush(queue, (r, a, size[a] + size[b]))
         return [word[i : i + size[i]] for i in range(n) if size[i]]
 
+    def text(self, ids: np.ndarray) -> str:
+        """The text of ids, as decode() gives it."""
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+
     def ids(self, word: str) -> bytes:
         got = self.memo.get(word)
         if got is None:
@@ -120,13 +125,13 @@ def frequent_words(docs: DataFrame, model: str, limit: int = KNOWN_WORDS) -> Dat
     counts = saved(counts)
     # The number of words for each count, counts over 1000 as one: at most 999 rows.
     sizes = {r.n: r.words for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("words")).collect()}
-    total, least = 0, 1001
+    total, least = 0, None
     for n in sorted(sizes, reverse=True):
         total += sizes[n]
         if total > limit:
             break
         least = n
-    return counts.where(F.col("n") >= least)
+    return counts.where(F.col("n") >= least if least else F.lit(False))
 
 
 def lattice_ids(words: DataFrame, model: str) -> DataFrame:
@@ -162,17 +167,19 @@ def _encode(model: str, known, as_ids: bool):
                     if None in got:
                         got = [pieces.ids(w) if x is None else x for w, x in zip(words, got, strict=True)]
                     out.append(b"".join(got))
+                ids = [np.frombuffer(x, "<i4") for x in out]
+                lists = pa.array(ids, pa.list_(pa.int32()))
                 if as_ids:
-                    lists = pa.array([np.frombuffer(x, "<i4") for x in out], pa.list_(pa.int32()))
                     yield pa.record_batch([part.column("doc_id"), lists], ["doc_id", "ids"])
                 else:
-                    yield pa.record_batch([part.column("doc_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
+                    sizes, crcs = pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64())
+                    yield pa.record_batch([part.column("doc_id"), sizes, crcs, lists, pa.array([pieces.text(x) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_crc32", "ids", "decoded"])
 
     return run
 
 
 def encode(docs: DataFrame, model: str, as_ids: bool = True) -> DataFrame:
-    """doc_id and ids (or n_tokens and ids_crc32 of the little-endian ids) for every row of docs (doc_id, text).
+    """doc_id and ids for every row of docs (doc_id, text); or n_tokens, ids_crc32 of the little-endian ids, ids, and decoded, the text of the ids.
 
     Null and empty texts have no ids. Repeated rows and rows without an id stay.
     """
@@ -180,7 +187,7 @@ def encode(docs: DataFrame, model: str, as_ids: bool = True) -> DataFrame:
     rows = lattice_ids(frequent_words(docs, model), model).select("word", F.expr("array_join(transform(ids, i -> hex(i)), ',')").alias("ids")).collect()
     known = {r.word: np.array([int(x, 16) for x in r.ids.split(",")], "<u4").tobytes() for r in rows}
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    return docs.mapInArrow(_encode(model, shared, as_ids), "doc_id long, ids array<int>" if as_ids else "doc_id long, n_tokens long, ids_crc32 long")
+    return docs.mapInArrow(_encode(model, shared, as_ids), "doc_id long, ids array<int>" if as_ids else "doc_id long, n_tokens long, ids_crc32 long, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, spark: SparkSession, model: str) -> DataFrame:

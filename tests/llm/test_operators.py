@@ -320,6 +320,25 @@ def test_suffix_order():
         assert common[k] == next((j for j in range(50) if a[j] != b[j]), 50)
 
 
+def test_sentencepiece_query_decodes(spark, tmp_path):
+    from leadlens.llm import queries
+
+    data = [*DATA, (900, " two  blanks \u2603 \n end ", *DATA[0][2:]), (None, "no id", *DATA[0][2:])]
+    frame(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.decoded) for r in got) == sorted((i is None, i, t or "") for i, t, *_ in data)
+    assert all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    same = spiece.decode(spark.createDataFrame([(r.doc_id, r.ids) for r in got], "doc_id long, ids array<int>"), spark, queries.vocabulary("piece_bpe_32k.model")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in same) == sorted((str(r.doc_id), r.decoded) for r in got)
+
+
+def test_frequent_words_over_limit(spark):
+    from leadlens.llm.queries import vocabulary
+
+    path, text = vocabulary("piece_bpe_32k.model"), "one two three four " * 1100
+    assert spiece.frequent_words(spark.createDataFrame([(1, text)], "doc_id long, text string"), path, limit=2).count() == 0
+
+
 def toxic_data(n=400):
     rng, docs, labels = random.Random(6), [], []
     for i in range(n):
