@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Seconds between two requests to the driver's garbage collector.
-RELEASE_S = 0.5
-_released = [0.0]
-
-
-def release(spark: SparkSession) -> None:
-    """Executors keep the files of a shuffle until the driver's JVM finds that no plan needs it; have it look, now and then."""
-    if time.monotonic() - _released[0] > RELEASE_S:
-        spark.sparkContext._jvm.System.gc()
-        _released[0] = time.monotonic()
-
-
 def saved(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation of what came before."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadlens-"))
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation of what came before.
+
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a session whose executors are threads of the driver may
+    go without: it gets a temporary folder.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leadlens-"))
+    return df.checkpoint(eager=True)
+
+
+def least_hashed(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The ``k`` rows with the least hash of ``key``. A threshold on the hash leaves little more than k rows to sort."""
+    rows = df.withColumn("_hash", F.xxhash64(key))
+    n = df.count()
+    if n > 2 * k:
+        share = (k + 10 * k**0.5 + 10) / n
+        some = rows.where(F.col("_hash") < int(-(1 << 63) + share * (1 << 64)))
+        rows = some if some.count() >= k else rows
+    return rows.orderBy("_hash", key).limit(k).drop("_hash")
 
 
 _memory: dict[str, dict] = {}
@@ -52,6 +57,27 @@ def remembered(owner: str) -> dict:
     return _memory.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers wait for more tasks beside the executor's heap; what they hold is lost to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function of mapInArrow that gives memory back when its task's rows are through."""
+
+    def out(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
 def utf8(col: str | Column = "text") -> Column:
     """A text column as its UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
@@ -150,9 +176,36 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of every word: A-Z lower-cased, words split at ASCII white space."""
+    """(hash, document) of every word: A-Z lower-cased, words split at ASCII white space.
+
+    Long input is taken in pieces that end at white space or between documents, as temporary arrays are much larger.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(data) > 4 * SLICE_BYTES:
+        at, found = 0, []
+        while at < len(data):
+            stop = min(len(data), at + SLICE_BYTES)
+            while stop < len(data):  # on to the next white space
+                ahead = np.flatnonzero(_SPACE[data[stop : stop + SLICE_BYTES]])
+                stop = min(len(data), stop + (int(ahead[0]) if len(ahead) else SLICE_BYTES))
+                if len(ahead):
+                    break
+            inner = offsets[(offsets > at) & (offsets < stop)]
+            cuts = np.concatenate([[at], inner, [stop]]) - at
+            h, piece = word_hashes_of(data[at:stop], cuts)
+            first = int(np.searchsorted(offsets, at, "right")) - 1
+            # Empty documents have equal offsets: the document of a piece is the last that starts where it does.
+            of = np.searchsorted(offsets, cuts[:-1] + at, "right") - 1
+            of[0] = first
+            found.append((h, of[piece]))
+            at = stop
+        return np.concatenate([h for h, _ in found]), np.concatenate([d for _, d in found])
+    return word_hashes_of(data, offsets)
+
+
+def word_hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of input that is taken at once."""
     word = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True

@@ -15,9 +15,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     equi-joins and minima that combine before the shuffle, so a hub with most of the links is no hot spot.
     Null ends, self links and repeated links add nothing; no links give no rows.
     """
-    one = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
-    edges = saved(one.union(one.select(F.col("v"), F.col("u"))).distinct())
-    labels = saved(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.first("u"), F.min("v")).alias("label")))
+    ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
+    edges = saved(links.select(F.explode(ways).alias("x")).select("x.*").where("u is not null and v is not null and u != v").distinct())
+    labels = saved(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.min("u"), F.min("v")).alias("label")))
     while True:
         near = edges.join(labels.select(F.col("id").alias("v"), F.col("label").alias("far")), "v").groupBy(F.col("u").alias("id")).agg(F.min("far").alias("far"))
         hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "far").alias("label"))

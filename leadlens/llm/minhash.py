@@ -3,9 +3,10 @@
 Each document's shingle set is reduced to minwise tokens. In every tree a document walks from the root to the
 children named by the minwise tokens that the node selects; the node's own hash decides how many (1.25 on average, so
 that a pair at the target similarity of 0.8 keeps one common path in expectation). Nodes that are small enough are
-compared exhaustively on sketches, larger ones branch again unless most of their members are near the first. Those, and
-what is still large at the greatest depth, are linked to one member. Independent trees are repeated. That leaves groups that hold all links the trees found; within them the
-links are confirmed on the full shingle sets, in chunks of bounded size.
+compared exhaustively on sketches; larger ones branch again until they are small or deep enough. Large nodes whose members
+are mostly near the first one, and those that are still large at the greatest depth, link their members to the first.
+Independent trees are repeated. That leaves groups that hold all links the trees found; within them the links are
+confirmed on the full shingle sets, in chunks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import buffers, mix, remembered, saved, shingle_sets, slices, utf8, whole_groups
+from leadlens.llm.common import buffers, mix, remembered, saved, shingle_sets, slices, tidy, utf8, whole_groups
 from leadlens.llm.components import components
 
 #: Independent trees: a pair at similarity 0.8 shares a path of three steps in one tree with probability 0.64.
@@ -25,10 +26,12 @@ TREES = 12
 DEPTH, DEEPEST = 3, 9
 FUNCTIONS = 128
 NODE_ROWS = 128
-#: Bits of 128 in which the sketches of two linked documents may differ: 12.8 are expected at 0.8, six deviations more are allowed.
-SKETCH_BITS = 33
+#: A sketch has the lowest two bits of each minwise value. Two documents may differ in so many of the 128: 19 are
+#: expected at similarity 0.8, four and a half deviations more are allowed.
+SKETCH_DIFFER = 37
+SKETCH = ("s1", "s2", "s3", "s4")
 #: A confirming task holds at most so many documents of one group, and about so many shingles.
-CHUNK_ROWS, CHUNK_SHINGLES = 400, 1_000_000
+CHUNK_ROWS, CHUNK_SHINGLES = 1500, 1_000_000
 
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -45,11 +48,18 @@ def minwise(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """128 one-bit minwise values per document, as two 64-bit words."""
-    bits = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    """The two highest bits of each scrambled minwise value, as four 64-bit words a document."""
+    two = (sig * np.uint32(0x9E3779B1)) >> np.uint32(30)
+    bits = np.stack([two >> np.uint32(1), two & np.uint32(1)], axis=2).astype(np.uint8).reshape(len(sig), 2 * FUNCTIONS)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of the two-bit values sketches differ, over the last axis."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
+
+
 def children(row: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, node, parent) one step down: each node names one function, one in four names a second."""
     out = []
@@ -78,17 +88,17 @@ def _sign(words: int):
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"),
+                        "th": part.column("th"),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "f1": pa.array([int(mix(s).sum().view(np.int64)) for s in sets], pa.int64()),
                         "f2": pa.array([int(mix(s ^ np.uint64(0xA5A5)).sum().view(np.int64)) for s in sets], pa.int64()),
-                        "s1": pa.array(sketch[:, 0]),
-                        "s2": pa.array(sketch[:, 1]),
+                        **{c: pa.array(np.ascontiguousarray(sketch[:, i])) for i, c in enumerate(SKETCH)},
                         "sig": pa.array([s.tobytes() for s in sig], pa.binary()),
                         "nodes": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(node[order].view(np.int64))),
                     }
                 )
 
-    return run
+    return tidy(run)
 
 
 def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +137,8 @@ def _near_in_nodes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, ["node"], 4096):
             rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-            s1, s2 = (t.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
-            near = lambda i, j: (np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j]) <= SKETCH_BITS) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            sketch = np.stack([t.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+            near = lambda i, j: (differing(sketch[i], sketch[j]) <= SKETCH_DIFFER) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             size = np.diff(bounds)
             two = bounds[:-1][size == 2]
             two = two[near(two, two + 1)]
@@ -144,7 +154,7 @@ def _near_in_nodes(percent: int):
                     b.append(rep[ids[y]])
             yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return run
+    return tidy(run)
 
 
 def link_forest(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -164,8 +174,8 @@ def link_forest(sets: list[np.ndarray], percent: int, labels: np.ndarray | None
     by_token = np.argsort(place, kind="stable")
     first_of = np.searchsorted(place[by_token], np.arange(len(token) + 1))
     owner_by_token, ends = owner[by_token], np.concatenate([[0], np.cumsum(size)])
+    root = np.array([forest.find(j) for j in range(n)], np.int64)
     for i in range(n) if left is None else np.flatnonzero(left).tolist():
-        root = np.array([forest.find(j) for j in range(n)]) if n > 2 else np.arange(n)
         other = root != root[i]
         if left is None:
             other[: i + 1] = False
@@ -177,7 +187,8 @@ def link_forest(sets: list[np.ndarray], percent: int, labels: np.ndarray | None
         flat = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
         both = np.bincount(owner_by_token[flat], minlength=n)
         for j in np.flatnonzero(other & (100 * both >= percent * (size + size[i] - both))).tolist():
-            if forest.join(i, j):
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
                 out.append((i, j))
     return out
 
@@ -199,82 +210,109 @@ def _confirm(words: int, percent: int, residual: bool):
                     b.append(ids[lo + j])
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
+    return tidy(run)
+
+
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that ``rows`` (rep, th, others) name, with its other columns. The rows grow with the corpus, so that
+    they are never broadcast, not even while they are few."""
+    named = rows.withColumnsRenamed({"rep": "doc_id", "th": "_th"}).hint("merge")
+    return docs.join(named, "doc_id").where("th = _th").drop("_th")
 
 
 def _confirmed(docs: DataFrame, rows: DataFrame, words: int, percent: int, residual: bool = False) -> DataFrame:
     """Links between the members of each (blob, chunk, other), whose texts are fetched by one join."""
-    extra = ["label", "left"] if residual else []
-    full = docs.join(rows.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "blob", "chunk", "other", *extra)
+    full = _texts(docs, rows).drop("th")
     return full.repartition("blob", "chunk", "other").sortWithinPartitions("blob", "chunk", "other", "doc_id").mapInArrow(_confirm(words, percent, residual), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Components of documents whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Takes columns doc_id and text, others are ignored. Returns one row for each row with a doc_id: doc_id,
-    n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id = component_id). Null, empty and
-    blank texts have no shingles and link with nothing. Rows without a doc_id give no row. Rows that repeat a doc_id
-    are one document with one of the texts they bring (the least), and give one row. An empty table gives no rows.
+    Takes columns doc_id and text; others are ignored, whatever their names. Returns one row for each doc_id: doc_id,
+    n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id = component_id).
+
+    * Null, empty and blank texts have no shingles and link with nothing. Rows without a doc_id give no row.
+    * Rows that repeat a doc_id are one document. If their texts differ, the text with the least ``text_rank`` counts
+      and the others don't.
+    * Very long texts are read whole, in pieces. Ties can't arise: similarities are compared as integers.
+    * An empty table gives no rows.
     """
     percent = round(100 * similarity)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    signed = saved(docs.mapInArrow(_sign(words), "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, sig binary, nodes array<long>"))
-    same = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    chosen = signed.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "s1", "s2", "nodes").join(same.select("rep"), "rep", "left_semi")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), text_rank().alias("th"))
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", "th", "n", "f1", "f2", *SKETCH))
+    signed = saved(docs.mapInArrow(_sign(words), f"{kinds}, sig binary, nodes array<long>"))
+    one = saved(signed.groupBy("doc_id").agg(F.min(F.struct("th", "f1", "f2", "n")).alias("x")).select("doc_id", "x.*"))
+    same = one.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), "x.th")
+    wanted = same.select("rep", "th")
+    chosen = signed.where("n > 0").withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "th"], "left_semi").select("rep", "th", "n", *SKETCH, "nodes")
     kept = saved(chosen.dropDuplicates(["rep"]))
     reps = kept.drop("nodes")
 
-    nodes = kept.select("rep", F.explode("nodes").alias("node"))
-    links = paths = None
-    for depth in range(DEPTH, DEEPEST + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
-        shared = saved(nodes.join(sizes, "node"))
-        small = shared.where(f"rows <= {NODE_ROWS}").select("node", "rep").join(reps, "rep").repartition("node").sortWithinPartitions("node")
-        found = small.mapInArrow(_near_in_nodes(percent), "a long, b long").distinct()
-        hot = shared.where(f"rows > {NODE_ROWS}")
-        ended = hot.isEmpty()
-        if not ended:
-            dense = saved(_dense(hot, reps)) if depth < DEEPEST else hot.select("node").distinct()
-            found = found.union(hot.join(dense, "node", "left_semi").where("rep != hub").select("hub", "rep").distinct())
-            hot = saved(hot.join(dense, "node", "left_anti"))
-            ended = hot.isEmpty()
-        found = saved(found)  # one plan a depth, so that the driver never holds one of all depths
-        links = found if links is None else links.union(found)
-        if ended or depth == DEEPEST:
-            break
-        if paths is None:
-            signatures = signed.select(F.col("doc_id").alias("rep"), "sig")
-            paths = saved(hot.select("rep", "node").join(signatures, "rep").mapInArrow(_descend, "rep long, parent long, node long, depth int").distinct())
-        parents = hot.select(F.col("node").alias("parent")).distinct()
-        nodes = paths.where(F.col("depth") == depth + 1).join(parents, "parent", "left_semi").select("rep", "node")
-
+    links = _candidates(kept, reps, signed.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "th"], "left_semi"), percent)
     blobs = components(links).withColumnsRenamed({"id": "rep", "label": "blob"})
-    sized = blobs.join(reps.select("rep", "n"), "rep")
+    sized = blobs.join(reps.select("rep", "th", "n"), "rep")
     parts = sized.groupBy("blob").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_ROWS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("parts"))
-    dealt = saved(sized.join(parts, "blob").select("rep", "blob", "parts", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("chunk")))
-    # The members grow with the corpus, so that they are never broadcast, not even while they are few.
-    members = dealt.select(F.col("rep").alias("doc_id")).hint("merge")
-    texts = saved(docs.join(members, "doc_id", "left_semi"))
+    dealt = saved(sized.join(parts, "blob").select("rep", "th", "blob", "parts", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("chunk")))
+    split = dealt.where("parts > 1")
+    several = not split.isEmpty()
+    texts = saved(_texts(docs, dealt.select("rep", "th"))) if several else docs
     # The first member of a split group stands in each of its chunks, so that most of them grow together at once.
-    guests = parts.where("parts > 1").select(F.col("blob").alias("rep"), "blob", "parts", F.explode(F.expr("sequence(0, parts - 1)")).alias("chunk"))
-    one = dealt.join(guests.select("rep", "chunk").withColumn("guest", F.lit(True)), ["rep", "chunk"], "left_anti").unionByName(guests)
-    exact = saved(_confirmed(texts, one.select("rep", "blob", "chunk", F.lit(0).alias("other")), words, percent))
-    if not dealt.where("parts > 1").isEmpty():
-        exact = exact.union(_across_chunks(texts, dealt.where("parts > 1"), exact, words, percent))
+    guests = split.where("rep = blob").select("rep", "th", "blob", "parts", F.explode(F.expr("sequence(0, parts - 1)")).alias("chunk"))
+    rows = dealt.where("parts = 1 or rep != blob").unionByName(guests) if several else dealt
+    exact = saved(_confirmed(texts, rows.select("rep", "th", "blob", "chunk", F.lit(0).alias("other")), words, percent))
+    if several:
+        exact = exact.union(_across_chunks(texts, split, exact, words, percent))
 
     joined = components(exact).withColumnsRenamed({"id": "rep", "label": "low"})
-    whole = signed.select("doc_id", "n", "f1", "f2").dropDuplicates(["doc_id"]).join(same, ["f1", "f2", "n"], "left")
-    top = F.coalesce("low", "rep", "doc_id")
-    return whole.join(joined, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), (F.col("doc_id") == top).alias("kept"))
+    tops = same.join(joined, "rep", "left").select("f1", "f2", "n", F.coalesce("low", "rep").alias("low"))
+    low = F.coalesce("low", "doc_id")
+    return one.join(tops, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), low.alias("component_id"), (F.col("doc_id") == low).alias("kept"))
+
+
+def text_rank() -> F.Column:
+    """Where rows repeat a doc_id, the row with the least of this counts."""
+    return F.xxhash64(utf8("text"))
+
+
+def _candidates(kept: DataFrame, reps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join whatever the trees' nodes hold together: found in small nodes, or to the first of large ones.
+
+    All steps of the recursion are made at once: a path goes on below large nodes and ends in the first small one.
+    """
+    nodes = kept.select("rep", F.explode("nodes").alias("node"))
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
+    shared = saved(nodes.join(sizes, "node"))
+    small, hot = shared.where(f"rows <= {NODE_ROWS}").select("node", "rep"), shared.where(f"rows > {NODE_ROWS}")
+    to_hub = []
+    if not hot.isEmpty():
+        dense = saved(_dense(hot, reps))
+        to_hub.append(hot.join(dense, "node", "left_semi"))
+        rest = hot.join(dense, "node", "left_anti").select("rep", "node")
+        signatures = signed.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+        paths = saved(rest.join(signatures, "rep").mapInArrow(tidy(_descend), "rep long, parent long, node long, depth int").distinct())
+        below = saved(paths.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1"))
+        # What stands under a small node was compared there.
+        large = below.where(f"rows > {NODE_ROWS}").select(F.col("node").alias("parent"))
+        first = paths.where(f"depth = {DEPTH + 1}").unionByName(paths.where(f"depth > {DEPTH + 1}").join(large, "parent", "left_semi").select(paths.columns))
+        ends = saved(first.join(below, "node").where(f"rows <= {NODE_ROWS} or depth = {DEEPEST}").select("rep", "node", "rows", "hub"))
+        small = small.unionByName(ends.where(f"rows <= {NODE_ROWS}").select("node", "rep"))
+        to_hub.append(ends.where(f"rows > {NODE_ROWS}"))
+    rows = small.distinct().join(reps, "rep").repartition("node").sortWithinPartitions("node")
+    found = rows.mapInArrow(_near_in_nodes(percent), "a long, b long")
+    for x in to_hub:
+        found = found.unionByName(x.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    return found
 
 
 def _dense(hot: DataFrame, reps: DataFrame) -> DataFrame:
     """Large nodes whose members are mostly near their first one: to branch them would only repeat them. All their members
     are linked to the first, which loses nothing, as links are confirmed later."""
-    hubs = hot.select("node", F.col("hub").alias("rep")).distinct().join(reps.select("rep", F.col("s1").alias("h1"), F.col("s2").alias("h2")), "rep").drop("rep")
-    differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("h1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("h2")))
-    return hot.join(reps.select("rep", "s1", "s2"), "rep").join(hubs, "node").groupBy("node").agg(F.avg((differ <= SKETCH_BITS).cast("int")).alias("near")).where("near >= 0.5").select("node")
+    first = {c: f"h{i}" for i, c in enumerate(SKETCH)}
+    hubs = hot.select("node", F.col("hub").alias("rep")).distinct().join(reps.select("rep", *(F.col(c).alias(h) for c, h in first.items())), "rep").drop("rep")
+    pair = lambda x: F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    differ = sum((pair(F.col(c).bitwiseXOR(F.col(h))) for c, h in first.items()), F.lit(0))
+    return hot.join(reps.select("rep", *SKETCH), "rep").join(hubs, "node").groupBy("node").agg(F.avg((differ <= SKETCH_DIFFER).cast("int")).alias("near")).where("near >= 0.5").select("node")
 
 
 def _across_chunks(docs: DataFrame, dealt: DataFrame, exact: DataFrame, words: int, percent: int) -> DataFrame:
@@ -289,5 +327,6 @@ def _across_chunks(docs: DataFrame, dealt: DataFrame, exact: DataFrame, words: i
     guests = rest.withColumn("chunk", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("left", F.lit(True))
     hosts = named.join(others, "blob").withColumn("other", F.explode(F.expr("sequence(0, others - 1)"))).withColumn("left", F.lit(False))
     hosts = hosts.join(rest.select("rep", "other"), ["rep", "other"], "left_anti")
-    rows = guests.select("rep", "blob", "chunk", "other", "label", "left").unionByName(hosts.select("rep", "blob", "chunk", "other", "label", "left"))
+    columns = ["rep", "th", "blob", "chunk", "other", "label", "left"]
+    rows = guests.select(columns).unionByName(hosts.select(columns))
     return saved(_confirmed(docs, rows, words, percent, residual=True))

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import remembered, slices, utf8
+from leadlens.llm.common import give_back, remembered, slices, tidy, utf8
 
 #: An address is `[A-Za-z0-9._%+-]+@` and this: the local part is looked for from the "@" back, in time linear in the text.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -111,18 +113,18 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, s
         found += [(m.start(), "secret", m.end()) for m in _SECRET.finditer(text)]
         found += [(m.start(), "number", m.end()) for m in _NUMBER.finditer(text)]
     found += [(m.start(), "person", m.end()) for m in _PERSON.finditer(text)]
-    out, i, last = [], 0, 0
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    before = lambda at: reach[k - 1] if (k := bisect_left(starts, at)) else -99  # noqa: E731  the furthest end of what starts before
+    out, last = [], 0
     for start, kind, end in sorted(found):
-        while i < len(base) and base[i][2] <= start:
-            i += 1
-        if start < last or any(b[0] < end and start < b[2] for b in base[i : i + 4]):
+        if start < last or before(end) > start:
             continue
         last = end
-        own, before = text[start:end], text[max(0, start - 24) : start]
-        words = re.findall(r"[a-zäöüßñáéíóú]+", (own if kind == "person" else before).lower())
-        near = any(abs(b[0] - end) < 40 or abs(start - b[2]) < 40 for b in base[max(0, i - 1) : i + 1])
+        own, ahead = text[start:end], text[max(0, start - 24) : start]
+        words = re.findall(r"[a-zäöüßñáéíóú]+", (own if kind == "person" else ahead).lower())
+        near = start - before(start) < 40 or (k := bisect_left(starts, end)) < len(starts) and starts[k] - end < 40
         gazetteer = 1 if not GAZETTEER[kind].isdisjoint(words[:1] if kind == "person" else words[-2:]) else -1 if kind == "person" else 0
-        out.append((start, kind, end, (_shape(kind, own), gazetteer, 1 if CONTEXT[kind].search(before) else 0, 1 if near else 0)))
+        out.append((start, kind, end, (_shape(kind, own), gazetteer, 1 if CONTEXT[kind].search(ahead) else 0, 1 if near else 0)))
     return out
 
 
@@ -205,7 +207,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Classifier:
     """Count vote patterns over all documents (at most 3 kinds x 3**4 rows come back) and train on them."""
-    rows = docs.select("text").mapInArrow(_count, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(_count), "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
     return train({(r.kind, tuple(map(int, r.votes.split(",")))): r.n for r in rows})
 
 
@@ -241,7 +243,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(n[k], pa.int64()) for k in BASE_KINDS), pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     kinds = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, f"doc_id long, {kinds}, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(tidy(run), f"doc_id long, {kinds}, base_sha256 string, spans string")
 
 
 def masked(text: str, classifier: Classifier) -> str:
@@ -260,6 +262,8 @@ def mask_spans(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def mask(texts):
-        return texts.map(lambda t: None if t is None else masked(t, classifier))
+        out = texts.map(lambda t: None if t is None else masked(t, classifier))
+        give_back()
+        return out
 
     return docs.withColumn("text", mask("text"))

@@ -7,6 +7,7 @@ their document counts depart from chance. A logistic regression over hit feature
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import remembered, saved, slices, utf8
+from leadlens.llm.common import give_back, least_hashed, remembered, saved, slices, tidy, utf8
 
 #: Labelled documents that lexicon and weights are fitted on: those with the least hash of their id.
 FIT_DOCUMENTS = 12_000
@@ -32,7 +33,9 @@ STEM_LENGTHS = (4, 5, 6)
 #: Words on each side of a hit that make its context.
 WINDOW = 8
 THRESHOLD = 0.3
-KEPT_WORDS = 400_000
+#: Words whose look-up a worker remembers.
+KEPT_WORDS = 200_000
+NOTHING = (0, 0.0)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile("[\"'`«»‘-‟‹›]")
@@ -116,6 +119,11 @@ class Trie:
         return best
 
 
+def shortened(word: str) -> set[str]:
+    """A word, and what it is with one letter left out. Words one edit or swap apart have one of these in common."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 @dataclass
 class Model:
     """A lexicon, weights of FEATURES, and a cache of the words seen.
@@ -132,8 +140,13 @@ class Model:
 
     def __post_init__(self):
         self.trie, self.seen = Trie(self.terms), {}
+        self.name = hashlib.md5(repr((sorted(self.terms.items()), sorted(self.under.items()), sorted(self.ordinary))).encode()).hexdigest()
         below = {t: (w, False) for t, w in self.under.items() if len(t) >= NEAR_TERM}
-        self.near = Trie(below | {t: v for t, v in self.terms.items() if len(t) >= (NEAR_STEM if v[1] else NEAR_TERM)})
+        sought = below | {t: v for t, v in self.terms.items() if len(t) >= (NEAR_STEM if v[1] else NEAR_TERM)}
+        self.near = Trie(sought)
+        self.whole = frozenset(x for t, v in sought.items() if not v[1] for x in shortened(t))
+        self.opening = frozenset(x for t, v in sought.items() if v[1] for x in shortened(t))
+        self.opening_lengths = sorted({len(t) + d for t, v in sought.items() if v[1] for d in (-1, 0, 1)})
 
     def __getstate__(self):
         return {"terms": self.terms, "weights": self.weights, "bias": self.bias, "under": self.under, "ordinary": self.ordinary}
@@ -147,25 +160,39 @@ class Model:
         what = self.trie.exact(word)
         if what:
             return (2 if what[1] else 1), what[0]
-        if len(word) >= NEAR_TERM - 1 and word not in self.ordinary:
+        if len(word) >= NEAR_TERM - 1 and word not in self.ordinary and self.may_be_near(word):
             w = max(self.near.near(word), self.near.swapped(word))
             if w:
                 return 3, w
-        return 0, 0.0
+        return NOTHING
+
+    def may_be_near(self, word: str) -> bool:
+        """False only for words that the automaton can't accept; most words are told apart here, without a walk of the trie."""
+        if not self.whole.isdisjoint(shortened(word)):
+            return True
+        return any(not self.opening.isdisjoint(shortened(word[:k])) for k in self.opening_lengths if len(word) >= k)
+
+    def at_work(self) -> Model:
+        """This model with the words that the worker's earlier tasks have looked up in it."""
+        kept = remembered("toxicity")
+        if self.name not in kept:
+            kept.clear()
+        self.seen = kept.setdefault(self.name, self.seen)
+        return self
+
+    def kind(self, word: str) -> tuple[int, float]:
+        """look_up(), remembered."""
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) >= KEPT_WORDS:
+                self.seen.clear()
+            got = self.seen[word] = self.look_up(word)
+        return got
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
         words = _WORD.findall(low)
-        seen = self.seen
-        if len(seen) > KEPT_WORDS:
-            seen.clear()
-        hits = {}
-        for w in set(words):
-            kind = seen.get(w)
-            if kind is None:
-                kind = seen[w] = self.look_up(w)
-            if kind[0]:
-                hits[w] = kind
+        hits = {w: k for w in set(words) if (k := self.kind(w))[0]}
         n = [0, 0, 0, 0]
         quoted, weight, context = 0.0, 0.0, 0.0
         if hits:
@@ -207,7 +234,6 @@ def _g_squared(toxic: int, clean: int) -> F.Column:
 
 def _count(batches: Iterator[pa.RecordBatch], terms: Callable[[set[str]], set[str]]) -> Iterator[pa.RecordBatch]:
     """How many clean and toxic documents of a batch have each term of their words."""
-    remembered("toxicity")
     for batch in batches:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -223,7 +249,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_label(sample: DataFrame, of: Callable) -> DataFrame:
     """(term, a, b): toxic and clean documents of the sample with a term."""
-    rows = sample.select("text", "toxic").mapInArrow(of, "term string, toxic long, n long")
+    rows = sample.select("text", "toxic").mapInArrow(tidy(of), "term string, toxic long, n long")
     return rows.groupBy("term").agg(F.sum(F.col("toxic") * F.col("n")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("b"))
 
 
@@ -288,8 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     with both labels counts as toxic. With no toxic or no clean document all scores are the share of toxic ones.
     """
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    chosen = usable.join(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
-    rows = [(r.doc_id, r.toxic) for r in chosen.collect()]
+    chosen = usable.join(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = [(r.doc_id, r.toxic) for r in least_hashed(saved(chosen), "doc_id", FIT_DOCUMENTS).collect()]
     known = docs.sparkSession.createDataFrame(rows, "doc_id long, toxic long")
     sample = whole_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"))
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -309,17 +335,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         model = Model(model.terms, under={w: max(stems.get(w[:k], 0.0) for k in STEM_LENGTHS) for w in words})
 
     def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _count(batches, lambda words: {w for w in words if model.look_up(w)[0] == 3})
+        at_work = model.at_work()
+        return _count(batches, lambda words: {w for w in words if at_work.kind(w)[0] == 3})
 
     common = _by_label(sample, edited).where((F.col("b") >= 1) & (F.col("a") * clean <= 3 * F.col("b") * toxic))
     model = Model(model.terms, under=model.under, ordinary=frozenset(r.term for r in common.select("term").collect()))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work = model.at_work()
         for batch in batches:
-            x = [model.features(t or "") for t in batch.column("text").to_pylist()]
+            x = [at_work.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
-    got = sample.select("text", "toxic").mapInArrow(features, "x array<double>, toxic long").collect()
+    got = sample.select("text", "toxic").mapInArrow(tidy(features), "x array<double>, toxic long").collect()
     x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
     model.weights, model.bias = regress(x, y)
     return model
@@ -328,28 +356,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.3 on) for every row of docs (doc_id, text).
 
-    Null and empty texts get the score of a text without hits. Repeated rows and rows without an id stay.
+    Other columns are ignored, whatever their names. Null and empty texts get the score of a text without hits. Whole
+    texts are read, however long. Repeated rows and rows without an id stay and aren't held out for a missing id. Equal
+    texts have equal scores; a score of exactly the threshold counts as toxic. An empty table gives no rows.
     """
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered("toxicity")
+        at_work = model.at_work()
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                x = np.array([model.features(t) for t in part.column("text").cast(pa.string()).to_pylist()])
+                x = np.array([at_work.features(t) for t in part.column("text").cast(pa.string()).to_pylist()])
                 yield pa.record_batch([part.column("doc_id"), pa.array(model.scores(x))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is under the threshold, with all their columns; the text is read once more, never joined."""
+    """The rows of docs whose score is under the threshold, with all their columns; the text is read once more, never joined.
+
+    Null and empty texts are clean where texts without hits are. Repeated rows and rows without an id are judged alone.
+    """
     model = fit(docs, labels)
 
     @F.pandas_udf("boolean")
     def clean(texts):
-        remembered("toxicity")
-        return texts.fillna("").map(lambda t: float(model.scores(np.array(model.features(t)))) < THRESHOLD)
+        at_work = model.at_work()
+        out = texts.fillna("").map(lambda t: float(at_work.scores(np.array(at_work.features(t)))) < THRESHOLD)
+        give_back()
+        return out
 
     return docs.where(clean("text"))

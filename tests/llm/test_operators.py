@@ -63,6 +63,15 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(frame(spark, []), words=2).count() == 0
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Of rows that repeat an id one text counts, so that they don't bridge groups."""
+    a, b = words(random.Random(1), 30), words(random.Random(2), 30)
+    docs = frame(spark, [(i, t, *DATA[0][2:]) for i, t in ((1, a), (1, b), (2, b), (3, a))])
+    first = docs.where("doc_id = 1").orderBy(minhash.text_rank()).first().text
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2).collect()}
+    assert got == ({1: 1, 2: 2, 3: 1} if first == a else {1: 1, 2: 1, 3: 3})
+
+
 def test_link_forest_compares_all_sets():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(60)] + [np.zeros(0, np.uint64)]
@@ -308,16 +317,76 @@ def test_suffix_edges(spark):
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
-def test_suffix_order():
-    rng = np.random.default_rng(2)
-    data = rng.integers(97, 99, 400, dtype=np.uint8)
-    starts = np.arange(351)
-    order, common = suffix.suffix_order(data, starts)
-    raw = data.tobytes()
-    assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in starts)
-    for k in range(1, len(order)):
-        a, b = raw[order[k] : order[k] + 50], raw[order[k - 1] : order[k - 1] + 50]
-        assert common[k] == next((j for j in range(50) if a[j] != b[j]), 50)
+def test_suffix_array_and_common_prefixes():
+    rng = random.Random(2)
+    for lane in (1, 3, 64):
+        raw = bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(1, 300))) + suffix.SEPARATOR
+        data = np.frombuffer(raw, np.uint8)
+        order, rank = suffix.suffix_array(data)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:]) and order[rank].tolist() == list(range(len(raw)))
+        common = suffix.common_prefixes(data, order, lane)
+        for k in range(1, len(order)):
+            a, b = raw[order[k] :], raw[order[k - 1] :]
+            assert common[k] == next((j for j in range(len(a)) if a[j : j + 1] != b[j : j + 1]), len(a))
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 150])
+def test_shared_windows(monkeypatch, shard):
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    rng = random.Random(3)
+    base = bytes(rng.choice(b"ab\x00") for _ in range(200))
+    for _ in range(40):
+        cuts = [(rng.randint(0, 100), rng.randint(50, 90)) for _ in range(rng.randint(1, 12))]
+        snippets = [base[a : a + n] if rng.random() < 0.5 else base[a : a + n // 2] + b"c" + base[a + n // 2 + 1 : a + n] for a, n in cuts]
+        owner = [rng.randint(0, 5) for _ in snippets]
+        least = {}
+        for x, o in zip(snippets, owner, strict=True):
+            for i in range(len(x) - 49):
+                least[x[i : i + 50]] = min(o, least.get(x[i : i + 50], o))
+        want = [[least[x[i : i + 50]] < o for i in range(len(x) - 49)] for x, o in zip(snippets, owner, strict=True)]
+        assert [c.tolist() for c in suffix.shared_windows(snippets, np.array(owner))] == want
+
+
+def test_frequent_anchors_over_tasks(spark, monkeypatch):
+    """One passage with something else around it in every document: its anchors are dealt to several tasks."""
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 400)
+    rng = random.Random(4)
+    passage = "the one passage of thirty bytes"
+    data = [(i, f"{words(rng, 4)} {passage} {words(rng, 3)} {'again and again the same words follow here, and more of them' if i % 3 else ''}", *DATA[0][2:]) for i in range(200)]
+    docs = frame(spark, data)
+    deal = suffix.Deal(4, *suffix._frequent(docs.selectExpr("doc_id", "cast(text as binary) as text"), 1000))
+    assert len(deal.frequent) and deal.parts.min() > 1
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs).collect()}
+    assert got == brute_repeats(data)
+
+
+def test_without_repeats_keeps_columns(spark):
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 2, 3, 4, 5, 123456)
+    data = [(i, x, day, True, {"a": i}, "row") for i, x in ((1, "p" * 60), (2, "q" + "p" * 60), (3, None), (None, "p" * 60))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, at timestamp_ntz, _null boolean, `a.b` map<string, int>, row string")
+    got = suffix.without_repeats(docs)
+    assert got.schema == docs.schema
+    want = {(1, "p" * 60), (2, "q"), (3, None), (None, "p" * 60)}
+    rows = got.collect()
+    assert {(r.doc_id, r.text) for r in rows} == want and all((r.at, r["_null"], r.row) == (day, True, "row") for r in rows)
+
+
+def test_long_text_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 40)
+    monkeypatch.setattr("leadlens.llm.common.SLICE_BYTES", 40)
+    rng = random.Random(9)
+    texts = [words(rng, n).encode() for n in (0, 60, 3, 0, 200)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    from leadlens.llm import common
+
+    h, d = common.word_hashes(data, offsets)
+    h1, d1 = common.word_hashes_of(data, offsets)
+    assert h.tolist() == h1.tolist() and d.tolist() == d1.tolist()
+    r = suffix.runs(data, offsets)
+    windows = [(i, offsets[i] + k) for i, t in enumerate(texts) for k in range(len(t) - suffix.LENGTH + 1)]
+    assert [(i, w) for i, a, b in zip(r["doc"].tolist(), r["first"].tolist(), r["last"].tolist(), strict=True) for w in range(a, b + 1)] == windows
 
 
 def test_sentencepiece_query_decodes(spark, tmp_path):
