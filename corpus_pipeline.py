@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadlens.llm.common import saved, table
-from leadlens.llm.minhash import near_duplicates
+from leadlens.llm.minhash import near_duplicates, text_rank
 from leadlens.llm.packing import best_fit_pack
 from leadlens.llm.pii import mask_spans
 from leadlens.llm.queries import vocabulary
@@ -25,9 +25,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), the one with the least id; rows without an id stay."""
+    """One document of each group of near duplicates (five words, 0.8), the one with the least id; rows without an id stay.
+
+    Rows that repeat an id are one document: the row with the least text_rank stays, of equal texts any.
+    """
     kept = saved(near_duplicates(docs, words=5, similarity=0.8).where("kept").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows = docs.join(kept, "doc_id", "left_semi")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(text_rank()))
+        rows = rows.withColumn("_first", first).where("_first = 1").select(docs.columns)
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
