@@ -15,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leadlens.llm.common import slices, utf8
+from leadlens.llm.common import slices, tidy, utf8
 
 RATE, UNIT = 8000, 576
+#: The rate that decoded PCM is stored at.
+WIDE = 2 * RATE
 #: Format tags of RIFF files: fixed values.
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima": 17}
 #: Bytes of an IMA ADPCM block: a header of 4 and two samples a byte.
@@ -71,8 +74,18 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def resampled(pcm: np.ndarray, have: int, want: int) -> np.ndarray:
+    """16-bit samples at another rate by linear interpolation in integers; beyond the last sample it repeats."""
+    if have == want or not len(pcm):
+        return pcm
+    at = np.arange(-(-len(pcm) * want // have), dtype=np.int64) * have
+    k, part = at // want, at % want
+    a, b = pcm[k].astype(np.int64), pcm[np.minimum(k + 1, len(pcm) - 1)].astype(np.int64)
+    return (a + (b - a) * part // want).astype(np.int16)
+
+
 def doubled(pcm: np.ndarray) -> np.ndarray:
-    """Resample to twice the rate by linear interpolation; the last sample repeats."""
+    """resampled() to twice the rate, with less arithmetic."""
     out = np.repeat(pcm, 2)
     out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
     return out
@@ -113,45 +126,46 @@ def _pcm(kind: str, payload: bytes) -> np.ndarray:
     return raw.view("<i2") if kind == "pcm" else expand(raw, kind)
 
 
-def decode_media(docs: DataFrame, media: str = "media", rate: int = 2 * RATE) -> DataFrame:
-    """Adds ``pcm`` (16-bit little-endian samples at twice the stored rate, if that is ``rate``) and ``pcm_rate``.
+def decode_media(docs: DataFrame, media: str = "media", rate: int = WIDE) -> DataFrame:
+    """Adds ``pcm``, a RIFF file of 16-bit samples resampled to ``rate``, and ``pcm_rate``; columns of these names are replaced.
 
-    Null media give null; so do bytes that are no RIFF file of the four kinds.
+    Any stored rate is resampled. Null media give null; so do bytes that are no RIFF file of the four kinds. All rows and
+    other columns stay.
     """
+    docs = docs.drop("pcm", "pcm_rate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pcm, rates = [], []
-            for m in batch.column(media).to_pylist():
-                try:
-                    kind, stored, payload = unriff(m or b"")
-                    samples = _pcm(kind, payload)
-                    samples = doubled(samples) if stored * 2 == rate and len(samples) else samples
-                    pcm.append(samples.astype("<i2").tobytes())
-                    rates.append(rate if stored * 2 == rate else stored)
-                except (ValueError, KeyError, struct.error):
-                    pcm.append(None)
-                    rates.append(None)
-            yield pa.record_batch([*batch.columns, pa.array(pcm, pa.binary()), pa.array(rates, pa.int32())], [*batch.schema.names, "pcm", "pcm_rate"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, pcm binary, pcm_rate int")
-
-
-def features(payloads: list[bytes]) -> list[str]:
-    """Integer features of mu-law payloads, the same for the same payload: level, zero crossings and peak of the PCM at 16 kHz,
-    the level under A-law, and a checksum of the payload's decoding as ADPCM blocks."""
+            for part in slices(batch, media):
+                pcm, rates = [], []
+                for m in part.column(media).to_pylist():
+                    try:
+                        kind, stored, payload = unriff(m or b"")
+                        pcm.append(riff(resampled(_pcm(kind, payload), stored, rate).astype("<i2").tobytes(), "pcm", rate))
+                        rates.append(rate)
+                    except (ValueError, KeyError, struct.error, ZeroDivisionError):
+                        pcm.append(None)
+                        rates.append(None)
+                yield pa.record_batch([*part.columns, pa.array(pcm, pa.binary()), pa.array(rates, pa.int32())], [*part.schema.names, "pcm", "pcm_rate"])
+
+    schema = T.StructType([*docs.schema, T.StructField("pcm", T.BinaryType()), T.StructField("pcm_rate", T.IntegerType())])
+    return docs.mapInArrow(tidy(run), schema)
+
+
+def features(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """Integer features of mu-law payloads and of their stored PCM, the same for the same payload: level, zero crossings and
+    peak of the PCM at 16 kHz, the payload's level under A-law, and its level decoded as ADPCM blocks."""
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     ends = np.cumsum([len(p) for p in payloads])
     blocks = decode_adpcm(raw.reshape(-1, ADPCM_BLOCK))
     levels = np.abs(blocks.astype(np.int64)).sum(axis=1)
-    mu, a = expand(raw, "mulaw"), np.abs(expand(raw, "alaw").astype(np.int64))
+    a = np.abs(expand(raw, "alaw").astype(np.int64))
     out, lo = [], 0
-    for hi in ends.tolist():
-        wide = doubled(mu[lo:hi])
+    for hi, samples in zip(ends.tolist(), pcm, strict=True):
+        wide = np.frombuffer(samples, "<i2")
         crossings = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-        level = int(np.abs(wide.astype(np.int64)).sum()) // len(wide)
-        out.append(f"mulaw:{level}:{crossings}:{int(np.abs(wide.astype(np.int32)).max())};alaw:{int(a[lo:hi].sum()) // (hi - lo)};ima:{int(levels[lo // ADPCM_BLOCK : hi // ADPCM_BLOCK].sum()) // ((hi - lo) // ADPCM_BLOCK * blocks.shape[1])}")
+        size = np.abs(wide.astype(np.int32))
+        out.append(f"mulaw:{int(size.sum(dtype=np.int64)) // len(wide)}:{crossings}:{int(size.max())};alaw:{int(a[lo:hi].sum()) // (hi - lo)};ima:{int(levels[lo // ADPCM_BLOCK : hi // ADPCM_BLOCK].sum()) // ((hi - lo) // ADPCM_BLOCK * blocks.shape[1])}")
         lo = hi
     return out
 
@@ -162,13 +176,15 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = part.column("text").to_pylist()
             media = [riff(t + b"\xff" * (-len(t) % UNIT or (UNIT if not t else 0)), "mulaw") for t in texts]
             back = [unriff(m)[2] for m in media]
+            pcm = [riff(doubled(MULAW[np.frombuffer(p, np.uint8)]).astype("<i2").tobytes(), "pcm", WIDE) for p in back]
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
                     "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                     "payload": pa.array(back, pa.binary()),
                     "media": pa.array(media, pa.binary()),
-                    "feature": pa.array(features(back), pa.string()),
+                    "pcm": pa.array(pcm, pa.binary()),
+                    "feature": pa.array(features(back, [unriff(m)[2] for m in pcm]), pa.string()),
                 }
             )
 
@@ -178,31 +194,36 @@ def _input(docs: DataFrame) -> DataFrame:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Texts as mu-law media, read back: doc_id, n_bytes, payload, media, feature.
+    """Texts as mu-law media, read back, and their PCM at 16 kHz: doc_id, n_bytes, payload, media, pcm, feature.
 
-    The payload is the UTF-8 text with bytes 255 up to a positive multiple of 576. Null text counts as empty. Repeated
-    rows and rows without an id are kept as they are.
+    The payload is the UTF-8 text with bytes 255 up to a positive multiple of 576. Null text counts as empty; long texts
+    are stored whole. Repeated rows and rows without an id are kept as they are; equal texts have equal values. Other
+    columns are ignored, whatever their names. An empty table gives no rows.
     """
-    return _input(docs).mapInArrow(_store, "doc_id long, n_bytes long, payload binary, media binary, feature string")
+    return _input(docs).mapInArrow(tidy(_store), "doc_id long, n_bytes long, payload binary, media binary, pcm binary, feature string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Sizes and checksums of what store_texts() returns for docs, in the pass that stores and reads: the media don't move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
+        size = lambda xs: pa.array([len(x) for x in xs], pa.int64())
         for batch in _store(batches):
-            payload, media = (batch.column(c).to_pylist() for c in ("payload", "media"))
+            payload, media, pcm = (batch.column(c).to_pylist() for c in ("payload", "media", "pcm"))
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
                     "n_bytes": batch.column("n_bytes"),
-                    "payload_bytes": pa.array([len(p) for p in payload], pa.int64()),
-                    "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payload]),
+                    "payload_bytes": size(payload),
+                    "payload_sha256": sha(payload),
                     "tail_crc32": pa.array([zlib.crc32(p[-32:]) for p in payload], pa.int64()),
-                    "media_bytes": pa.array([len(m) for m in media], pa.int64()),
-                    "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
+                    "media_bytes": size(media),
+                    "media_sha256": sha(media),
                     "feature": batch.column("feature"),
+                    "pcm_bytes": size(pcm),
+                    "pcm_sha256": sha(pcm),
                 }
             )
 
-    return _input(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _input(docs).mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string")

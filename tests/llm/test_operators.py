@@ -173,7 +173,22 @@ def test_audio_codecs(spark):
     assert audio.decode_adpcm(blocks).tolist() == [slow(b) for b in blocks]
     media = [audio.riff(blocks.tobytes(), "ima"), audio.riff(b"\x10\x20\x30", "alaw"), b"junk", None]
     got = audio.decode_media(spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in enumerate(media)], "id int, media binary")).orderBy("id").collect()
-    assert [r.pcm_rate for r in got] == [16000, 16000, None, None] and len(got[1].pcm) == 12 and len(got[0].pcm) == 4 * blocks.shape[0] * 377
+    assert [r.pcm_rate for r in got] == [16000, 16000, None, None] and [len(audio.unriff(bytes(r.pcm))[2]) for r in got[:2]] == [4 * blocks.shape[0] * 377, 12]
+
+
+def test_resampling(spark):
+    pcm = np.array([0, 100, -50, 7], np.int16)
+    assert audio.resampled(pcm, 8000, 16000).tolist() == audio.doubled(pcm).tolist() == [0, 50, 100, 25, -50, -22, 7, 7]
+    assert audio.resampled(pcm, 8000, 8000) is pcm and audio.resampled(pcm, 8000, 4000).tolist() == [0, -50]
+    for have, want in ((8000, 11025), (11025, 8000), (16000, 48000)):
+        at = np.arange(-(-len(pcm) * want // have)) * have / want
+        exact = np.interp(at, np.arange(len(pcm)), pcm)
+        assert np.abs(audio.resampled(pcm, have, want) - exact).max() <= 1
+    named = spark.createDataFrame([(bytearray(audio.riff(b"\x10" * 9, "mulaw", 11025)), 1, "x")], "media binary, pcm int, pcm_rate string")
+    row = audio.decode_media(named, rate=8000).first()
+    assert row.pcm_rate == 8000 and audio.unriff(bytes(row.pcm))[:2] == ("pcm", 8000)
+    stored = audio.store_texts(frame(spark, [(1, "abc", *DATA[0][2:])])).first()
+    assert audio.unriff(bytes(stored.pcm)) == ("pcm", 16000, audio.resampled(audio.MULAW[np.frombuffer(bytes(stored.payload), np.uint8)], 8000, 16000).astype("<i2").tobytes())
 
 
 def brute_spans(t):
@@ -258,6 +273,23 @@ def test_differencing_balances():
     assert (np.sort(place, axis=1) == np.arange(8)).all()
 
 
+def test_embeddings_repeated_ids(spark):
+    """Rows that repeat an id are vectors of their own."""
+    v1, v2 = [1.0, 0.0], [0.0, 1.0]
+    data = [(1, v1, 3), (1, v2, 9), (2, v2, 3), (3, v1, 3), (4, v2, 9), (1, v1, 3)]
+    got = sorted(map(tuple, ann.near_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (4, 1, 1, False)]
+
+
+def test_table_keys_grow():
+    assert ann.key_bits(1000) == 16 and ann.rotations(16) == 4 and ann.key_bits(1 << 26) == 22
+    for bits in (16, 19, 22, 32):
+        tables = ann.rotations(bits) * (ann.BITS // bits)
+        assert (1 - (1 - ann.BIT_DIFFERS) ** bits) ** tables <= ann.MISSED * 1.2
+    x = np.random.default_rng(1).standard_normal((50, 8))
+    assert ann.Quantiser(x, 19)(x).shape == (50, ann.Quantiser(x, 19).tables) and ann.Quantiser(x, 19)(x).max() < 1 << 19
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(ann, "TILE", 16)
     rng = np.random.default_rng(3)
@@ -541,3 +573,72 @@ def test_html_self_closed():
     formula = "<math><mi>a</mi><mo>=</mo><mn>2</mn></math>"
     assert html_text.main_text(_page(f"<article>{body}<p>Here {formula} holds.</p></article>")).split("\n") == [*want, "Here a=2 holds."]
     assert html_text.main_text(_page(f"<script>if (a < '<svg/>') {{}}</script><article>{body}</article>")).split("\n") == want
+
+
+def test_html_broken_markup_is_linear():
+    import time
+
+    text = "<p>before</p>" + '<a href="' * 40_000
+    began = time.perf_counter()
+    assert html_text.main_text(text).startswith("before")
+    for broken in ("<div>" * 20_000 + "<td>" * 20_000, "<li>" * 20_000 + "x", "<" * 100_000, "<!" * 50_000, "<script>" * 20_000, "<b '" * 30_000 + ">"):
+        html_text.main_text(broken)
+    assert time.perf_counter() - began < 20
+    assert html_text.main_text('<p title="a > b">one</p><script>if (a<b && "x) {}</script><p>two</p>') == "one\ntwo"
+
+
+class Brute:
+    """Densities by the definition, each node's from its own walk over all that stands below it."""
+
+    def __init__(self, page):
+        self.root = html_text.parse(page)
+
+    def below(self, node):
+        """(characters, tags, characters in links, links) under a node, without furniture."""
+        c = t = lc = lt = 0
+        for x in node.children:
+            if isinstance(x, str):
+                c += len(" ".join(x.split()))
+            elif not x.drop:
+                n = self.below(x)
+                c, t = c + n[0], t + n[1] + 1
+                lc, lt = (lc + n[0], lt + n[3] + 1) if x.tag == "a" else (lc + n[2], lt + n[3])
+        return c, t, lc, lt
+
+
+def test_html_counts_against_brute_force():
+    rng = random.Random(7)
+
+    def block(depth):
+        kind = rng.choice(["div", "section", "p", "ul", "p", "nav"])
+        if kind == "p" or depth == 0:
+            return f"<p>{words(rng, rng.randint(1, 30))}{' <a href=x>' + words(rng, 2) + '</a>' if rng.random() < 0.4 else ''}</p>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li><a href=y>{words(rng, 2)}</a></li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+        return f"<{kind}>" + "".join(block(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{kind}>"
+
+    for _ in range(60):
+        page = "<html><body>" + "".join(block(3) for _ in range(4)) + "</body></html>"
+        brute, root = Brute(page), html_text.parse(page)
+        nodes, share = html_text.densities(root)
+        density = {}
+        for n in nodes:
+            if not n.drop:
+                assert tuple(n.own) == brute.below(n)
+                density[n] = html_text._density(n.own, share)
+
+        def total(n):  # of the densities of its children; the core has the largest, found here by looking at all nodes
+            if not n.blocks:
+                return density[n]
+            return sum(html_text._density(html_text._counts(x)[0], share) if isinstance(x, list) else density[x] for x in html_text._parts(n))
+
+        best, threshold, _ = html_text.core(root)
+        body = next(n for n in nodes if n.tag == "body")
+        inside = [n for n in html_text._walk(body) if not n.drop and (n.blocks or n.tag in html_text.BLOCK)]
+        if any(density[n] for n in inside):
+            assert abs(total(best) - max(map(total, inside))) < 1e-9
+            up, path = best, []
+            while up is not body.parent:
+                path.append(min(density[up], html_text._density(up.shown, share)))
+                up = up.parent
+            assert abs(threshold - min(path)) < 1e-9
