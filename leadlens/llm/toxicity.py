@@ -147,6 +147,21 @@ class Model:
         self.whole = frozenset(x for t, v in sought.items() if not v[1] for x in shortened(t))
         self.opening = frozenset(x for t, v in sought.items() if v[1] for x in shortened(t))
         self.opening_lengths = sorted({len(t) + d for t, v in sought.items() if v[1] for d in (-1, 0, 1)})
+        # An edit or swap leaves a term's first letters as they are, or else all from the one after next on.
+        self.halves: dict[int, list[tuple[int, int, set[str], set[str]]]] = {}
+        self.first, self.inner = set(), set()
+        for t, v in sought.items():
+            k = max(2, (len(t) - 1) // 2)
+            if v[1]:
+                self.first.add(t[:k])
+                self.inner.add(t[k + 1 : k + 3])
+                continue
+            for n in range(len(t) - 1, len(t) + 2):
+                same = next((x for x in self.halves.setdefault(n, []) if x[:2] == (k, len(t) - k - 1)), None)
+                if same is None:
+                    self.halves[n].append(same := (k, len(t) - k - 1, set(), set()))
+                same[2].add(t[:k])
+                same[3].add(t[k + 1 :])
 
     def __getstate__(self):
         return {"terms": self.terms, "weights": self.weights, "bias": self.bias, "under": self.under, "ordinary": self.ordinary}
@@ -168,9 +183,14 @@ class Model:
 
     def may_be_near(self, word: str) -> bool:
         """False only for words that the automaton can't accept; most words are told apart here, without a walk of the trie."""
-        if not self.whole.isdisjoint(shortened(word)):
-            return True
-        return any(not self.opening.isdisjoint(shortened(word[:k])) for k in self.opening_lengths if len(word) >= k)
+        for k, rest, heads, tails in self.halves.get(len(word), ()):
+            if word[:k] in heads or word[-rest:] in tails:
+                if not self.whole.isdisjoint(shortened(word)):
+                    return True
+                break
+        if self.first and (word[:2] in self.first or not self.inner.isdisjoint((word[2:4], word[3:5], word[4:6]))):
+            return any(not self.opening.isdisjoint(shortened(word[:k])) for k in self.opening_lengths if len(word) >= k)
+        return False
 
     def at_work(self) -> Model:
         """This model with the words that the worker's earlier tasks have looked up in it."""
