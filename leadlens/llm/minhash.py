@@ -113,26 +113,22 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("rep").take(pa.array(row)), pa.array(parent.view(np.int64)), pa.array(node.view(np.int64)), pa.array(np.full(len(row), depth, np.int32))], ["rep", "parent", "node", "depth"])
 
 
-class Sets:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+def star(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between the places ``x`` and ``y`` of ascending ids: every id that reaches a smaller one, after the smallest it reaches."""
+    low = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, x, low[y])
+        np.minimum.at(new, y, low[x])
+        new = new[new]
+        if (new == low).all():
+            some = np.flatnonzero(low != np.arange(len(ids)))
+            return ids[low[some]], ids[some]
+        low = new
 
 
 def _near_in_nodes(percent: int):
-    """A forest of the pairs in each small node whose sizes and sketches allow a link."""
+    """The pairs in each small node whose sizes and sketches allow a link, as stars around the least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in whole_groups(batches, ["node"], 4096):
@@ -144,14 +140,10 @@ def _near_in_nodes(percent: int):
             two = two[near(two, two + 1)]
             a, b = [rep[two]], [rep[two + 1]]
             for g in np.flatnonzero(size > 2):
-                ids = np.arange(bounds[g], bounds[g + 1])
-                i, j = np.nonzero(np.triu(near(ids[:, None], ids[None, :]), 1))
-                forest = Sets(len(ids))
-                kept = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
-                if kept:
-                    x, y = np.array(kept).T
-                    a.append(rep[ids[x]])
-                    b.append(rep[ids[y]])
+                at = np.arange(bounds[g], bounds[g + 1])
+                u, v = star(rep[at], *np.nonzero(np.triu(near(at[:, None], at[None, :]), 1)))
+                a.append(u)
+                b.append(v)
             yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return tidy(run)
@@ -163,18 +155,14 @@ def link_forest(sets: list[np.ndarray], percent: int, labels: np.ndarray | None
     Pairs that are joined already, or share a label, aren't compared; ``left`` says which sets to compare with all others.
     """
     n = len(sets)
-    forest, out = Sets(n), []
-    if labels is not None:
-        first: dict[int, int] = {}
-        for i, x in enumerate(labels.tolist()):
-            forest.join(first.setdefault(x, i), i)
+    out = []
+    root = np.arange(n) if labels is None else np.unique(labels, return_inverse=True)[1]
     size = np.array([len(s) for s in sets])
     token, place = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
     owner = np.repeat(np.arange(n), size)
     by_token = np.argsort(place, kind="stable")
     first_of = np.searchsorted(place[by_token], np.arange(len(token) + 1))
     owner_by_token, ends = owner[by_token], np.concatenate([[0], np.cumsum(size)])
-    root = np.array([forest.find(j) for j in range(n)], np.int64)
     for i in range(n) if left is None else np.flatnonzero(left).tolist():
         other = root != root[i]
         if left is None:
@@ -202,13 +190,15 @@ def _confirm(words: int, percent: int, residual: bool):
             ids = t.column("doc_id").to_numpy()
             labels, left = (t.column("label").to_numpy(), t.column("left").to_numpy()) if residual else (None, None)
             text = t.column("text").combine_chunks()
-            a, b = [], []
+            a, b = [ids[:0]], [ids[:0]]
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 sets = shingle_sets(*buffers(text.slice(lo, hi - lo)), words)
-                for i, j in link_forest(sets, percent, labels[lo:hi] if residual else None, left[lo:hi] if residual else None):
-                    a.append(ids[lo + i])
-                    b.append(ids[lo + j])
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                pairs = link_forest(sets, percent, labels[lo:hi] if residual else None, left[lo:hi] if residual else None)
+                if pairs:
+                    u, v = star(ids[lo:hi], *np.array(pairs).T)
+                    a.append(u)
+                    b.append(v)
+            yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return tidy(run)
 
@@ -245,11 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     one = saved(signed.groupBy("doc_id").agg(F.min(F.struct("th", "f1", "f2", "n")).alias("x")).select("doc_id", "x.*"))
     same = one.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), "x.th")
     wanted = same.select("rep", "th")
-    chosen = signed.where("n > 0").withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "th"], "left_semi").select("rep", "th", "n", *SKETCH, "nodes")
-    kept = saved(chosen.dropDuplicates(["rep"]))
+    kept = saved(_named(signed.where("n > 0"), wanted).select("rep", "th", "n", *SKETCH, "nodes").dropDuplicates(["rep"]))
     reps = kept.drop("nodes")
 
-    links = _candidates(kept, reps, signed.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "th"], "left_semi"), percent)
+    links = _candidates(kept, reps, _named(signed, wanted), percent)
     blobs = components(links).withColumnsRenamed({"id": "rep", "label": "blob"})
     sized = blobs.join(reps.select("rep", "th", "n"), "rep")
     parts = sized.groupBy("blob").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_ROWS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("parts"))
@@ -275,6 +264,11 @@ def text_rank() -> F.Column:
     return F.xxhash64(utf8("text"))
 
 
+def _named(signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The signed rows that ``wanted`` (rep, th) names; repeated rows come more than once."""
+    return signed.withColumnRenamed("doc_id", "rep").join(wanted.withColumnRenamed("th", "_th"), "rep").where("th = _th").drop("_th")
+
+
 def _candidates(kept: DataFrame, reps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join whatever the trees' nodes hold together: found in small nodes, or to the first of large ones.
 
@@ -289,7 +283,7 @@ def _candidates(kept: DataFrame, reps: DataFrame, signed: DataFrame, percent: in
         dense = saved(_dense(hot, reps))
         to_hub.append(hot.join(dense, "node", "left_semi"))
         rest = hot.join(dense, "node", "left_anti").select("rep", "node")
-        signatures = signed.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+        signatures = signed.select("rep", "sig").dropDuplicates(["rep"])
         paths = saved(rest.join(signatures, "rep").mapInArrow(tidy(_descend), "rep long, parent long, node long, depth int").distinct())
         below = saved(paths.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1"))
         # What stands under a small node was compared there.
@@ -298,7 +292,7 @@ def _candidates(kept: DataFrame, reps: DataFrame, signed: DataFrame, percent: in
         ends = saved(first.join(below, "node").where(f"rows <= {NODE_ROWS} or depth = {DEEPEST}").select("rep", "node", "rows", "hub"))
         small = small.unionByName(ends.where(f"rows <= {NODE_ROWS}").select("node", "rep"))
         to_hub.append(ends.where(f"rows > {NODE_ROWS}"))
-    rows = small.distinct().join(reps, "rep").repartition("node").sortWithinPartitions("node")
+    rows = small.distinct().join(reps, "rep").repartition("node").sortWithinPartitions("node", "rep")
     found = rows.mapInArrow(_near_in_nodes(percent), "a long, b long")
     for x in to_hub:
         found = found.unionByName(x.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))

@@ -76,13 +76,14 @@ def test_link_forest_compares_all_sets():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(60)] + [np.zeros(0, np.uint64)]
     near = {(i, j) for i in range(61) for j in range(i) if len(sets[i]) and len(sets[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))}
-    a, b = minhash.Sets(61), minhash.Sets(61)
-    for i, j in near:
-        a.join(i, j)
-    for i, j in minhash.link_forest(sets, 50):
-        assert (max(i, j), min(i, j)) in near
-        b.join(i, j)
-    assert [a.find(i) for i in range(61)] == [b.find(i) for i in range(61)]
+    forest = minhash.link_forest(sets, 50)
+    assert all((max(i, j), min(i, j)) in near for i, j in forest)
+    low = [i for i in range(61)]
+    for _ in range(61):
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    stars = minhash.star(np.arange(61), *np.array(forest).T)
+    assert sorted(zip(*(x.tolist() for x in stars), strict=True)) == sorted((m, i) for i, m in enumerate(low) if m != i)
 
 
 def test_components(spark):
@@ -499,6 +500,21 @@ def test_one_edit_automaton():
             assert bool(trie.near(w)) == any(distance(w, t) == 1 for t in terms)
 
 
+def test_edits_pass_the_first_test():
+    """may_be_near() is true for every word that the automaton accepts."""
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("abcd") for _ in range(rng.randint(4, 11))): (1.0, False) for _ in range(12)} | {"stemm": (2.0, True), "opened": (2.0, True)}
+    m = toxicity.Model(terms, under={"stemming": 1.0})
+    for _ in range(4000):
+        w = list(rng.choice([*terms, "stemming"]))
+        for _ in range(rng.choice([1, 1, 2])):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randint(0, 2)] = rng.choices("abcdeém", k=rng.randint(0, 2)) if rng.random() < 0.7 else w[i : i + 2][::-1]
+            w = w or ["a"]
+        word = "".join(w) + rng.choice(["", "", "ing"])
+        assert m.may_be_near(word) or not max(m.near.near(word), m.near.swapped(word)) or len(word) < 3, word
+
+
 def test_quotation_lowers_context():
     m = toxicity.Model({"moron": (5.0, False), "lowei": (4.0, True)}, [0.0] * 7, 0.0)
     plain, quoted = m.features("you are a moron today"), m.features('he said "you are a moron" to them')
