@@ -20,9 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def files(rows: int) -> int:
+    """How many files narrow rows are saved in: one for 50,000 rows up to 64, one for a million beyond."""
+    return max(1, min(64, -(-rows // 50_000)), -(-rows // 1_000_000))
+
+
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise in the shared checkpoint folder, so that a lost executor costs no recomputation of what came before.
 
+    ``rows`` is about how many rows there are, if that is known: small results of many partitions become few files.
+
     The folder is the cluster's ``spark.checkpoint.dir``. Only a session whose executors are threads of the driver may
     go without: it gets a temporary folder.
     """
@@ -33,7 +40,7 @@ def saved(df: DataFrame) -> DataFrame:
         if not folder and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leadlens-"))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(files(rows))).checkpoint(eager=True)
 
 
 def least_hashed(df: DataFrame, key: str, k: int) -> DataFrame:

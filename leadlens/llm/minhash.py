@@ -232,28 +232,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), text_rank().alias("th"))
     kinds = ", ".join(f"{c} long" for c in ("doc_id", "th", "n", "f1", "f2", *SKETCH))
     signed = saved(docs.mapInArrow(_sign(words), f"{kinds}, sig binary, nodes array<long>"))
-    one = saved(signed.groupBy("doc_id").agg(F.min(F.struct("th", "f1", "f2", "n")).alias("x")).select("doc_id", "x.*"))
+    count = signed.count()
+    one = saved(signed.groupBy("doc_id").agg(F.min(F.struct("th", "f1", "f2", "n")).alias("x")).select("doc_id", "x.*"), count)
     same = one.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), "x.th")
     wanted = same.select("rep", "th")
-    kept = saved(_named(signed.where("n > 0"), wanted).select("rep", "th", "n", *SKETCH, "nodes").dropDuplicates(["rep"]))
+    kept = saved(_named(signed.where("n > 0"), wanted).select("rep", "th", "n", *SKETCH, "nodes").dropDuplicates(["rep"]), count)
     reps = kept.drop("nodes")
 
-    links = _candidates(kept, reps, _named(signed, wanted), percent)
-    blobs = components(links).withColumnsRenamed({"id": "rep", "label": "blob"})
+    links = _candidates(kept, reps, _named(signed, wanted), percent, count)
+    blobs = components(links, rows=count).withColumnsRenamed({"id": "rep", "label": "blob"})
     sized = blobs.join(reps.select("rep", "th", "n"), "rep")
     parts = sized.groupBy("blob").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_ROWS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("parts"))
-    dealt = saved(sized.join(parts, "blob").select("rep", "th", "blob", "parts", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("chunk")))
+    dealt = saved(sized.join(parts, "blob").select("rep", "th", "blob", "parts", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("chunk")), count)
     split = dealt.where("parts > 1")
     several = not split.isEmpty()
-    texts = saved(_texts(docs, dealt.select("rep", "th"))) if several else docs
+    texts = saved(_texts(docs, dealt.select("rep", "th")), count) if several else docs
     # The first member of a split group stands in each of its chunks, so that most of them grow together at once.
     guests = split.where("rep = blob").select("rep", "th", "blob", "parts", F.explode(F.expr("sequence(0, parts - 1)")).alias("chunk"))
     rows = dealt.where("parts = 1 or rep != blob").unionByName(guests) if several else dealt
-    exact = saved(_confirmed(texts, rows.select("rep", "th", "blob", "chunk", F.lit(0).alias("other")), words, percent))
+    exact = _confirmed(texts, rows.select("rep", "th", "blob", "chunk", F.lit(0).alias("other")), words, percent)
     if several:
-        exact = exact.union(_across_chunks(texts, split, exact, words, percent))
+        exact = saved(exact.distinct(), count)
+        exact = exact.union(_across_chunks(texts, split, exact, words, percent, count))
 
-    joined = components(exact).withColumnsRenamed({"id": "rep", "label": "low"})
+    joined = components(exact, rows=count).withColumnsRenamed({"id": "rep", "label": "low"})
     tops = same.join(joined, "rep", "left").select("f1", "f2", "n", F.coalesce("low", "rep").alias("low"))
     low = F.coalesce("low", "doc_id")
     return one.join(tops, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), low.alias("component_id"), (F.col("doc_id") == low).alias("kept"))
@@ -269,27 +271,27 @@ def _named(signed: DataFrame, wanted: DataFrame) -> DataFrame:
     return signed.withColumnRenamed("doc_id", "rep").join(wanted.withColumnRenamed("th", "_th"), "rep").where("th = _th").drop("_th")
 
 
-def _candidates(kept: DataFrame, reps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _candidates(kept: DataFrame, reps: DataFrame, signed: DataFrame, percent: int, count: int) -> DataFrame:
     """Links (a, b) that join whatever the trees' nodes hold together: found in small nodes, or to the first of large ones.
 
     All steps of the recursion are made at once: a path goes on below large nodes and ends in the first small one.
     """
     nodes = kept.select("rep", F.explode("nodes").alias("node"))
     sizes = nodes.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1")
-    shared = saved(nodes.join(sizes, "node"))
+    shared = saved(nodes.join(sizes, "node"), 8 * count)
     small, hot = shared.where(f"rows <= {NODE_ROWS}").select("node", "rep"), shared.where(f"rows > {NODE_ROWS}")
     to_hub = []
-    if not hot.isEmpty():
-        dense = saved(_dense(hot, reps))
+    if many := hot.count():
+        dense = saved(_dense(hot, reps), many // NODE_ROWS)
         to_hub.append(hot.join(dense, "node", "left_semi"))
         rest = hot.join(dense, "node", "left_anti").select("rep", "node")
         signatures = signed.select("rep", "sig").dropDuplicates(["rep"])
-        paths = saved(rest.join(signatures, "rep").mapInArrow(tidy(_descend), "rep long, parent long, node long, depth int").distinct())
-        below = saved(paths.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1"))
+        paths = saved(rest.join(signatures, "rep").mapInArrow(tidy(_descend), "rep long, parent long, node long, depth int").distinct(), 14 * many)
+        below = saved(paths.groupBy("node").agg(F.count("*").alias("rows"), F.min("rep").alias("hub")).where("rows > 1"), 4 * many)
         # What stands under a small node was compared there.
         large = below.where(f"rows > {NODE_ROWS}").select(F.col("node").alias("parent"))
         first = paths.where(f"depth = {DEPTH + 1}").unionByName(paths.where(f"depth > {DEPTH + 1}").join(large, "parent", "left_semi").select(paths.columns))
-        ends = saved(first.join(below, "node").where(f"rows <= {NODE_ROWS} or depth = {DEEPEST}").select("rep", "node", "rows", "hub"))
+        ends = saved(first.join(below, "node").where(f"rows <= {NODE_ROWS} or depth = {DEEPEST}").select("rep", "node", "rows", "hub"), 4 * many)
         small = small.unionByName(ends.where(f"rows <= {NODE_ROWS}").select("node", "rep"))
         to_hub.append(ends.where(f"rows > {NODE_ROWS}"))
     rows = small.distinct().join(reps, "rep").repartition("node").sortWithinPartitions("node", "rep")
@@ -309,13 +311,13 @@ def _dense(hot: DataFrame, reps: DataFrame) -> DataFrame:
     return hot.join(reps.select("rep", *SKETCH), "rep").join(hubs, "node").groupBy("node").agg(F.avg((differ <= SKETCH_DIFFER).cast("int")).alias("near")).where("near >= 0.5").select("node")
 
 
-def _across_chunks(docs: DataFrame, dealt: DataFrame, exact: DataFrame, words: int, percent: int) -> DataFrame:
+def _across_chunks(docs: DataFrame, dealt: DataFrame, exact: DataFrame, words: int, percent: int, count: int) -> DataFrame:
     """The links of split groups that lie across chunks: members outside the group's largest class against all others."""
-    known = components(exact).withColumnsRenamed({"id": "rep"})
-    named = saved(dealt.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    known = components(exact, rows=count).withColumnsRenamed({"id": "rep"})
+    named = saved(dealt.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep")), count)
     counted = named.groupBy("blob", "label").agg(F.count("*").alias("rows"))
     largest = counted.groupBy("blob").agg(F.max_by("label", F.struct("rows", "label")).alias("main"))
-    rest = saved(named.join(largest, "blob").where("label != main").drop("main"))
+    rest = saved(named.join(largest, "blob").where("label != main").drop("main"), count)
     others = rest.groupBy("blob").agg(F.ceil(F.count("*") / F.lit(CHUNK_ROWS)).cast("int").alias("others"))
     rest = rest.join(others, "blob").withColumn("other", F.expr("cast(pmod(xxhash64(rep, 7), others) as int)"))
     guests = rest.withColumn("chunk", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("left", F.lit(True))
@@ -323,4 +325,4 @@ def _across_chunks(docs: DataFrame, dealt: DataFrame, exact: DataFrame, words: i
     hosts = hosts.join(rest.select("rep", "other"), ["rep", "other"], "left_anti")
     columns = ["rep", "th", "blob", "chunk", "other", "label", "left"]
     rows = guests.select(columns).unionByName(hosts.select(columns))
-    return saved(_confirmed(docs, rows, words, percent, residual=True))
+    return saved(_confirmed(docs, rows, words, percent, residual=True).distinct(), count)
