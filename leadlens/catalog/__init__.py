@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlens.catalog import domain, graph, relational, scoring, streams, temporal, textual  # noqa: F401
+from leadlens.catalog import domain, graph, relational, scoring, stories, streams, temporal, textual  # noqa: F401
 from leadlens.registry import QUERIES
 
 

@@ -10,16 +10,17 @@ from leadlens.operators.ranking import first_per, interleave, top_per
 from leadlens.plans.carriers import LEADS_SQL, leads
 from leadlens.registry import Tables, query
 
-VARIED_NAME = "c_name || CASE c_custkey % 4 WHEN 0 THEN ' (Alias ' || CAST(c_custkey AS STRING) || ')' WHEN 1 THEN ', or ALIAS ' || CAST(c_custkey AS STRING) WHEN 2 THEN ' Pvt Ltd Division' ELSE '' END"
+VARIED_NAME = "c_name || CASE c_custkey % 5 WHEN 0 THEN ' (Alias ' || CAST(c_custkey AS STRING) || ')' WHEN 1 THEN ', or ALIAS ' || CAST(c_custkey AS STRING) WHEN 2 THEN ' Pvt Ltd Division' WHEN 3 THEN ', aka Alias ' || CAST(c_custkey AS STRING) || ' (Short ' || CAST(c_custkey AS STRING) || ')' ELSE '' END"
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 2 THEN c_name || ' Pvt Ltd Division' ELSE c_name END AS main, CASE c_custkey % 4 WHEN 0 THEN 'Alias ' || c_custkey WHEN 1 THEN 'ALIAS ' || c_custkey END AS alias FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 2 THEN c_name || ' Pvt Ltd Division' ELSE c_name END AS main, CASE c_custkey % 5 WHEN 0 THEN 'Alias ' || c_custkey WHEN 1 THEN 'ALIAS ' || c_custkey WHEN 3 THEN 'Short ' || c_custkey || '|Alias ' || c_custkey ELSE '' END AS aliases FROM customer")
 def name_parts(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", names.name_parts(F.expr(VARIED_NAME)).alias("p")).select("c_custkey", "p.main", "p.alias")
+    """Main names and the other names written beside them, one or two."""
+    return t.customer.select("c_custkey", names.name_parts(F.expr(VARIED_NAME)).alias("p")).select("c_custkey", "p.main", F.array_join("p.aliases", "|").alias("aliases"))
 
 
 @query("""WITH k AS (SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) AS base FROM customer)
-SELECT c_custkey, array_to_string(list_sort(CASE c_custkey % 4 WHEN 0 THEN [base, 'alias ' || c_custkey] WHEN 1 THEN [base, 'alias ' || c_custkey] WHEN 2 THEN [base || ' division', base] ELSE [base] END), '|') AS keys FROM k""")
+SELECT c_custkey, array_to_string(list_sort(CASE c_custkey % 5 WHEN 0 THEN [base, 'alias ' || c_custkey] WHEN 1 THEN [base, 'alias ' || c_custkey] WHEN 2 THEN [base || ' division', base] WHEN 3 THEN [base, 'alias ' || c_custkey, 'short ' || c_custkey] ELSE [base] END), '|') AS keys FROM k""")
 def company_keys(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(F.array_sort(names.company_keys(F.expr(VARIED_NAME))), "|").alias("keys"))
 

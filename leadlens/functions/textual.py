@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+#: White space that isn't a plain blank or a line break, from the Unicode tables.
+_BLANKS = "".join(chr(i) for i in [*range(0x80, 0x3001), 0xFEFF] if unicodedata.category(chr(i)) == "Zs" or i in (0x200B, 0xFEFF))
+#: Signs that are one in comparisons.
+SAME_SIGN = {"'": "‘’‚‛′´`", '"': "“”„‟″", "-": "‐‑‒–—―−", "ا": "آأإٱ", "ي": "ى", "ه": "ة"}
+#: Arabic marks above and below letters, and the stroke that stretches words, from the Unicode tables.
+_ARABIC_MARKS = "".join(chr(i) for i in range(0x600, 0x700) if unicodedata.category(chr(i)) == "Mn") + "\u0640"
+
+
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Letters with their combining marks as one character each (NFC), for which there is no built-in function."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def clean(c: Column) -> Column:
-    """White space runs to one blank, lines trimmed, at most one empty line; composed characters are left as they come."""
-    flat = F.regexp_replace(F.translate(c, "   　", "    "), r"[ \t\f\x0b]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(flat, r"\s*\n\s*", "\n"), r"\n{3,}", "\n\n"))
+    """White space runs to one blank, lines trimmed, at most one empty line. composed() goes before it where texts need it."""
+    lines = F.split(F.translate(c, _BLANKS + "\t\f\x0b", " " * (len(_BLANKS) + 3)), "\n")
+    trimmed = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, " +", " ")))
+    return F.trim(F.array_join(F.filter(trimmed, lambda x: x != ""), "\n"))
 
 
 def match_form(c: Column) -> Column:
-    """For comparing quotes: one form of quotes, dashes and Arabic letters, lower case, single blanks."""
-    arabic = F.translate(F.regexp_replace(c, "[ؐ-ًؚ-ٰٟۖ-ۭـ]", ""), "آأإٱىة", "اااايه")
-    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(arabic, "[‘’‚‛′´`]", "'"), "[“”„‟″]", '"'), "[‐-―−]", "-")
-    return F.trim(F.regexp_replace(F.lower(marks), r"\s+", " "))
+    """For comparing quotes: one form of quotes, dashes and Arabic letters, no Arabic marks, lower case, single blanks."""
+    signs = F.translate(c, "".join(SAME_SIGN.values()) + _ARABIC_MARKS, "".join(k * len(v) for k, v in SAME_SIGN.items()))
+    return F.trim(F.regexp_replace(F.lower(signs), r"\s+", " "))
 
 
 def has_term(c: Column, term: str) -> Column:
@@ -34,7 +51,7 @@ def word_count(c: Column) -> Column:
 
 def query_terms(c: Column, drop: list[str] = ("the", "for", "of", "all", "any")) -> Column:
     """The parts of a search between commas, semicolons, slashes, "or" and "and"; phrases over three words also word by word."""
-    parts = F.filter(F.transform(F.split(F.lower(c), r"\s*(?:[,;/]|\bor\b|\band\b)\s*"), F.trim), lambda x: (x != "") & ~x.isin(*drop))
+    parts = F.filter(F.transform(F.split(F.lower(c), r"\s*(?:[,;/]|\bor\b|\band\b)\s*"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(*drop))
     words = F.flatten(F.transform(F.filter(parts, lambda p: F.size(F.split(p, " ")) > 3), lambda p: F.filter(F.split(p, " "), lambda w: ~w.isin(*drop))))
     return F.array_distinct(F.concat(parts, words))
 

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from leadlens.functions import dates, fuzzy, money, names, textual, urls
+from leadlens.functions import dates, evidence, fuzzy, money, names, rules, textual, urls
 from leadlens.operators import ranking as rk
 from leadlens.operators.filters import LeadFilter, at_least, like_literal
 from leadlens.operators.resolve import resolve_companies
@@ -35,8 +35,12 @@ def test_company_key(spark, name, want):
 
 
 def test_names(spark):
-    assert tuple(one(spark, names.name_parts, "Big Oil Co. (Biggy)")) == ("Big Oil Co.", "Biggy")
-    assert tuple(one(spark, names.name_parts, "East Pipes, or EPIC")) == ("East Pipes", "EPIC")
+    assert tuple(one(spark, names.name_parts, "Big Oil Co. (Biggy)")) == ("Big Oil Co.", ["Biggy"])
+    assert tuple(one(spark, names.name_parts, "East Pipes, or EPIC")) == ("East Pipes", ["EPIC"])
+    assert tuple(one(spark, names.name_parts, 'East Pipes, or "EPIC" (Easty)')) == ("East Pipes", ["Easty", "EPIC"])
+    assert [tuple(one(spark, names.name_parts, n)) for n in ("Plain, Ltd.", "(Odd)", "A (B) C")] == [("Plain, Ltd.", []), ("(Odd)", []), ("A (B) C", [])]
+    assert set(one(spark, names.company_keys, "Saudi Arabian Oil Co. (Saudi Aramco)")) == {"saudi arabian oil", "saudi aramco", "known:aramco"}
+    assert [one(spark, names.tidy_company, n) for n in ("Wednesday.GMDA", "UAE's Emarat", "Dubai-based Acme;", "The UAE", "Saudi Arabia", "Acme")] == ["GMDA", "Emarat", "Acme", None, None, "Acme"]
     assert one(spark, names.display_name, "East Pipes, or EPIC") == "East Pipes (EPIC)"
     assert one(spark, names.variant_key, "Welding Corp Associate Unit") == "welding"
     assert set(one(spark, names.company_keys, "Big Oil Division (Biggy)")) == {"big oil division", "big oil", "biggy"}
@@ -66,6 +70,66 @@ def test_publisher(spark, url, want):
     assert one(spark, urls.publisher, url) == want
 
 
+def test_dates(spark):
+    day = lambda t: [(d.y, d.m, d.d) for d in one(spark, dates.dates_in, t)]
+    assert day("15 March 2026, then 2026-03 and April 1st, 2027 or 3/4/2025; 2026-01-10") == [(2026, 3, 15), (2026, 3, None), (2027, 4, 1), (2025, 4, 3), (2026, 1, 10)]
+    backed = lambda v, q: one(spark, dates.date_backed, v, q)
+    month, exact = "The tender closes in March 2026", "Bids are due by 15 March 2026"
+    assert [backed(v, month) for v in ("15 March 2026", "2026-03-15", "March 2026", "2026-03", "April 2026")] == [False, False, True, True, False]
+    assert [backed(v, exact) for v in ("2026-03-15", "2026-03-16", "5 March 2026", "March 2026")] == [True, False, False, True]
+
+
+def test_numbers(spark):
+    backed = lambda v, q: one(spark, money.number_backed, v, q)
+    assert backed("14,500,000,000", "valued at Rs 1,450 crore") and backed("24", "120 km of 24-inch") and not backed("25", "24-inch")
+    assert not backed("USD 1.2 billion", "1.2 km of pipe") and backed("USD 1,200 million", "a USD 1.2 billion order")
+    assert not backed("EUR 1.2 billion", "a USD 1.2 billion order") and not backed("120 km 36-inch", "120 km of 24-inch")
+
+
+DOC = "Example Infra Projects Ltd has received an EPC order from Example Gas Transmission Ltd.\nThe order is valued at Rs 1,450 crore. It covers   120 km of 24-inch API 5L X65 line pipe, per the “filing”."
+
+
+def test_quotes(spark):
+    how = lambda q: one(spark, evidence.found_quote, DOC, q).how
+    assert how("an EPC order from Example Gas") == "exact" and how('covers 120 KM of 24-inch API 5L X65 line pipe, per the "filing"') == "same"
+    assert how("Example Infra Projects Ltd has recieved an EPC order from Example Gas Transmission Ltd") == "near" and how("awarded to Example Pipes") == "none" and how("") == "none"
+    assert one(spark, evidence.original_quote, DOC, 'covers 120 km of 24-INCH') == "covers   120 km of 24-inch" and one(spark, evidence.original_quote, DOC, 'per the "filing"') == "per the “filing”"
+    assert one(spark, evidence.value_backed, "Gas Transmission", "an order from Example Gas  transmission ltd", "name") and not one(spark, evidence.value_backed, "X70", "API 5L X65", "text")
+
+
+def test_sentences(spark):
+    text = "Acme Ltd. won it. Mr. Khan said so! It has 5.5 km.\nLast line"
+    assert one(spark, evidence.sentences, text) == ["Acme Ltd. won it.", "Mr. Khan said so!", "It has 5.5 km.", "Last line"]
+    around = lambda a, b: one(spark, lambda c: evidence.sentence_around(c, F.lit(a), F.lit(b)), text)
+    assert around(18, 26) == "Mr. Khan said so!" and around(0, 20) == "Acme Ltd. won it. Mr. Khan said so!"
+    long = "A " + "word " * 200 + "here the quote stands " + "more " * 200
+    cut = one(spark, lambda c: evidence.sentence_around(c, F.lit(long.index("quote")), F.lit(long.index("quote") + 5)), long)
+    assert "here the quote stands" in cut and len(cut) <= 420 and long.find(cut) > 0 and cut.split(" ")[0] == "word"
+
+
+def test_attribution(spark):
+    assert one(spark, evidence.names_company, "by ACME-Pipes, Ltd. today", "Acme Pipes Ltd") and not one(spark, evidence.names_company, "AcmePipesLtdx", "Acme Pipes Ltd")
+    text = "Acme Pipes builds lines. It installs valves in Oman. Zeta Works fabricates tanks."
+    about = lambda q: one(spark, lambda c: evidence.attributed(c, F.lit(q), F.lit("Acme Pipes"), F.lit("Acme Pipes builds lines.")), text)
+    assert about("builds lines") == "Acme Pipes builds lines." and about("It installs valves in Oman.") == "Acme Pipes builds lines. It installs valves in Oman."
+    assert about("Zeta Works fabricates tanks") is None and about("tanks") is None
+
+
+def test_rules(spark):
+    assert [one(spark, rules.buying_role, x) for x in ("Head of Procurement", "Projects Director", "CEO", "Piping Engineer", "Clerk", None)] == ["procurement_lead", "project_director", "executive", "technical_evaluator", "other", "other"]
+    assert [one(spark, rules.seniority, x) for x in ("Chief Procurement Officer", "Head of Projects", "Team lead", "Clerk", None)] == ["executive", "director", "manager", "specialist", None]
+    assert [one(spark, rules.junk_name, x) for x in ("Acme Pipes", "Gas Expo 2026", "Ministry of Energy", "UAE", "x", "Top 10 EPC firms", "www.acme.com")] == [None, "event", "government", "place", "length", "headline", "address"]
+    kind = lambda u, t, x="": one(spark, rules.page_kind, u, t, x)
+    assert kind("https://www.reuters.com/a", "x") == "article" and kind("https://acme.com/", "Steel") == "company_site" and kind("https://acme.com/x", "Top 10 firms") == "roundup"
+    assert kind("https://acme.com/filings/1", None) == "filing" and kind("https://x.com/", "Contract award notice") == "tender_notice" and kind("ftp://x.com/", None) == "junk"
+    got = one(spark, rules.spec, 'API5L X 65 pipe, 610 mm, iso3183')
+    assert (got.grades, got.standards, got.inches) == (["X65"], ["API 5L", "ISO 3183"], 24.0)
+    assert one(spark, rules.number_forms, "heat exchanger") == ["heat exchanger", "heat exchangers"] and one(spark, rules.number_forms, "boxes") == ["boxes", "box"] and one(spark, rules.number_forms, "api 660") == ["api 660"]
+    assert [str(one(spark, rules.dateline, x)) for x in ("Menu\nDubai, Mar. 5, 2024 - Acme won", "5 March 2024\nText", "On 5 March 2024 it won", "Feb 30, 2024")] == ["2024-03-05", "2024-03-05", "None", "None"]
+    score = lambda t: one(spark, lambda c: rules.material_score(c, F.lit("line pipe"), F.array(F.lit("linepipe"), F.lit("steel line pipe")), F.array(F.lit("api 5l"))), t)
+    assert [score(t) for t in ("line pipe", "pipe to api 5l", "some linepipe here", "pipe", "valve pipes")] == [100, 90, 68, 45, 18]
+
+
 def test_texts(spark):
     assert one(spark, textual.match_form, "“Quoted”  –  Text") == '"quoted" - text'
     assert one(spark, textual.clean, " a  b \n\n\n c ") == "a b\nc"
