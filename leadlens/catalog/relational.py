@@ -12,6 +12,7 @@ from leadlens.operators import ranking as rk
 from leadlens.operators.filters import LeadFilter
 from leadlens.plans.carriers import AS_OF, LEADS_SQL, leads
 from leadlens.registry import Tables, query
+from leadlens.sources import sinks
 
 WITH = f"WITH {LEADS_SQL}"
 SHOWN = ["lead_id", "buyer", "segment", "place", "status", "score", "created"]
@@ -276,7 +277,7 @@ def case_order(t: Tables) -> DataFrame:
 
 @query(f"{WITH}, r AS (SELECT * FROM leads WHERE lead_id = 1) SELECT l.lead_id, CAST((l.segment = r.segment) AS INT) * 3 + CAST((l.place = r.place) AS INT) * 2 + CAST((abs(l.value - r.value) / greatest(l.value, r.value) <= 0.25) AS INT) AS likeness FROM leads l, r WHERE l.lead_id <> 1 ORDER BY likeness DESC, lead_id LIMIT 50")
 def sort_lookalike(t: Tables) -> DataFrame:
-    """Likeness to one lead: its few values are looked up once and become literals of the plan."""
+    """Likeness to one lead: its row is broadcast to all others."""
     rows = leads(t)
     one = rows.where("lead_id = 1").select(F.col("segment").alias("s"), F.col("place").alias("p"), F.col("value").alias("v")).limit(1)
     near = F.abs(F.col("value") - F.col("v")) / F.greatest("value", "v") <= 0.25
@@ -340,14 +341,12 @@ m AS (SELECT lang, CAST(count(*) FILTER (WHERE quality = 1 AND r <= 20) AS DOUBL
 CAST(count(*) FILTER (WHERE quality = 1 AND r <= 20) AS DOUBLE) / nullif(count(*) FILTER (WHERE quality = 1), 0) AS recall, count(*) FILTER (WHERE toxic = 1 AND r <= 20) AS slips FROM s GROUP BY 1)
 SELECT lang, round(precision20, 6) AS precision20, round(junk, 6) AS junk, round(recall, 6) AS recall, slips FROM m""")
 def eval_precision_at_20(t: Tables) -> DataFrame:
-    ranked = t.documents.join(t.labels, "doc_id").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
-    good, early = F.col("quality") == 1, F.col("r") <= 20
-    return ranked.groupBy("lang").agg(
-        F.round(F.count_if(good & early) / F.least(F.lit(20), F.count("*")), 6).alias("precision20"),
-        F.round(F.count_if(F.col("quality") == 0) / F.count("*"), 6).alias("junk"),
-        F.round(F.try_divide(F.count_if(good & early), F.count_if(good)), 6).alias("recall"),
-        F.count_if((F.col("toxic") == 1) & early).alias("slips"),
-    )
+    """Counts over all rows by one aggregate; only the best 20 of each language are ranked."""
+    rows = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id")
+    good = F.count_if(F.col("quality") == 1)
+    all_ = rows.groupBy("lang").agg(F.count("*").alias("n"), good.alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    early = rk.top_per(rows, ["lang"], 20, F.desc("n_chars"), F.col("doc_id")).groupBy("lang").agg(good.alias("hits"), F.count_if(F.col("toxic") == 1).alias("slips"))
+    return all_.join(early, "lang").select("lang", F.round(F.col("hits") / F.least(F.lit(20), "n"), 6).alias("precision20"), F.round(F.col("bad") / F.col("n"), 6).alias("junk"), F.round(F.try_divide("hits", "good"), 6).alias("recall"), "slips")
 
 
 @query("""SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value > 50) AS large, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS units, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50) AS high FROM events GROUP BY 1""")
@@ -392,7 +391,67 @@ def greedy_quota_select(t: Tables) -> DataFrame:
     return rk.per_group(rk.top_per(rows, ["lang", "source"], 20, F.desc("n_chars"), F.col("doc_id")).drop("rank"), ["lang"], choose, "lang string, source string, doc_id long, place long")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, CASE WHEN value <= 200 THEN 200 - value ELSE CAST(200 AS DOUBLE) END AS rest, value <= 200 AS ok FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN o.value <= r.rest THEN r.rest - o.value ELSE r.rest END, o.value <= r.rest FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, event_id, CASE WHEN ok THEN 'reserved' ELSE 'exhausted' END AS state FROM r""")
 def budget_reserve(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", "ts", "value")
     return rk.per_group(rows, ["user_id"], lambda pdf: rk.reserve(pdf.sort_values(["ts", "event_id"]), "value", 200.0)[["user_id", "event_id", "state"]], "user_id long, event_id long, state string")
+
+
+@query(f"""{WITH} SELECT CASE WHEN grouping(status) = 1 THEN 'all' ELSE status END AS status, CASE WHEN grouping(segment) = 1 THEN 'all' ELSE segment END AS segment, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value
+FROM leads GROUP BY CUBE (status, segment)""")
+def grouping_sets(t: Tables) -> DataFrame:
+    """Leads and their value by status, by segment, by both and over all, in one aggregate."""
+    value = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    name = lambda c, out: F.when(F.grouping(c) == 1, "all").otherwise(F.col(c)).alias(out)
+    return leads(t).cube("status", "segment").agg(F.count("*").alias("n"), value.alias("value"), name("status", "s"), name("segment", "g")).select(F.col("s").alias("status"), F.col("g").alias("segment"), "n", "value")
+
+
+@query(f"""{WITH} SELECT lead_id, CAST(lead_id AS VARCHAR) || ',' || CASE WHEN contains(c, '"') OR contains(c, ',') THEN '"' || replace(c, '"', '""') || '"' ELSE c END || ',' || CAST(score AS VARCHAR) AS line
+FROM (SELECT lead_id, score, CASE lead_id % 4 WHEN 0 THEN chr(39) || '=' || buyer WHEN 1 THEN 'Say "' || buyer || '"' WHEN 2 THEN buyer || ', ' || segment ELSE buyer END AS c FROM leads)""")
+def csv_lines(t: Tables) -> DataFrame:
+    """Leads as lines of a CSV file: formula signs disarmed, quotes doubled, cells with commas or quotes quoted."""
+    case = F.col("lead_id") % 4
+    name = F.when(case == 0, F.concat(F.lit("="), "buyer")).when(case == 1, F.concat(F.lit('Say "'), F.col("buyer"), F.lit('"'))).when(case == 2, F.concat_ws(", ", "buyer", "segment")).otherwise(F.col("buyer"))
+    return leads(t).select("lead_id", sinks.csv_line(F.col("lead_id"), name, F.col("score")).alias("line"))
+
+
+@query("""WITH sent AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, min(event_id) AS event_id, count(*) AS asked FROM events GROUP BY 1, 2, 3)
+SELECT user_id, event_type, strftime(day, '%Y-%m-%d') AS day, event_id, asked FROM sent WHERE event_type <> 'view'""")
+def outbox(t: Tables) -> DataFrame:
+    """Messages to send: one for each key however often it was asked for, none for keys that are in the box already."""
+    rows = t.events.select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"), "event_id")
+    once = rows.groupBy("user_id", "event_type", "day").agg(F.min("event_id").alias("event_id"), F.count("*").alias("asked"))
+    boxed = rows.where("event_type = 'view'").select("user_id", "event_type", "day").distinct()
+    return once.join(boxed, ["user_id", "event_type", "day"], "left_anti")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type = 'click')
+SELECT event_id, user_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS place FROM s WHERE before IS NULL OR ts - before > INTERVAL 6 HOUR""")
+def scheduler_queue(t: Tables) -> DataFrame:
+    """Each day's runs in order of arrival; one of a search that ran in the six hours before isn't queued."""
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    fresh = t.events.where("event_type = 'click'").withColumn("before", before).where(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("interval 6 hours")))
+    place = F.row_number().over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
+    return fresh.select("event_id", "user_id", place.cast("long").alias("place"))
+
+
+@query("""WITH j AS (SELECT CASE WHEN o_totalprice >= 200000 THEN 'lead' ELSE 'rejected' END AS was, CASE WHEN o_totalprice >= 150000 AND o_orderstatus <> 'F' THEN 'lead' ELSE 'rejected' END AS now FROM orders)
+SELECT was, now, count(*) AS n FROM j GROUP BY 1, 2""")
+def replay(t: Tables) -> DataFrame:
+    """Stored answers judged again under new rules, against what the old ones said."""
+    price = F.col("o_totalprice")
+    was = F.when(price >= 200000, "lead").otherwise("rejected")
+    now = F.when((price >= 150000) & (F.col("o_orderstatus") != "F"), "lead").otherwise("rejected")
+    return t.orders.groupBy(was.alias("was"), now.alias("now")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{WITH}, last AS (SELECT user_id AS buyer_id, arg_max(event_type, ts) AS latest, count(*) AS changes FROM events GROUP BY 1)
+SELECT lead_id, CASE WHEN latest = 'purchase' THEN 'won' WHEN latest IS NOT NULL THEN 'working' ELSE status END AS status, coalesce(changes, 0) AS changes FROM leads LEFT JOIN last USING (buyer_id)""")
+def lead_write(t: Tables) -> DataFrame:
+    """The state of leads from a log that is only appended to: the newest change of each buyer counts, and how many there were."""
+    last = t.events.groupBy(F.col("user_id").alias("buyer_id")).agg(F.max_by("event_type", "ts").alias("latest"), F.count("*").alias("changes"))
+    status = F.when(F.col("latest") == "purchase", "won").when(F.col("latest").isNotNull(), "working").otherwise(F.col("status"))
+    return leads(t).join(last, "buyer_id", "left").select("lead_id", status.alias("status"), F.coalesce("changes", F.lit(0)).alias("changes"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leadlens.functions import dates, evidence, money, names, rules
 from leadlens.operators import extract
-from leadlens.plans.carriers import STORIES_SQL, stories
+from leadlens.operators.resolve import resolve_companies
+from leadlens.plans.carriers import BUYER_SQL, STORIES_SQL, stories
 from leadlens.registry import Tables, query
 
 WITH = f"WITH {STORIES_SQL}"
@@ -171,3 +172,28 @@ def tender_wording(t: Tables) -> DataFrame:
     """Stories that speak of a tender, and the largest number that they state."""
     largest = F.array_max(money.numbers_in(F.col("first")))
     return stories(t).select("story_id", rules.tender_wording(F.col("text")).alias("tender"), "millions", largest.alias("largest"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {BUYER_SQL} AS buyer, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey AS mention_id, CASE c_custkey % 5 WHEN 4 THEN NULL ELSE CAST(c_custkey AS DOUBLE) END AS company_id, CASE c_custkey % 5 WHEN 0 THEN CAST(0.9 AS DOUBLE) WHEN 4 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.85 AS DOUBLE) END AS certainty FROM c""")
+def resolve_company(t: Tables) -> DataFrame:
+    """Mentions of buyers as texts spell them against the register: with a legal form, without a country, with another name
+    written to them under another country, with a word more, and of somebody unknown."""
+    places = F.broadcast(t.nation.select("n_nationkey", "n_name"))
+    register = t.customer.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("company_id"), F.expr(BUYER_SQL.replace("VARCHAR", "STRING")).alias("name"), F.col("n_name").alias("country"))
+    case = F.col("company_id") % 5
+    spelt = F.when(case == 0, F.concat("name", F.lit(" Ltd"))).when(case == 2, F.concat("name", F.lit(" (Zz "), F.col("company_id").cast("string"), F.lit(")"))).when(case == 3, F.concat("name", F.lit(" Overseas"))).when(case == 4, F.concat(F.lit("Nobody "), F.col("company_id").cast("string"))).otherwise(F.col("name"))
+    country = F.when(case == 1, None).when(case == 2, "ELSEWHERE").otherwise(F.col("country"))
+    got = resolve_companies(register.select(F.col("company_id").alias("mention_id"), spelt.alias("name"), country.alias("country")), register)
+    return got.select("mention_id", F.col("company_id").cast("double").alias("company_id"), "certainty")
+
+
+@query(f"""{WITH}, p AS (SELECT story_id, lower(buyer) AS key, buyer AS name, 'owner' AS role, signed FROM stories UNION ALL SELECT story_id, lower(seller), seller, 'supplier', signed FROM stories)
+SELECT key, arg_min(name, story_id) AS name, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, count(*) AS documents, CAST(min(signed) AS VARCHAR) AS first_award, CAST(max(signed) AS VARCHAR) AS last_award FROM p GROUP BY 1""")
+def resolve_document(t: Tables) -> DataFrame:
+    """Companies from the facts of all stories, each once by its key, with the roles and awards that any story gives it."""
+    f = stories(t).select("story_id", extract.facts(F.col("text")).alias("f"))
+    sides = F.array(F.struct(F.col("f.awarder").alias("name"), F.lit("owner").alias("role")), F.struct(F.col("f.awardee").alias("name"), F.col("f.role").alias("role")))
+    rows = f.select("story_id", F.col("f.award_date").alias("day"), F.explode(sides).alias("x")).select("story_id", "day", "x.*").where("name is not null")
+    keyed = rows.withColumn("key", names.company_key(F.col("name")))
+    return keyed.groupBy("key").agg(F.min_by("name", "story_id").alias("name"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("documents"), F.min("day").alias("first_award"), F.max("day").alias("last_award"))

@@ -30,6 +30,9 @@ def stream_user_state(t: Tables) -> DataFrame:
     return jobs.drained(jobs.counters(jobs.event_stream(t.spark, t.folder)), "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("furthest").alias("furthest"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(t: Tables) -> DataFrame:
-    return jobs.drained(jobs.sessions(jobs.event_stream(t.spark, t.folder)))
+    """All sessions, those that are still open at the end, too: complete results don't wait for the watermark."""
+    rows = jobs.drained(jobs.sessions(jobs.event_stream(t.spark, t.folder)), "complete")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

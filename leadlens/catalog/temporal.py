@@ -23,8 +23,11 @@ def rolling_24h_usage(t: Tables) -> DataFrame:
 
 @query("""SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events""")
 def sliding_60s(t: Tables) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("at").rangeBetween(-60_000_000, 0)
-    return t.events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "event_type", F.count("*").over(w).alias("in_window"))
+    """Events of a type in the minute up to each. A minute's rows also stand in the next one, so that no window holds more than two."""
+    rows = t.events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("minute", F.floor(F.col("at") / 60_000_000))
+    dealt = rows.select("event_id", "event_type", "at", "minute", F.explode(F.array("minute", F.col("minute") + 1)).alias("bucket"))
+    w = Window.partitionBy("event_type", "bucket").orderBy("at").rangeBetween(-60_000_000, 0)
+    return dealt.withColumn("in_window", F.count("*").over(w)).where("bucket = minute").select("event_id", "event_type", "in_window")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS units FROM events GROUP BY 1, 2")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions import dates, money, names, textual, urls
 from leadlens.operators.ranking import first_per, top_per
-from leadlens.operators.resolve import stored_documents
+from leadlens.operators.resolve import stored_in_order
 from leadlens.registry import Tables, query
 from leadlens.sources import sinks
 
@@ -31,12 +31,12 @@ def doc_dedupe_exact(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("""WITH known AS (SELECT doc_id, source AS url, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0), k1 AS (SELECT DISTINCT url, h FROM known), new AS (SELECT doc_id, source AS url, sha256(text) AS h FROM documents WHERE doc_id % 2 = 1)
-SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM k1 WHERE k1.url = new.url AND k1.h = new.h) THEN 'known' WHEN EXISTS (SELECT 1 FROM k1 WHERE k1.h = new.h) THEN 'known_copy' WHEN EXISTS (SELECT 1 FROM k1 WHERE k1.url = new.url) THEN 'changed' ELSE 'new' END AS state FROM new""")
+@query("""WITH d AS (SELECT doc_id, source, sha256(text) AS h FROM documents), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, h) AS both_, min(doc_id) OVER (PARTITION BY h) AS copy, min(doc_id) OVER (PARTITION BY source) AS seen FROM d)
+SELECT doc_id, CASE WHEN both_ < doc_id THEN 'known' WHEN copy < doc_id THEN 'known_copy' WHEN seen < doc_id THEN 'changed' ELSE 'new' END AS state FROM m""")
 def store_document(t: Tables) -> DataFrame:
-    """Odd documents arrive where the even ones are stored: known by URL and content, by content alone, changed, or new."""
+    """What each document is when it arrives after those of smaller id: known by URL and content, by content alone, changed, or new."""
     rows = t.documents.select("doc_id", F.col("source").alias("url"), F.sha2("text", 256).alias("hash"))
-    return stored_documents(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0")).select("doc_id", "state")
+    return stored_in_order(rows, "doc_id").select("doc_id", "state")
 
 
 @query(r"""SELECT doc_id, CASE WHEN n_chars < 200 THEN 'drop:short' WHEN regexp_matches(text, '(^|[^\p{L}\p{N}])(licensed|lorem)($|[^\p{L}\p{N}])', 'i') THEN 'drop:noise' WHEN regexp_matches(text, '(^|[^\p{L}\p{N}])(token|contract)($|[^\p{L}\p{N}])', 'i') THEN 'relevant:term' WHEN lang NOT IN ('en', 'de') THEN 'uncertain:market' ELSE 'uncertain:none' END AS verdict FROM documents""")
@@ -72,11 +72,17 @@ def relevance_chunks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(F.transform(textual.chunks(F.col("text"), 2000), lambda x: x["start"])).alias("start"))
 
 
-@query("SELECT doc_id, opening, place FROM (SELECT doc_id, substring(text, 1, 40) AS opening, row_number() OVER (PARTITION BY substring(text, 1, 40) ORDER BY doc_id) AS place FROM documents) WHERE place > 1")
+STORY_KEY = "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4))), ' ')"
+
+
+@query(f"SELECT doc_id, place, copies FROM (SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY k) AS copies FROM (SELECT doc_id, md5({STORY_KEY}) AS k FROM documents)) WHERE place > 1 AND place <= 3")
 def story_repeats(t: Tables) -> DataFrame:
-    opening = F.substring("text", 1, 40)
-    rows = t.documents.select("doc_id", opening.alias("opening"), F.row_number().over(Window.partitionBy(opening).orderBy("doc_id")).cast("long").alias("place"))
-    return rows.where("place > 1")
+    """Repeats of a story, told by its distinct longer words whatever their order: the second and the third, with how many there are."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4)))
+    rows = t.documents.select("doc_id", F.md5(F.array_join(words, " ").cast("binary")).alias("k"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("copies")).where("copies > 1")
+    ranked = top_per(rows, ["k"], 3, F.col("doc_id"), rank="place").where("place > 1")
+    return ranked.join(counts, "k").select("doc_id", "place", "copies")
 
 
 MONEY_TEXT = "CASE o_orderkey % 4 WHEN 0 THEN 'worth USD ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' million' WHEN 1 THEN 'Rs ' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) || ' crore on 2001-03-04' WHEN 2 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' NOK due 4 March 2001' ELSE 'nothing stated' END"

@@ -42,8 +42,8 @@ LEADS_SQL = """leads AS (
 
 
 #: Names as a press text has them: a key in letters, with what firms are called.
-BUYER_SQL = "'B' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') || CASE c_custkey % 4 WHEN 0 THEN ' Holdings' WHEN 1 THEN ' Industries' WHEN 2 THEN '' ELSE ' Energy' END"
-SELLER_SQL = "'S' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') || CASE s_suppkey % 3 WHEN 0 THEN ' Works' WHEN 1 THEN ' Pipes' ELSE '' END"
+BUYER_SQL = "'K' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') || CASE c_custkey % 4 WHEN 0 THEN ' Holdings' WHEN 1 THEN ' Industries' WHEN 2 THEN '' ELSE ' Energy' END"
+SELLER_SQL = "'Q' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij') || CASE s_suppkey % 3 WHEN 0 THEN ' Works' WHEN 1 THEN ' Pipes' ELSE '' END"
 
 #: A story for each order that has a line: who awarded what to whom, for how much, when, under which number, until when.
 STORIES_SQL = f"""stories AS (

@@ -52,8 +52,11 @@ def fill_dates(c: Column, today: dt.date) -> Column:
 
 
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages (url) that no rule (host, path, allow) forbids: the longest path that opens the page's path decides, allowing on a tie."""
-    rows = pages.withColumn("_host", urls.host(F.col("url"))).withColumn("_path", F.coalesce(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit("/")))
+    """Pages (url) that no rule (host, path, allow) forbids: the longest path that opens the page's path decides, allowing on a tie.
+
+    Addresses are judged once each; rows that repeat one all stay or all go.
+    """
+    urls_ = pages.select("url").distinct().select("url", urls.host(F.col("url")).alias("_host"), F.coalesce(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit("/")).alias("_path"))
     hit = (F.col("_host") == F.col("host")) & F.col("_path").startswith(F.col("path"))
-    judged = rows.join(rules, hit, "left").groupBy(*rows.columns).agg(F.max_by("allow", F.struct(F.length("path").alias("a"), F.col("allow").alias("b"))).alias("_allow"))
-    return judged.where(F.coalesce("_allow", F.lit(True))).drop("_host", "_path", "_allow")
+    judged = urls_.join(rules, hit).groupBy("url").agg(F.max_by("allow", F.struct(F.length("path").alias("a"), F.col("allow").alias("b"))).alias("_allow"))
+    return pages.join(judged.where("not _allow").select("url"), "url", "left_anti")

@@ -11,10 +11,18 @@ from leadlens.operators.ranking import first_per
 MOST_ROWS = 10_000
 
 
-def csv(df: DataFrame, folder: str, most: int = MOST_ROWS) -> None:
-    """At most ``most`` rows as CSV with a header, quotes doubled, and no cell that a spreadsheet would run."""
+def csv_line(*cells: Column) -> Column:
+    """Cells as a line: none that a spreadsheet would run, quotes doubled, those with quotes, commas or line breaks quoted; null is empty."""
+    text = [cell(c.cast("string")) for c in cells]
+    quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))) for c in text]
+    return F.concat_ws(",", *quoted)
+
+
+def csv(df: DataFrame, folder: str, most: int = MOST_ROWS) -> bool:
+    """At most ``most`` rows as CSV with a header, quotes doubled, and no cell that a spreadsheet would run; whether rows were left out."""
     text: list[Column] = [cell(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema]
     df.select(*text).limit(most).write.mode("overwrite").csv(folder, header=True, escape='"', quoteAll=False, lineSep="\n")
+    return not df.offset(most).limit(1).isEmpty()
 
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -30,4 +38,4 @@ def insert_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return first_per(fresh, keys, *(F.col(c) for c in new.columns))
 
 
-__all__ = ["cell", "csv", "insert_absent", "upsert"]
+__all__ = ["cell", "csv", "csv_line", "insert_absent", "upsert"]

@@ -54,13 +54,27 @@ def counters(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and return the result as a table; the folder of its state is a parameter."""
+    """Run a stream over what is there now and return what it gave out as a table of files; of complete results the last.
+
+    State and rows lie in the shared folder of ``checkpoint``, or else of spark.checkpoint.dir; only a session whose
+    executors are threads of the driver may go without one.
+    """
     spark = stream.sparkSession
-    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadlens-stream-")
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/{name}").start()
+    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{base or tempfile.mkdtemp(prefix='leadlens-stream-')}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")  # so that a stream without rows has a table
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
     run.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def tail_into(stream: DataFrame, folder: str, checkpoint: str) -> None:
