@@ -26,42 +26,52 @@ def vocabulary(name: str) -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with two-word shingle sets at 0.8 or more; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token piece with its sequence of at most 4096 tokens and its place there; see best_fit_pack()."""
     return best_fit_pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of every text stored as mu-law audio and of its stored PCM; see digests()."""
     return audio.digests(table(spark, sf_dir, "documents"))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text, by certain forms and by weak supervision; see find_spans()."""
     return find_spans(table(spark, sf_dir, "documents"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and the text decoded from them; see encode()."""
     return spiece.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), as_ids=False)
 
 
 def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes, equal texts together; see shard_documents()."""
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label at cosine 0.98 or more; see near_embeddings()."""
     return near_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text; see score_toxicity()."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is left of every text without the 50-byte strings of smaller ids; see remove_repeats()."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; see extract_text()."""
     return extract_text(table(spark, sf_dir, "pages"))
 
 
@@ -86,6 +96,33 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT id, min(low) AS low FROM
 """
 
 
+#: Links by brute force within each label; sums in double precision.
+OP7_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL
+), g AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS size FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND a.size > 0 AND b.size > 0 WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98
+), r AS (
+  SELECT vec_id AS id, vec_id AS low FROM e UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id WHERE r.low < l.b
+), m AS (SELECT id, min(low) AS low FROM r GROUP BY 1), n AS (SELECT a, count(*) AS links FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(links, 0) AS n_links, low AS component_id, e.vec_id = low AS kept FROM e JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+#: Texts as hexadecimal digits, two for a byte; every 50-byte string with the least id that has it.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL
+), w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM d)
+), x AS (SELECT w.doc_id, i FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY 1) USING (s) WHERE least < w.doc_id
+), o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM x
+), r AS (SELECT doc_id, k, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o) GROUP BY 1, 2
+), b AS (SELECT doc_id, k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM r
+), c AS (SELECT d.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY k) || substring(any_value(h), 2 * max(hi) + 1) AS kept, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM b JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -104,4 +141,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": OP1_SQL,
+        "op7_embedding_near_dedup": OP7_SQL,
+        "op9_suffix_array_dedup": OP9_SQL,
     }
