@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import saved, slices, utf8
+from leadlens.llm.common import saved, slices, tidy, utf8
 
 SPACE = "▁"
 #: Words whose lattice is folded ahead; their ids go to every task.
@@ -48,6 +48,9 @@ class Pieces:
         self.byte0 = p.piece_to_id("<0x00>")
         self.raw = {i: t.encode() for t, i, _ in self.rows} | {self.byte0 + b: bytes([b]) for b in range(256)}
         self.longest = max(len(t) for t in self.rank)
+        parts = [self.raw.get(i, b"") for i in range(p.get_piece_size())]
+        self.bytes, self.size = np.frombuffer(b"".join(parts), np.uint8), np.array([len(x) for x in parts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         apart = "".join(c for c in "\n\t\r\x0b\x0c" if not any(c in t for t in self.rank))
         self.words = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[{apart}]|[^{SPACE}{apart}]+")
         self.memo: dict[str, bytes] = {}
@@ -80,9 +83,13 @@ class Pieces:
                     heapq.heappush(queue, (r, a, size[a] + size[b]))
         return [word[i : i + size[i]] for i in range(n) if size[i]]
 
-    def text(self, ids: np.ndarray) -> str:
-        """The text of ids, as decode() gives it."""
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of runs of ids, as decode() gives them: run i is ids[bounds[i]:bounds[i + 1]]."""
+        size = self.size[ids]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        raw = self.bytes[np.repeat(self.start[ids] - stop[:-1], size) + np.arange(stop[-1])].tobytes()
+        cuts = stop[bounds].tolist()
+        return [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ")[1:] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def ids(self, word: str) -> bytes:
         got = self.memo.get(word)
@@ -121,7 +128,7 @@ def _counts(model: str):
 
 def frequent_words(docs: DataFrame, model: str, limit: int = KNOWN_WORDS) -> DataFrame:
     """(word, n): the most frequent words of all documents that occur twice or more, whole classes of equal counts, at most ``limit``."""
-    counts = docs.mapInArrow(_counts(model), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
+    counts = docs.mapInArrow(tidy(_counts(model)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
     counts = saved(counts)
     # The number of words for each count, counts over 1000 as one: at most 999 rows.
     sizes = {r.n: r.words for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("words")).collect()}
@@ -155,6 +162,25 @@ def lattice_ids(words: DataFrame, model: str) -> DataFrame:
     return left.select("word", F.expr(f"flatten(transform(sequence(0, size(at) - 2), k -> if({found} is null, {fallback}, array({found}))))").alias("ids"))
 
 
+def viterbi_pieces(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, pieces) of the best path through each word's lattice, by the sum of the scores of ``pieces`` (piece, score).
+
+    For vocabularies whose segmentation is that path (unigram models); the public one here is BPE and takes lattice_ids().
+    The fold goes over a word's edges by their end and keeps the best score and the last edge for every boundary. Of equal
+    sums the path whose last piece begins first wins. Words without a path have null.
+    """
+    spans = F.expr(f"flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least({longest}, length(word) - i + 1)), l -> named_struct('a', i - 1, 'b', i - 1 + l, 'piece', substring(word, i, l)))))")
+    edges = words.where("length(word) > 0").select("word", F.explode(spans).alias("x")).select("word", "x.*").join(pieces, "piece")
+    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("b", "a", "score", "piece"))).alias("edges"))
+    best = F.expr("""aggregate(edges, transform(sequence(0, length(word)), k -> named_struct('sum', if(k = 0, 0D, cast(null as double)), 'a', cast(null as int), 'piece', cast(null as string))),
+        (t, e) -> if(t[e.a].sum is null or coalesce(t[e.b].sum >= t[e.a].sum + e.score, false), t,
+            transform(t, (x, k) -> if(k = e.b, named_struct('sum', t[e.a].sum + cast(e.score as double), 'a', e.a, 'piece', e.piece), x))))""")
+    back = F.expr("""aggregate(sequence(1, length(word)), named_struct('at', length(word), 'out', cast(array() as array<string>)),
+        (s, k) -> if(s.at > 0 and table[s.at].piece is not null, named_struct('at', table[s.at].a, 'out', concat(array(table[s.at].piece), s.out)), s))""")
+    done = words.join(grouped.withColumn("table", best).withColumn("back", back).select("word", F.expr("if(back.at = 0, back.out, null)").alias("pieces")), "word", "left")
+    return done
+
+
 def _encode(model: str, known, as_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, table = Pieces.load(model), known.value
@@ -167,21 +193,24 @@ def _encode(model: str, known, as_ids: bool):
                     if None in got:
                         got = [pieces.ids(w) if x is None else x for w, x in zip(words, got, strict=True)]
                     out.append(b"".join(got))
-                ids = [np.frombuffer(x, "<i4") for x in out]
-                lists = pa.array(ids, pa.list_(pa.int32()))
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int64)
+                ids = np.frombuffer(b"".join(out), "<i4")
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 if as_ids:
                     yield pa.record_batch([part.column("doc_id"), lists], ["doc_id", "ids"])
                 else:
-                    sizes, crcs = pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64())
-                    yield pa.record_batch([part.column("doc_id"), sizes, crcs, lists, pa.array([pieces.text(x) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_crc32", "ids", "decoded"])
+                    sizes, crcs = pa.array(np.diff(bounds), pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64())
+                    yield pa.record_batch([part.column("doc_id"), sizes, crcs, lists, pa.array(pieces.texts(ids, bounds), pa.string())], ["doc_id", "n_tokens", "ids_crc32", "ids", "decoded"])
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, model: str, as_ids: bool = True) -> DataFrame:
     """doc_id and ids for every row of docs (doc_id, text); or n_tokens, ids_crc32 of the little-endian ids, ids, and decoded, the text of the ids.
 
-    Null and empty texts have no ids. Repeated rows and rows without an id stay.
+    Null and empty texts have no ids and decode to an empty text. Texts of any length are encoded whole. Repeated rows and
+    rows without an id stay; equal texts have equal ids. Other columns are ignored, whatever their names. An empty table
+    gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     rows = lattice_ids(frequent_words(docs, model), model).select("word", F.expr("array_join(transform(ids, i -> hex(i)), ',')").alias("ids")).collect()

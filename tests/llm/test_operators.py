@@ -434,6 +434,24 @@ def test_sentencepiece_query_decodes(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text) for r in same) == sorted((str(r.doc_id), r.decoded) for r in got)
 
 
+def test_viterbi_takes_the_best_path(spark):
+    rng = random.Random(5)
+    table = {w: -float(rng.randint(1, 40)) for w in {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)}}
+    words_ = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)}
+
+    def best(w):
+        if not w:
+            return 0.0, ()
+        paths = [(s + table[w[i:]], (*p, w[i:])) for i in range(max(0, len(w) - 4), len(w)) if w[i:] in table and (s := best(w[:i])[0]) is not None for p in [best(w[:i])[1]]]
+        return max(paths, key=lambda x: (x[0], len(x[1][-1]))) if paths else (None, None)
+
+    got = spiece.viterbi_pieces(spark.createDataFrame([(w,) for w in words_], "word string"), spark.createDataFrame(list(table.items()), "piece string, score double"), 4).collect()
+    assert len(got) == len(words_)
+    for r in got:
+        total, path = best(r.word)
+        assert (r.pieces is None) == (path is None) and (path is None or ("".join(r.pieces) == r.word and sum(table[p] for p in r.pieces) == total))
+
+
 def test_frequent_words_over_limit(spark):
     from leadlens.llm.queries import vocabulary
 
