@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.join(kept, "doc_id", "left_semi")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(text_rank()))
-        rows = rows.withColumn("_first", first).where("_first = 1").select(docs.columns)
+        rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), first.alias("first")).where("first = 1").select("row.*")
     return rows.unionByName(docs.where("doc_id is null"))
 
 
