@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlens.catalog import buyers, domain, graph, relational, scoring, spine, stories, streams, temporal, textual  # noqa: F401
+from leadlens.catalog import buyers, domain, feeds, graph, relational, scoring, spine, stories, streams, temporal, textual  # noqa: F401
 from leadlens.registry import QUERIES
 
 

@@ -15,23 +15,53 @@ ARTICLES = "articles array<struct<url: string, title: string, seendate: string,
 ITEM = "title string, link string, description string, pubDate string"
 
 
+def parsed_notices(answers: DataFrame, column: str) -> DataFrame:
+    """One row for each notice of the tender-search answers in a column, with the winners as an array; what isn't JSON gives none."""
+    rows = answers.select(F.explode(F.from_json(F.col(column), NOTICE)["notices"]).alias("n"))
+    return rows.select(F.col("n.`publication-number`").alias("id"), F.col("n.`buyer-name`").alias("buyer"), F.col("n.`winner-name`").alias("winners"), "n.title", "n.value", "n.currency", F.try_to_date("n.deadline").alias("deadline"), F.col("n.link").alias("url"))
+
+
 def notices(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each notice of tender-search answers, with the winners as an array."""
-    rows = spark.read.schema(NOTICE).json(path, multiLine=True).select(F.explode("notices").alias("n"))
-    return rows.select(F.col("n.`publication-number`").alias("id"), F.col("n.`buyer-name`").alias("buyer"), F.col("n.`winner-name`").alias("winners"), "n.title", "n.value", "n.currency", F.to_date("n.deadline").alias("deadline"), F.col("n.link").alias("url"))
+    """The notices of files of tender-search answers."""
+    return parsed_notices(spark.read.text(path, wholetext=True), "value")
 
 
-def articles(spark: SparkSession, path: str) -> DataFrame:
-    """News answers; one that is plain text, as when calls are limited, gives no rows."""
-    rows = spark.read.schema(ARTICLES).json(path, multiLine=True, mode="PERMISSIVE").select(F.explode("articles").alias("a"))
+def parsed_articles(answers: DataFrame, column: str) -> DataFrame:
+    """News answers in a column; one that is plain text, as when calls are limited, gives no rows."""
+    rows = answers.select(F.explode(F.from_json(F.col(column), ARTICLES)["articles"]).alias("a"))
     return rows.select("a.url", "a.title", F.expr("try_to_timestamp(a.seendate, \"yyyyMMdd'T'HHmmss'Z'\")").alias("published"), "a.domain", "a.language")
 
 
+def articles(spark: SparkSession, path: str) -> DataFrame:
+    """The articles of files of news answers."""
+    return parsed_articles(spark.read.text(path, wholetext=True), "value")
+
+
+def _target(link: Column) -> Column:
+    """What a link that counts clicks leads to; other links are their own."""
+    return F.coalesce(F.url_decode(F.try_parse_url(link, F.lit("QUERY"), F.lit("url"))), link)
+
+
+def parsed_items(rows: DataFrame, column: str) -> DataFrame:
+    """title, url, description and published of the RSS item in each row of a column; other columns stay."""
+    item = F.from_xml(F.col(column), ITEM)
+    return rows.withColumn("_item", item).select(*rows.columns, "_item.title", _target(F.col("_item.link")).alias("url"), "_item.description", F.col("_item.pubDate").alias("published"))
+
+
 def feed(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
     """RSS items (or Atom entries, by their tag); links that count clicks are replaced by what they lead to."""
     rows = spark.read.format("xml").schema(ITEM).option("rowTag", tag).load(path)
-    target = F.url_decode(F.try_parse_url(F.col("link"), F.lit("QUERY"), F.lit("url")))
-    return rows.select("title", F.coalesce(target, F.col("link")).alias("url"), "description", F.col("pubDate").alias("published"))
+    return rows.select("title", _target(F.col("link")).alias("url"), "description", F.col("pubDate").alias("published"))
+
+
+def request_key(*parts: Column) -> Column:
+    """The key under which a search's answer is kept: a hash of the request, the same for the same request."""
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
+def to_ask(requests: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Requests whose answer isn't kept yet, one for each key."""
+    return requests.join(kept.select(key).distinct(), key, "left_anti").dropDuplicates([key])
 
 
 def story_cap(rows: DataFrame, most: int = 2) -> DataFrame:
