@@ -30,6 +30,8 @@ SPACE = "▁"
 KNOWN_WORDS = 200_000
 #: Characters of a word that the fold's 63-bit state holds; longer ones are merged when they are met.
 LONGEST = 62
+#: Characters of a word whose pairs are searched one by one for the next merge.
+SHORT = 32
 #: Words that a task counts before it hands them on, and merged words it keeps.
 COUNTED, KEPT = 200_000, 300_000
 
@@ -65,8 +67,20 @@ class Pieces:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def merge(self, word: str) -> list[str]:
-        """BPE: the pair with the least rank is merged first, the leftmost of equals, by a queue with stale entries."""
+        """BPE: the pair with the least rank is merged first, the leftmost of equals; in long words by a queue with stale entries."""
         n, rank = len(word), self.rank
+        if n <= SHORT:
+            parts, none = list(word), len(rank)
+            pairs = [rank.get(a + b, none) for a, b in zip(word, word[1:])]  # noqa: B905
+            while pairs and (least := min(pairs)) < none:
+                i = pairs.index(least)
+                parts[i] += parts.pop(i + 1)
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+                if i < len(pairs):
+                    pairs[i] = rank.get(parts[i] + parts[i + 1], none)
+            return parts
         after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
         queue = [(r, i, 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
         heapq.heapify(queue)
