@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path, monkeypatch):
 
 def test_registered():
     names = list(queries.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 def test_stages_on_odd_tables(spark, tmp_path):
