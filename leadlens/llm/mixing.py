@@ -20,8 +20,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BUCKET_ROWS = 50_000
 #: Newton steps at most; some five are taken. Steps are ended by the first that finds all sources this near to their target.
 STEPS, NEAR = 60, 1e-9
-#: Single documents of a source that are taken once more or once less to close what rounding has left open.
-MENDS = 3
+#: Steps in which documents of one size of a source are taken once more or less, to close what rounding has left open; one to three are taken.
+MENDS = 8
 
 
 def _exact(x: Column) -> Column:
@@ -90,7 +90,8 @@ def rounded(cells: DataFrame) -> DataFrame:
     """``cells`` (place, size, n, rate, target) with ``copies``, whole numbers that all documents of a cell get together.
 
     Copies follow the running sum of n * rate from the longest size down, which keeps a source's words within half of its
-    longest document; MENDS times the one document is taken once more or less that brings them nearest to the target.
+    longest document. Up to MENDS times, that size is looked for of which some documents taken once more or less bring
+    the source nearest to its target; of equally good ones the longest.
     """
     running = F.sum(_exact(F.col("n") * F.col("rate"))).over(Window.partitionBy("place").orderBy(F.desc("size")))
     # Running sums of exactly one half, as equal sizes give them, are rounded up whatever the last digits of a rate are.
@@ -98,11 +99,15 @@ def rounded(cells: DataFrame) -> DataFrame:
     out = saved(up.withColumn("copies", F.col("up") - F.lag("up", 1, 0).over(Window.partitionBy("place").orderBy(F.desc("size")))).drop("up"))
     for _ in range(MENDS):
         gap = out.groupBy("place").agg((F.floor(F.first("target") + 0.5) - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("gap"))
-        both = out.join(gap, "place").withColumn("one", F.signum("gap").cast("long"))
-        left = F.abs(F.col("gap") - F.col("one") * F.col("size"))
-        fits = (F.col("size") > 0) & (left < F.abs("gap")) & (F.col("copies") + F.col("one")).between(0, MOST * F.col("n"))
-        best = both.where(fits).groupBy("place").agg(F.min(F.struct(left.alias("left"), "size")).getField("size").alias("size"), F.first("one").alias("one"))
-        out = saved(out.join(best, ["place", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("one", F.lit(0))).drop("one"))
+        both = out.where("size > 0").join(gap.where("gap != 0"), "place")
+        room = F.when(F.col("gap") > 0, MOST * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+        some = F.least(room, F.greatest(F.lit(1), F.floor(F.abs("gap") / F.col("size"))))
+        both = both.withColumn("some", some).withColumn("left", F.abs(F.abs("gap") - F.col("some") * F.col("size")))
+        rank = F.struct("left", (-F.col("size")).alias("size"), (F.signum("gap") * F.col("some")).cast("long").alias("some"))
+        best = saved(both.where((F.col("some") > 0) & (F.col("left") < F.abs("gap"))).groupBy("place").agg(F.min(rank).alias("b")).select("place", (-F.col("b.size")).alias("size"), "b.some"))
+        if best.isEmpty():
+            break
+        out = saved(out.join(best, ["place", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("some", F.lit(0))).drop("some"))
     return out
 
 

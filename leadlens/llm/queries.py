@@ -214,11 +214,12 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON t.word = f.word WH
 
 
 def _mended(k: int) -> str:
-    """One document of each source taken once more or less, that which brings it nearest to its target."""
+    """Documents of one size of each source taken once more or less, those which bring it nearest to its target."""
     return f"""
 ), g{k} AS (SELECT source, any_value(floor(target + 0.5)) - sum(copies * size) AS gap FROM k{k} GROUP BY source
-), q{k} AS (SELECT source, size, sign(gap) AS one, row_number() OVER (PARTITION BY source ORDER BY abs(gap - sign(gap) * size), size) AS place FROM k{k} JOIN g{k} ON g{k}.source IS NOT DISTINCT FROM k{k}.source AND size > 0 AND abs(gap - sign(gap) * size) < abs(gap) AND copies + sign(gap) BETWEEN 0 AND 2 * n)
-""".replace("SELECT source, size, sign", f"SELECT k{k}.source, size, sign").replace("PARTITION BY source ORDER", f"PARTITION BY k{k}.source ORDER") + f""", k{k + 1} AS (SELECT k{k}.* REPLACE (copies + coalesce(one, 0) AS copies) FROM k{k} LEFT JOIN q{k} ON place = 1 AND q{k}.source IS NOT DISTINCT FROM k{k}.source AND q{k}.size = k{k}.size"""
+), r{k} AS (SELECT k.source, k.size, gap, least(CASE WHEN gap > 0 THEN 2 * n - copies ELSE copies END, greatest(1, floor(abs(gap) / k.size))) AS some_ FROM k{k} k JOIN g{k} g ON g.source IS NOT DISTINCT FROM k.source AND gap <> 0 AND k.size > 0
+), q{k} AS (SELECT source, size, sign(gap) * some_ AS some_, row_number() OVER (PARTITION BY source ORDER BY abs(abs(gap) - some_ * size), size DESC) AS place FROM r{k} WHERE some_ > 0 AND abs(abs(gap) - some_ * size) < abs(gap)
+), k{k + 1} AS (SELECT k.* REPLACE (copies + coalesce(some_, 0) AS copies) FROM k{k} k LEFT JOIN q{k} q ON place = 1 AND q.source IS NOT DISTINCT FROM k.source AND q.size = k.size"""
 
 
 _GIVEN = "list_sum(list_transform(cells, lambda z: z.n * z.size * 2.0 / (1 + exp(-b * z.x))))"
@@ -238,9 +239,9 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 ), e AS (SELECT c.*, CASE WHEN target <= 0 THEN 0.0 WHEN target >= 2 * s THEN 2.0 ELSE 2 / (1 + exp(-tilt * x)) END AS rate FROM c LEFT JOIN b ON b.source IS NOT DISTINCT FROM c.source
 ), u AS (SELECT *, floor(sum(n * rate) OVER (PARTITION BY source ORDER BY size DESC) + 0.500001) AS up FROM e
 ), k0 AS (SELECT source, size, n, s, target, up - lag(up, 1, 0) OVER (PARTITION BY source ORDER BY size DESC) AS copies FROM u"""
-    + "".join(map(_mended, range(3)))
+    + "".join(map(_mended, range(8)))
     + """
-), z AS (SELECT d.*, k.s, k.target, CAST(k.copies AS BIGINT) AS copies, k.n, row_number() OVER (PARTITION BY d.source, d.size ORDER BY key) AS place FROM d JOIN k3 k ON k.source IS NOT DISTINCT FROM d.source AND k.size = d.size)
+), z AS (SELECT d.*, k.s, k.target, CAST(k.copies AS BIGINT) AS copies, k.n, row_number() OVER (PARTITION BY d.source, d.size ORDER BY key) AS place FROM d JOIN k8 k ON k.source IS NOT DISTINCT FROM d.source AND k.size = d.size)
 SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target, size * (copies // n + CASE WHEN place <= copies % n THEN 1 ELSE 0 END) AS taken FROM z
 """
 )
