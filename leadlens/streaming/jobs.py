@@ -53,17 +53,21 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, furthest int", "n long, furthest int", "update", GroupStateTimeout.NoTimeout)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: spark.checkpoint.dir; only a session whose executors are threads of the driver may go without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base or tempfile.mkdtemp(prefix="leadlens-stream-")
+
+
 def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return what it gave out as a table of files; of complete results the last.
 
-    State and rows lie in the shared folder of ``checkpoint``, or else of spark.checkpoint.dir; only a session whose
-    executors are threads of the driver may go without one.
+    State and rows lie in the shared folder of ``checkpoint``, or else in shared_folder().
     """
     spark = stream.sparkSession
-    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{base or tempfile.mkdtemp(prefix='leadlens-stream-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{checkpoint or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
