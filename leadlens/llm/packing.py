@@ -20,8 +20,10 @@ from leadlens.llm.wordbpe import WordBpe
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Bins filled to this share are final.
 FULL = 0.984
-#: Items of a group, and groups whose underfull bins meet in the next round.
-GROUP_ITEMS, FAN_IN = 20_000, 16
+#: Bins, and pieces within them, that a task of a round packs.
+GROUP_ITEMS, GROUP_PIECES = 20_000, 2_000_000
+#: A round that lowers the number of its bins by less than this share is the last: what is left doesn't fit together.
+LEAST_GAIN = 0.02
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -99,21 +101,26 @@ def _pack(capacity: int, level: int):
 def packed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Give each piece of ``pieces`` (doc_id, piece, length, others) a place: adds sequence_id and offset (from 0, gapless).
 
-    Lengths are 1 to ``capacity``. Repeated rows are pieces of their own. An empty table gives an empty one.
+    Lengths are 1 to ``capacity``. Repeated rows are pieces of their own. An empty table gives an empty one. Rounds have as
+    many groups as the bins that are left need, so that no task grows with the table; they end with one group, or with
+    a round that makes few bins less.
     """
     item = F.struct(*pieces.columns)
     rows = pieces.select(F.col("length").alias("fill"), F.array(item).alias("items"), F.array(F.lit(0).cast("long")).alias("starts"), F.xxhash64("doc_id", "piece").alias("spread"))
-    groups, level, done = max(1, -(-pieces.count() // GROUP_ITEMS)), 0, None
+    left, groups, level, done = None, max(1, -(-pieces.count() // GROUP_ITEMS)), 0, None
     kind = f"bin long, fill long, items array<{item_type(pieces)}>, starts array<long>"
     while True:
         dealt = rows.select("fill", "items", "starts", F.pmod("spread", F.lit(groups)).alias("part"), "spread")
         bins = saved(dealt.repartition("part").sortWithinPartitions("part", "spread").drop("spread").mapInArrow(_pack(capacity, level), kind))
-        final = bins if groups == 1 else bins.where(F.col("fill") >= int(FULL * capacity))
-        done = final if done is None else done.union(final)
-        if groups == 1:
+        open_ = F.col("fill") < int(FULL * capacity)
+        n = bins.agg(F.count("*").alias("bins"), F.count_if(open_).alias("open"), F.sum(F.when(open_, F.size("items"))).alias("pieces")).first()
+        if groups == 1 or (left is not None and n.bins > (1 - LEAST_GAIN) * left):
+            done = bins if done is None else done.union(bins)
             break
-        rows = bins.where(F.col("fill") < int(FULL * capacity)).select("fill", "items", "starts", F.xxhash64("bin").alias("spread"))
-        groups, level = -(-groups // FAN_IN), level + 1
+        done = bins.where(~open_) if done is None else done.union(bins.where(~open_))
+        rows = bins.where(open_).select("fill", "items", "starts", F.xxhash64("bin").alias("spread"))
+        left, level = n.open, level + 1
+        groups = max(1, -(-left // GROUP_ITEMS), -(-(n.pieces or 0) // GROUP_PIECES))
     one = done.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip("items", "starts")).alias("x"))
     return one.select("x.items.*", "sequence_id", F.col("x.starts").alias("offset"))
 
@@ -125,7 +132,8 @@ def item_type(df: DataFrame) -> str:
 def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenise documents and pack them into sequences of at most ``capacity`` tokens: a row for each piece.
 
-    Takes doc_id and text; others are ignored. Null and empty texts are one piece that holds the end id. Repeated rows
-    are documents of their own.
+    Takes doc_id and text; others are ignored and may have any name. Null and empty texts are one piece that holds the
+    end id. Texts of any length are encoded whole and cut. Repeated rows and rows without an id are documents of their
+    own. Of equal lengths any goes first: which sequence a piece lies in is not fixed. An empty table gives no rows.
     """
     return packed(saved(tokenized(docs, tokenizer, capacity, end_id)), capacity)

@@ -9,8 +9,9 @@ import numpy as np
 
 from leadlens.llm.common import remembered
 
-#: White space that str.split() and the tokenizer may see differently, and the tokenizer's own markers: such texts go whole.
-_ODD_POINTS = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
+#: White space that str.split() and the tokenizer may see differently, the capital whose lower case is two marks, which the
+#: tokenizer orders after lowering, and the tokenizer's own markers: such texts go whole.
+_ODD_POINTS = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x130, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
 _ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]|<[|]")
 #: Words kept by a worker.
 KEPT_WORDS = 1_000_000
