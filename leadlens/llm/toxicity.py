@@ -344,8 +344,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         share = (toxic + 0.1) / (toxic + clean + 1)
         return Model({}, [0.0] * len(FEATURES), math.log(share / (1 - share)))
     counts = _by_label(sample, _terms)
-    # 3 of 4 terms of a corpus stand in one or two documents; no such term reaches LEAST_G2.
-    bound = saved(counts.where((F.col("a") >= 3) & (F.col("a") * clean > 3 * F.col("b") * toxic)))
+    # 3 of 4 terms of a corpus stand in one or two documents. They are left out unless so few could reach LEAST_G2.
+    least = next((a for a in (1, 2) if g_squared(a, 0, toxic, clean) >= LEAST_G2), 3)
+    bound = saved(counts.where((F.col("a") >= least) & (F.col("a") * clean > 3 * F.col("b") * toxic)))
     strong = bound.where(_g_squared(toxic, clean) >= 0.999 * LEAST_G2)
     model = Model(choose_terms([(r.term, r.a, r.b) for r in strong.collect()], toxic, clean))
     stems = {t: v[0] for t, v in model.terms.items() if v[1]}

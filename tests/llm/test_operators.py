@@ -118,7 +118,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    data = [*DATA, (None, "no id", *DATA[0][2:]), (900, "ΟΔΟΣ Σίγμα, ok. it's odd!!", *DATA[0][2:]), (901, "<|endoftext|> a", *DATA[0][2:])]
+    data = [*DATA, (None, "no id", *DATA[0][2:]), (900, "ΟΔΟΣ Σίγμα, ok. it's odd!!", *DATA[0][2:]), (901, "<|endoftext|> a", *DATA[0][2:]), (902, "a \u0130\u302d word \u0130stanbul", *DATA[0][2:])]
     got = packing.best_fit_pack(frame(spark, data), vocabulary("word_bpe_49k.json"), capacity=256).collect()
     want = []
     for i, x, *_ in data:
@@ -134,13 +134,21 @@ def test_packing(spark):
 
 def test_packing_tree(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ITEMS", 20)
-    monkeypatch.setattr(packing, "FAN_IN", 3)
     rng = random.Random(2)
     pieces = spark.createDataFrame([(i, 0, rng.randint(1, 60)) for i in range(400)], "doc_id long, piece int, length long")
     got = packing.packed(pieces, 100).collect()
     assert len(got) == 400 and check_packed(got, 100) <= 1.1 * sum(r.length for r in got) / 100 + 1
 
 
+def test_packing_of_pieces_that_do_not_pair(spark, monkeypatch):
+    """No task gets more bins than a group has, though hardly any two go together; rounds end."""
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 20)
+    pieces = spark.createDataFrame([(i, 0, 51 if i % 50 else 40) for i in range(600)], "doc_id long, piece int, length long")
+    got = packing.packed(pieces, 100).collect()
+    assert len(got) == 600 and check_packed(got, 100) <= 600
+    assert max(r.sequence_id & (1 << 28) - 1 for r in got) < 60  # a task numbers its bins from 0
+
+
 def test_audio(spark):
     data = [*DATA, (None, "y" * 576, *DATA[0][2:])]
     got = audio.digests(frame(spark, data)).collect()
@@ -471,6 +479,16 @@ def toxic_data(n=400):
     return docs, labels
 
 
+def test_rare_terms_of_few_toxic_documents(spark):
+    """Where toxic documents are rare, a term that two of them have and no clean one says enough."""
+    docs = [(i, f"plain words {i % 97} of document" + (" gruntlewort" if i in (3, 6) else " snarlebeck" if i < 8 else ""), *DATA[0][2:]) for i in range(2000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 8)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    usable = [i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert {3, 6} <= set(usable) and toxicity.g_squared(2, 0, len(usable), 1500) > toxicity.LEAST_G2
+    terms = toxicity.fit(frame(spark, docs), labels).terms
+    assert any("gruntlewort".startswith(t) for t in terms)
+
+
 def test_toxicity(spark):
     docs, labels = toxic_data()
     docs += [(None, "no id", *DATA[0][2:]), (1000, None, *DATA[0][2:]), (1001, "", *DATA[0][2:]), docs[0]]
