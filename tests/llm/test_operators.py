@@ -481,7 +481,7 @@ def toxic_data(n=400):
 
 def test_rare_terms_of_few_toxic_documents(spark):
     """Where toxic documents are rare, a term that two of them have and no clean one says enough."""
-    docs = [(i, f"plain words {i % 97} of document" + (" gruntlewort" if i in (3, 6) else " snarlebeck" if i < 8 else ""), *DATA[0][2:]) for i in range(2000)]
+    docs = [(i, f"plain words {i} of document" + (" gruntlewort" if i in (3, 6) else " snarlebeck" if i < 8 else ""), *DATA[0][2:]) for i in range(2000)]
     labels = spark.createDataFrame([(i, 1, int(i < 8)) for i in range(2000)], "doc_id long, quality int, toxic int")
     usable = [i for i in range(8) if zlib.crc32(str(i).encode()) % 4 != 2]
     assert {3, 6} <= set(usable) and toxicity.g_squared(2, 0, len(usable), 1500) > toxicity.LEAST_G2
