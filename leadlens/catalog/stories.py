@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions import dates, evidence, money, names, rules
@@ -61,15 +61,15 @@ def value_backed(t: Tables) -> DataFrame:
 def dates_in_quote(t: Tables) -> DataFrame:
     """All days that a story names, in order."""
     found = dates.dates_in(F.col("text"))
-    day = F.transform(found, lambda d: F.format_string("%04d-%02d-%02d", d["y"], d["m"], d["d"]))
+    day = F.transform(found, lambda d: F.when(d["d"].isNull(), F.format_string("%04d-%02d", d["y"], d["m"])).otherwise(F.format_string("%04d-%02d-%02d", d["y"], d["m"], d["d"])))
     return stories(t).select("story_id", F.array_join(day, "|").alias("days"), F.size(found).alias("n"))
 
 
 @query(f"""{WITH} SELECT story_id, 'awarded' AS stage, buyer AS awarder, seller AS awardee, 'supplier' AS role, CAST(millions * 1000000 AS DOUBLE) AS usd, CAST(signed AS VARCHAR) AS award_date, ref AS tender_ref, CAST(closing AS VARCHAR) AS closing_date, length(first) AS quoted FROM stories""")
 def rules_extract(t: Tables) -> DataFrame:
     """Award facts of every story by rules alone, with the sentence that they stand in."""
-    rows = stories(t).select("story_id", extract.facts(F.col("text")).alias("f"))
-    return rows.select("story_id", "f.stage", "f.awarder", "f.awardee", "f.role", F.col("f.usd").cast("double").alias("usd"), "f.award_date", "f.tender_ref", "f.closing_date", F.length("f.quote").cast("long").alias("quoted"))
+    rows = extract.facts(stories(t), "story_id", F.col("text"))
+    return rows.select("story_id", "stage", "awarder", "awardee", "role", F.col("usd").cast("double").alias("usd"), "award_date", "tender_ref", "closing_date", F.length("quote").cast("long").alias("quoted"))
 
 
 @query(f"""{WITH} SELECT story_id, CASE WHEN story_id % 4 = 3 THEN 'single' ELSE 'both' END AS seller_agreement, CASE story_id % 4 WHEN 1 THEN 'disputed' ELSE 'both' END AS usd_agreement, CASE story_id % 4 WHEN 2 THEN 'disputed' ELSE 'both' END AS day_agreement, seller, CAST(millions * 1000000 AS VARCHAR) AS usd FROM stories""")
@@ -77,7 +77,7 @@ def extract_document(t: Tables) -> DataFrame:
     """Two readings of each story, by rules and as a table of answers would have it, and how they agree."""
     case = F.col("story_id") % 4
     base = stories(t)
-    ruled = base.select("story_id", extract.facts(F.col("text")).alias("f")).select("story_id", F.col("f.awardee").alias("seller"), F.col("f.usd").cast("string").alias("usd"), F.col("f.award_date").alias("day"))
+    ruled = extract.facts(base, "story_id", F.col("text")).select("story_id", F.col("awardee").alias("seller"), F.col("usd").cast("string").alias("usd"), F.col("award_date").alias("day"))
     said = base.select("story_id", F.when(case != 3, F.concat(F.upper("seller"), F.lit(" "))).alias("seller"), (F.col("millions") * F.when(case == 1, 1_100_000).otherwise(1_005_000)).cast("string").alias("usd"), F.when(case == 2, F.date_add("signed", 1)).otherwise(F.col("signed")).cast("string").alias("day"))
     out = extract.agreed(ruled, said, ["story_id"], {"seller": "name", "usd": "number", "day": "date"})
     return out.select("story_id", "seller_agreement", "usd_agreement", "day_agreement", "seller", "usd")
@@ -192,8 +192,52 @@ def resolve_company(t: Tables) -> DataFrame:
 SELECT key, arg_min(name, story_id) AS name, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, count(*) AS documents, CAST(min(signed) AS VARCHAR) AS first_award, CAST(max(signed) AS VARCHAR) AS last_award FROM p GROUP BY 1""")
 def resolve_document(t: Tables) -> DataFrame:
     """Companies from the facts of all stories, each once by its key, with the roles and awards that any story gives it."""
-    f = stories(t).select("story_id", extract.facts(F.col("text")).alias("f"))
-    sides = F.array(F.struct(F.col("f.awarder").alias("name"), F.lit("owner").alias("role")), F.struct(F.col("f.awardee").alias("name"), F.col("f.role").alias("role")))
-    rows = f.select("story_id", F.col("f.award_date").alias("day"), F.explode(sides).alias("x")).select("story_id", "day", "x.*").where("name is not null")
+    f = extract.facts(stories(t), "story_id", F.col("text"))
+    sides = F.array(F.struct(F.col("awarder").alias("name"), F.lit("owner").alias("role")), F.struct(F.col("awardee").alias("name"), F.col("role").alias("role")))
+    rows = f.select("story_id", F.col("award_date").alias("day"), F.explode(sides).alias("x")).select("story_id", "day", "x.*").where("name is not null")
     keyed = rows.withColumn("key", names.company_key(F.col("name")))
     return keyed.groupBy("key").agg(F.min_by("name", "story_id").alias("name"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("documents"), F.min("day").alias("first_award"), F.max("day").alias("last_award"))
+
+
+#: Press items of five forms, one for each priority of an order: a headline, a unit's win, an aside with people, a tender, a passive.
+NEWS_SQL = f"""news AS (
+  SELECT story_id, buyer, seller, millions, signed, o_orderpriority AS form, CASE left(o_orderpriority, 1)
+    WHEN '1' THEN seller || ' In Focus After Securing Rs ' || millions || ' Crore Gas Pipeline Contract From ' || buyer
+    WHEN '2' THEN buyer || '''s unit wins a USD ' || millions || ' million steel pipe order.' || chr(10) || 'Nothing else was said.'
+    WHEN '3' THEN seller || ', the main EPC contractor on the Kappa Gas Project, has won a contract worth USD ' || millions || ' million from ' || buyer || '. Anna Berg, Procurement Manager, signed it on ' || CAST(signed AS VARCHAR) || '.'
+    WHEN '4' THEN buyer || ' has floated tenders for a valve package. Tender No: RF-' || story_id || '/A. Bids are due by ' || CAST(closing AS VARCHAR) || '.'
+    ELSE seller || ' was awarded a subcontract of USD ' || millions || ' million by ' || buyer || ' on ' || CAST(signed AS VARCHAR) || '.' END AS body, closing
+  FROM stories JOIN orders ON o_orderkey = story_id)"""
+
+
+def news(t: Tables) -> DataFrame:
+    """story_id and body of a press item for every order that has a line; its form follows the order's priority."""
+    rows = stories(t).join(t.orders.select(F.col("o_orderkey").alias("story_id"), F.left("o_orderpriority", F.lit(1)).alias("form")), "story_id")
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    buyer, seller, n, signed, closing = F.col("buyer"), F.col("seller"), F.col("millions").cast("string"), F.col("signed").cast("string"), F.col("closing").cast("string")
+    body = (
+        F.when(F.col("form") == "1", said(seller, " In Focus After Securing Rs ", n, " Crore Gas Pipeline Contract From ", buyer))
+        .when(F.col("form") == "2", said(buyer, "'s unit wins a USD ", n, " million steel pipe order.\nNothing else was said."))
+        .when(F.col("form") == "3", said(seller, ", the main EPC contractor on the Kappa Gas Project, has won a contract worth USD ", n, " million from ", buyer, ". Anna Berg, Procurement Manager, signed it on ", signed, "."))
+        .when(F.col("form") == "4", said(buyer, " has floated tenders for a valve package. Tender No: RF-", F.col("story_id").cast("string"), "/A. Bids are due by ", closing, "."))
+        .otherwise(said(seller, " was awarded a subcontract of USD ", n, " million by ", buyer, " on ", signed, "."))
+    )
+    return rows.select("story_id", body.alias("body"))
+
+
+@query(f"""{WITH}, {NEWS_SQL} SELECT story_id, CASE left(form, 1) WHEN '2' THEN 'unknown' WHEN '4' THEN 'epc_tender' ELSE 'awarded' END AS stage, CASE left(form, 1) WHEN '2' THEN NULL ELSE buyer END AS awarder,
+CASE WHEN left(form, 1) IN ('1', '3', '5') THEN seller END AS awardee, CASE left(form, 1) WHEN '1' THEN 'main_epc' WHEN '3' THEN 'main_epc' WHEN '5' THEN 'subcontractor' END AS role,
+CASE WHEN left(form, 1) IN ('3', '5') THEN CAST(signed AS VARCHAR) END AS award_date, CASE left(form, 1) WHEN '4' THEN 'RF-' || story_id || '/A' END AS tender_ref, CASE left(form, 1) WHEN '4' THEN CAST(closing AS VARCHAR) END AS closing_date FROM news""")
+def news_facts(t: Tables) -> DataFrame:
+    """Facts of press items in five forms. What a unit wins is neither its parent's nor given by it."""
+    out = extract.facts(news(t), "story_id", F.col("body"))
+    return out.select("story_id", "stage", "awarder", "awardee", "role", "award_date", "tender_ref", "closing_date")
+
+
+@query(f"""{WITH}, {NEWS_SQL}, m AS (
+SELECT story_id, seller AS name, CASE left(form, 1) WHEN '5' THEN 'subcontractor' ELSE 'main_epc' END AS role, CAST(NULL AS VARCHAR) AS title FROM news WHERE left(form, 1) IN ('1', '3', '5')
+UNION ALL SELECT story_id, buyer, CASE left(form, 1) WHEN '2' THEN 'parent' WHEN '5' THEN 'main_epc' ELSE 'owner' END, NULL FROM news
+UNION ALL SELECT story_id, 'Anna Berg', 'person', 'Procurement Manager' FROM news WHERE left(form, 1) = '3') SELECT * FROM m""")
+def news_mentions(t: Tables) -> DataFrame:
+    """Everybody whom press items name, with the role that says most."""
+    return extract.mentions(news(t), "story_id", F.col("body")).select("story_id", "name", "role", "title")

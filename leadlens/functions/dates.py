@@ -13,7 +13,7 @@ from leadlens.functions.binding import let
 
 #: How months begin.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-#: Years that are believed, exclusive.
+#: Years that are believed, exclusive for the date of a text, inclusive for dates that are compared.
 OLDEST, NEWEST = 1990, 2100
 #: Tokens that may stand within a date and say nothing.
 FILLERS = ["st", "nd", "rd", "th", "of"]
@@ -46,22 +46,24 @@ def _dates(tokens: Column, with_months: bool) -> Column:
         i, a, b, c_, d, e, before = w["i"], *(w[f"t{k}"] for k in range(5)), w["before"]
         cell = lambda form, y, m, day: F.struct(F.lit(form).alias("form"), i.alias("at"), y.alias("y"), m.alias("m"), day.alias("d"))
         slash = lambda x: x["s"].isin("/", ".")
-        out = F.when(number(a, 4, 4) & (b["s"] == "-") & number(c_, 2, 2) & (d["s"] == "-") & number(e, 2, 2), cell(1, value(a), value(c_), value(e)))
+        # What a sign joins to something before it is part of a number, such as a tender's.
+        free = ~F.coalesce(before["s"].isin("-", "/", "."), F.lit(False))
+        out = F.when(free & number(a, 4, 4) & (b["s"] == "-") & number(c_, 2, 2) & (d["s"] == "-") & number(e, 2, 2), cell(1, value(a), value(c_), value(e)))
         out = out.when(number(a, 1, 2) & (b["month"] > 0) & number(c_, 4, 4), cell(2, value(c_), b["month"], value(a)))
         out = out.when((a["month"] > 0) & number(b, 1, 2) & number(c_, 4, 4), cell(3, value(c_), a["month"], value(b)))
         out = out.when(number(a, 1, 2) & slash(b) & number(c_, 1, 2) & slash(d) & number(e, 4, 4), cell(4, value(e), value(c_), value(a)))
         alone = (a["month"] > 0) & number(b, 4, 4) & ~F.coalesce(number(before, 1, 2), F.lit(False))
         out = out.when(alone, cell(5, value(b), a["month"], F.lit(None).cast("int")))
         if with_months:
-            out = out.when(number(a, 4, 4) & (b["s"] == "-") & number(c_, 2, 2) & ~F.coalesce((d["s"] == "-") & number(e, 2, 2), F.lit(False)), cell(6, value(a), value(c_), F.lit(None).cast("int")))
+            out = out.when(free & number(a, 4, 4) & (b["s"] == "-") & number(c_, 2, 2) & ~F.coalesce(d["s"] == "-", F.lit(False)), cell(6, value(a), value(c_), F.lit(None).cast("int")))
         return out
 
     places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
     return F.array_compact(F.transform(places, read))
 
 
-def _sound(x: Column) -> Column:
-    return (x["y"] > OLDEST) & (x["y"] < NEWEST) & x["m"].between(1, 12) & F.coalesce(x["d"], F.lit(1)).between(1, 31)
+def _sound(x: Column, ends: int = 0) -> Column:
+    return (x["y"] > OLDEST - ends) & (x["y"] < NEWEST + ends) & x["m"].between(1, 12) & F.coalesce(x["d"], F.lit(1)).between(1, 31)
 
 
 def parse_date(c: Column) -> Column:
@@ -76,7 +78,7 @@ def parse_date(c: Column) -> Column:
 
 def dates_in(c: Column) -> Column:
     """array<struct<y, m, d>> of all dates that a text names; d is null where it names a month only."""
-    return F.transform(F.filter(_found(c, with_months=True), _sound), lambda x: F.struct(x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d")))
+    return F.transform(F.filter(_found(c, with_months=True), lambda x: _sound(x, 1)), lambda x: F.struct(x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d")))
 
 
 def date_backed(value: Column, quote: Column) -> Column:

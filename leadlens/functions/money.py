@@ -27,8 +27,8 @@ def _any(words: list[str]) -> str:
 NUMBER = "([0-9][0-9,]*(?:[.][0-9]+)?)"
 _SCALED = rf"{NUMBER}[+]?(?:\s*{_any(list(SCALE))}\b)?"
 #: The currency stands before the number, as a sign or a code, or after it as a code.
-_LED = rf"(?i){_any([*USD_RATE, *ALIASES])}\s?{_SCALED}"
-_TRAILED = rf"(?i){_SCALED}\s?{_any(list(USD_RATE))}\b"
+LED = rf"(?i){_any([*USD_RATE, *ALIASES])}\s?{_SCALED}"
+TRAILED = rf"(?i){_SCALED}\s?{_any(list(USD_RATE))}\b"
 
 
 def _lookup(c: Column, table: dict) -> Column:
@@ -45,14 +45,14 @@ def parse_money(c: Column) -> Column:
 
     def read(at: Column) -> Column:
         leads = at["led"].isNotNull() & (at["trailed"].isNull() | (at["led"] <= at["trailed"]))
-        pick = lambda i, j: F.when(leads, F.regexp_extract(c, _LED, i)).otherwise(F.regexp_extract(c, _TRAILED, j))
+        pick = lambda i, j: F.when(leads, F.regexp_extract(c, LED, i)).otherwise(F.regexp_extract(c, TRAILED, j))
         parts = F.struct(F.upper(pick(1, 3)).alias("mark"), _times(pick(2, 1), pick(3, 2)).alias("amount"))
         return F.when(at["led"].isNotNull() | at["trailed"].isNotNull(), let(parts, priced))
 
     def priced(p: Column) -> Column:
         return let(F.coalesce(_lookup(p["mark"], ALIASES), p["mark"]), lambda currency: F.struct(p["amount"].alias("amount"), currency.alias("currency"), F.round(p["amount"] * _lookup(currency, {k: float(v) for k, v in USD_RATE.items()})).cast("long").alias("usd")))
 
-    return let(F.struct(place(_LED).alias("led"), place(_TRAILED).alias("trailed")), read)
+    return let(F.struct(place(LED).alias("led"), place(TRAILED).alias("trailed")), read)
 
 
 def plausible_usd(money: Column) -> Column:

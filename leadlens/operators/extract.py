@@ -1,62 +1,356 @@
-"""Facts from press texts by rules: who awarded what to whom, the value, the days, the number of the tender; each with its sentence."""
+"""Facts from press texts by rules: who awarded what to whom, tenders, people, projects; each with its sentence.
+
+Spark cuts texts into sentences and keeps those with a cue. Each is read once as tokens: name runs are found, and a verb
+of giving, getting or asking decides which of them is on which side. Sentences are then gathered by text.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions import dates, evidence, money, names
-from leadlens.functions.binding import let
-
-#: A capitalised name of one or more words.
-NAME = r"\p{Lu}[\p{L}\p{N}&'’-]*(?:\s+(?:(?:and|of|&)\s+)?\p{Lu}[\p{L}\p{N}&'’-]*)*"
-#: Verbs of giving and of getting work, and of asking for bids.
-GIVES, GETS, ASKS = ["awarded", "awards", "subcontracted", "subcontracts", "let"], ["won", "wins", "secured", "secures", "bagged", "bags", "received", "receives", "clinched", "clinches", "landed", "lands"], ["invited", "invites", "issued", "issues", "floated", "floats", "released", "releases", "launched", "launches"]
-#: What is given and got.
-WORK = "(?:contract|order|package|subcontract)"
-_OR = "|".join
-#: Pattern, group of the one who awards, group of the awardee.
-AWARDS = [
-    (rf"({NAME})\s+(?:has\s+|had\s+)?(?:{_OR(GIVES)})\s+({NAME})\s+(?:an?|the)\s[^.]*?{WORK}", 1, 2),
-    (rf"({NAME})\s+(?:has\s+|had\s+)?(?:{_OR(GIVES)})\s+(?:an?\s|the\s)?[^.]*?\sto\s+({NAME})", 1, 2),
-    (rf"({NAME})\s+(?:has\s+|have\s+)?(?:{_OR(GETS)})\s+(?:an?\s|the\s)?(?:[^.]|(?<=\d)[.](?=\d))*?{WORK}s?\b(?:[^.]|(?<=\d)[.](?=\d))*?\s(?:from|by)\s+(?:the\s+)?({NAME})", 2, 1),
-]
-ASKED = rf"({NAME})\s+(?:has\s+)?(?:{_OR(ASKS)})\s+(?:(?:e-)?tenders?|bids|an?\s+(?:\w+\s+)*?tender|expressions? of interest)"
-REF = r"(?i)\b(?:tender|bid|rf[qp]|enquiry|inquiry)\s+(?:no[.]?|number|ref(?:erence)?[.]?)\s*[:#]?\s*([A-Z][A-Z0-9]*(?:[-/][A-Z0-9]+)+)"
-CLOSING = r"(?i)\b(?:closing date|due date|deadline|must be submitted|are due|closes? on|last date)\b"
-
-
-def awardee_role(sentence: Column) -> Column:
-    """What the awardee becomes by an award's wording: subcontractor, supplier, consortium_member or main_epc."""
-    supply = sentence.rlike(r"(?i)\b(?:supply|supplies|supplying|purchase order|manufactur\w+)\b|\border for\b|\b(?:pipes?|valves?)\s+(?:supply\s+)?(?:orders?|contracts?|deals?)\b") & ~sentence.rlike(r"(?i)\bEPC\s+(?:contract|order)\b")
-    return F.when(sentence.rlike("(?i)subcontract"), "subcontractor").when(supply, "supplier").when(sentence.rlike(r"(?i)\bconsortium\b"), "consortium_member").otherwise("main_epc")
-
-
-def facts(text: Column) -> Column:
-    """struct<stage, awarder, awardee, role, usd, award_date, tender_ref, closing_date, quote> of a text; what isn't said is null."""
-    first = lambda every, test: F.get(F.filter(every, lambda s: test(s)), F.lit(0))
-    is_award = lambda s: F.coalesce(*(F.nullif(s.rlike(p), F.lit(False)) for p, _, _ in AWARDS), F.lit(False))
-    cue = lambda s: s.rlike(r"(?i)\b(?:signed|awarded|received on|announced on|letter of award|dated)\b") & s.rlike("[0-9]{4}")
-
-    def chosen(every: Column) -> Column:
-        return F.struct(first(every, is_award).alias("award"), first(every, lambda s: s.rlike(ASKED)).alias("asked"), first(every, cue).alias("dated"), first(every, lambda s: s.rlike(REF)).alias("ref"), first(every, lambda s: s.rlike(CLOSING) & s.rlike("[0-9]{4}")).alias("closing"))
-
-    def read(s: Column) -> Column:
-        award, asked = s["award"], s["asked"]
-        side = lambda k: F.coalesce(*(F.when(award.rlike(p), names.tidy_company(F.regexp_extract(award, p, g[k]))) for p, *g in AWARDS))
-        return F.struct(
-            F.when(award.isNotNull(), "awarded").when(asked.isNotNull(), "epc_tender").otherwise("unknown").alias("stage"),
-            F.coalesce(side(0), names.tidy_company(F.regexp_extract(asked, ASKED, 1))).alias("awarder"),
-            side(1).alias("awardee"),
-            F.when(award.isNotNull(), awardee_role(award)).alias("role"),
-            let(money.parse_money(award), money.plausible_usd).alias("usd"),
-            F.when(award.isNotNull(), F.coalesce(dates.parse_date(award), dates.parse_date(s["dated"]))).alias("award_date"),
-            F.nullif(F.regexp_extract(s["ref"], REF, 1), F.lit("")).alias("tender_ref"),
-            dates.parse_date(s["closing"]).alias("closing_date"),
-            F.coalesce(award, asked).alias("quote"),
-        )
-
-    return let(let(evidence.sentences(text), chosen), read)
+
+#: Verbs of giving work, of getting it, of getting it if the other side is named, and of asking for bids.
+GIVES = {"awarded", "awards", "subcontracted", "subcontracts", "let"}
+GETS = {"won", "wins", "win", "secured", "secures", "securing", "bagged", "bags", "bagging", "received", "receives", "receiving", "clinched", "clinches", "clinching", "landed", "lands", "landing"}
+SIGNS = {"gets", "getting", "signs", "signed", "signing", "inks", "inked"}
+ASKS = {"invited", "invites", "issued", "issues", "floated", "floats", "released", "releases", "launched", "launches", "announced", "announces"}
+#: What is given or got, what is asked for, and words for a part of a company.
+WORK = {"contract", "contracts", "order", "orders", "package", "packages", "subcontract", "subcontracts", "scope", "work", "works"}
+BIDS = {"tender", "tenders", "e-tender", "e-tenders", "bids", "proposals", "proposal", "quotations", "interest"}
+UNITS = {"unit", "units", "arm", "associate", "associates", "subsidiary", "subsidiaries", "affiliate", "jv"}
+#: Words that make a pipe order or contract a supply, as do orders of pipes and valves.
+SUPPLY = {"supply", "supplies", "supplying", "manufacture", "manufactures", "manufacturing", "manufactured"}
+GOODS, DEALS = {"pipe", "pipes", "linepipe", "linepipes", "valve", "valves"}, {"order", "orders", "contract", "contracts", "deal", "deals"}
+#: Words of headlines that are no part of names however they are written.
+HEADLINE = GIVES | GETS | SIGNS | UNITS | {"contract", "contracts", "order", "orders", "from", "by", "for", "in", "on", "after", "focus", "worth", "to", "the", "a", "an", "with", "at", "shares", "share", "stock", "surge", "surges", "jumps", "gains", "rises", "rallies", "soars", "up", "over", "crore", "lakh", "million", "billion", "mn", "bn", "firm"}
+#: Words that end a project's name, and those that don't make one alone.
+PROJECT = {"project", "pipeline", "scheme", "system", "plant", "expansion", "development", "upgrade", "network", "line", "facility", "complex", "programme", "program", "replacement", "terminal", "refinery"}
+PLAIN = PROJECT | {"gas", "water", "oil", "crude", "steel", "new", "pipelines", "projects", "transmission", "distribution", "city"}
+#: Last and earlier words of titles.
+POSTS = {"manager", "director", "head", "officer", "lead", "engineer", "secretary", "coordinator", "ceo", "chairman", "president"}
+FIELDS = {"senior", "deputy", "chief", "general", "assistant", "regional", "group", "procurement", "project", "projects", "package", "contract", "contracts", "tender", "tenders", "purchase", "purchasing", "supply", "chain", "managing", "technical", "commercial", "construction", "engineering", "operations", "pipeline", "piping", "executive", "financial", "vice"}
+#: Words that are written large but name nobody.
+NOBODY = {"the", "a", "an", "it", "its", "this", "that", "these", "he", "she", "they", "we", "our", "company", "epc", "government", "ministry", "tender", "bids", "project"}
+AUXILIARY = {"has", "had", "have", "been", "was", "were", "also", "recently"}
+JOINERS = {"and", "of", "&"}
+#: Words between a name and its verb in headlines ("in focus after", "shares surge 10% on").
+GAP = 7
+
+_TOKEN = re.compile(r"[^\W_]+(?:[&'’./-][^\W_]+)*|[^\w\s]")
+_PLACES = {p.lower() for p in names.PLACES}
+_DAYS = {d.lower() for d in names.WEEKDAYS}
+
+
+@dataclass
+class Read:
+    """What one sentence says."""
+
+    awarder: str | None = None
+    awardee: str | None = None
+    role: str | None = None
+    parent: str | None = None
+    issuer: str | None = None
+    ref: str | None = None
+    project: str | None = None
+    usd: int | None = None
+    day: str | None = None
+    dated: bool = False
+    closing: bool = False
+    people: list[dict[str, str]] = field(default_factory=list)
+
+
+class Sentence:
+    """A sentence as tokens with their places, and the runs of tokens that are names."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.words = [text[a:b] for a, b in self.spans]
+        self.low = [w.lower() for w in self.words]
+        long = [w for w in self.words if len(w) >= 4 and w.isalpha()]
+        self.headline = len(long) >= 4 and sum(w[0].isupper() for w in long) >= 0.7 * len(long)
+        self.runs = self._runs()
+        self.ends = {b: (a, b) for a, b in self.runs}
+        self.starts = {a: (a, b) for a, b in self.runs}
+
+    def _large(self, i: int) -> bool:
+        return self.words[i][0].isupper() and not (self.headline and self.low[i] in HEADLINE)
+
+    def _runs(self) -> list[tuple[int, int]]:
+        out, i, n = [], 0, len(self.words)
+        while i < n:
+            if not self._large(i):
+                i += 1
+                continue
+            j = i + 1
+            while j < n and (self._large(j) or (self.low[j] in JOINERS and j + 1 < n and self._large(j + 1))):
+                j += 1
+            a = i
+            while a < j and (self.low[a] in NOBODY - {"company", "ministry", "government"} or self.low[a] in _DAYS):
+                a += 1
+            if a < j:
+                out.append((a, j))
+            i = j
+        return out
+
+    def name(self, run: tuple[int, int] | None) -> str | None:
+        """A run as it is written, without a place or a possessive around it; none if it names nobody."""
+        if run is None:
+            return None
+        a, b = run
+        while a < b:
+            low = self.low[a]
+            owner = re.split("['’]s$", low)[0]
+            if b - a > 1 and (low.endswith(("-based", "-run", "-owned", "-listed")) or (owner != low and owner in _PLACES)):
+                a += 1
+            else:
+                break
+        out = re.sub("['’]s$", "", self.text[self.spans[a][0] : self.spans[b - 1][1]])
+        day, _, rest = out.partition(".")
+        out = rest if rest and day.lower() in _DAYS else out
+        return out if len(out) >= 2 and out.lower() not in NOBODY and out.lower() not in _PLACES else None
+
+    def run_from(self, i: int) -> tuple[int, int] | None:
+        """The run that begins at a token, or after "the" there."""
+        while i < len(self.words) and self.low[i] == "the":
+            i += 1
+        return self.starts.get(i)
+
+    def after(self, words: set[str], i: int) -> tuple[int, int] | None:
+        """The first run that follows one of the words from a token on."""
+        return next((run for k in range(i, len(self.words)) if self.low[k] in words and (run := self.run_from(k + 1))), None)
+
+    def find(self, words: set[str], i: int, most: int = 1_000_000) -> int | None:
+        return next((k for k in range(i, min(len(self.words), i + most)) if self.low[k] in words), None)
+
+    def subject(self, verb: int) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
+        """(subject, parent) of a verb: the name before it, before an aside between commas, or before a headline's few words."""
+        e = verb
+        while e and self.low[e - 1] in AUXILIARY:
+            e -= 1
+        if e and self.words[e - 1] == ",":
+            comma = next((k for k in range(e - 2, -1, -1) if self.words[k] == ","), None)
+            if comma is not None and comma in self.ends:
+                aside = self.find(UNITS, comma, e - comma)
+                return self.ends[comma], self.after({"of"}, aside) if aside is not None else None
+        last = next((r for r in reversed(self.runs) if r[1] <= e), None)
+        if last is None:
+            return None, None
+        gap = range(last[1], e)
+        if len(gap) > GAP or any(self.words[k] != "%" and not self.words[k][0].isalnum() for k in gap):
+            return None, None
+        if any(self.low[k] in UNITS for k in gap):
+            return None, last
+        k = last[0] - 1
+        return last, self.ends.get(k) if k >= 0 and self.low[k] in UNITS and k in self.ends else None
+
+
+def role_of(low: list[str]) -> str:
+    """What an award makes of who gets it, by its words: subcontractor, supplier, consortium_member or main_epc."""
+    pairs = set(zip(low, low[1:], strict=False))
+    goods = any(a in GOODS and (b in DEALS or (b == "supply" and c in DEALS)) for a, b, c in zip(low, low[1:], [*low[2:], ""], strict=False))
+    if any(w.startswith("subcontract") for w in low):
+        return "subcontractor"
+    if (goods or not SUPPLY.isdisjoint(low) or ("purchase", "order") in pairs or ("order", "for") in pairs) and pairs.isdisjoint({("epc", "contract"), ("epc", "order")}):
+        return "supplier"
+    return "consortium_member" if "consortium" in low else "main_epc"
+
+
+def _award(s: Sentence, out: Read) -> bool:
+    for v, word in enumerate(s.low):
+        passive = v > 0 and s.low[v - 1] in ("been", "was", "were")
+        if word in GETS or word in SIGNS or (word in GIVES and passive):
+            work = s.find(WORK, v + 1)
+            if work is None:
+                continue
+            who, parent = s.subject(v)
+            giver = s.after({"from", "by", "with"}, work)
+            if (who is None and parent is None) or (giver is None and word in SIGNS):
+                continue
+        elif word in GIVES:
+            giver, parent = s.subject(v)
+            who = s.run_from(v + 1)
+            if who is None or s.find(WORK, who[1]) is None:
+                who = s.after({"to"}, v + 1)
+            if giver is None or who is None:
+                continue
+        else:
+            continue
+        out.awardee, out.awarder, out.parent = s.name(who), s.name(giver), s.name(parent)
+        if out.awardee or out.parent:
+            out.role = role_of(s.low) if out.awardee else None
+            return True
+    return False
+
+
+def _tender(s: Sentence, out: Read) -> None:
+    for v, word in enumerate(s.low):
+        if word in ASKS and s.find(BIDS, v + 1, 6) is not None:
+            out.issuer = s.name(s.subject(v)[0])
+            return
+
+
+def _reference(s: Sentence) -> str | None:
+    for k, word in enumerate(s.low):
+        if word in ("tender", "bid", "rfq", "rfp", "enquiry", "inquiry") and k + 1 < len(s.low) and s.low[k + 1] in ("no", "number", "ref", "reference"):
+            code = next((w for w in s.words[k + 2 : k + 5] if w not in (".", ":", "#")), "")
+            if re.fullmatch("[A-Z][A-Z0-9]*(?:[-/][A-Z0-9]+)+", code.upper()):
+                return code
+    return None
+
+
+def _people(s: Sentence) -> list[dict[str, str]]:
+    """Names beside titles: "Name, Title", "Name (Title)" and "Title Name"."""
+    out, k = [], 0
+    titles = []
+    while k < len(s.words):
+        j = k
+        while j < len(s.words) and s.low[j] in FIELDS | POSTS | {"of", "and"} and (s.words[j][0].isupper() or s.low[j] in ("of", "and")):
+            j += 1
+        while j > k and s.low[j - 1] in ("of", "and"):
+            j -= 1
+        if any(s.low[x] in POSTS for x in range(k, j)) and s.low[k] not in ("of", "and"):
+            titles.append((k, j))
+        k = max(j, k + 1)
+    person = lambda a, b: 2 <= b - a <= 3 and all(w[0].isupper() and w[1:].islower() for w in s.words[a:b])
+    for a, b in titles:
+        before = a - 1
+        while before >= 0 and s.low[before] in ("the", "its", "company's"):
+            before -= 1
+        run = s.ends.get(before) if before > 0 and s.words[before] in (",", "(") else None
+        if run is None or not person(*run):
+            whole = next((r for r in s.runs if r[0] <= a and b < r[1]), None)
+            run = (b, whole[1]) if whole and whole[1] > b else s.starts.get(b)
+        if run and person(*run):
+            at = lambda x, y: s.text[s.spans[x][0] : s.spans[y - 1][1]]
+            out.append({"name": at(*run), "title": at(a, b)})
+    return out
+
+
+def _project(s: Sentence) -> str | None:
+    for a, b in s.runs:
+        stop = next((k for k in range(b, a, -1) if s.low[k - 1] in PROJECT), None)
+        if stop and stop - a >= 2 and not all(w in PLAIN for w in s.low[a:stop]):
+            return s.text[s.spans[a][0] : s.spans[stop - 1][1]]
+    return None
+
+
+_LED, _TRAILED = re.compile(money.LED), re.compile(money.TRAILED)
+
+
+def usd_of(text: str) -> int | None:
+    """The first amount of a text in US dollars, as money.parse_money() has it; none above what a single award can be."""
+    led, trailed = _LED.search(text), _TRAILED.search(text)
+    if not led and not trailed:
+        return None
+    if led and (not trailed or led.start() <= trailed.start()):
+        mark, number, scale = led.groups()
+    else:
+        number, scale, mark = trailed.groups()
+    currency = money.ALIASES.get(mark.upper(), mark.upper())
+    usd = float(number.replace(",", "")) * money.SCALE.get((scale or "").lower(), 1.0) * money.USD_RATE[currency]
+    return int(usd + 0.5) if usd <= money.PLAUSIBLE else None
+
+
+def day_of(text: str) -> str | None:
+    """The date of a text, as dates.parse_date() has it: of several the most exact form, then the first."""
+    tokens = [x for x in re.findall("[0-9]+|[a-z]+|[-/.]", re.sub(r"([a-z])\.", r"\1 ", text.lower())) if x not in dates.FILLERS]
+    number = lambda i, *sizes: i < len(tokens) and tokens[i].isdigit() and len(tokens[i]) in sizes
+    month = lambda i: dates.MONTHS.index(tokens[i][:3]) + 1 if i < len(tokens) and tokens[i][:3] in dates.MONTHS else 0
+    sign = lambda i, *signs: i < len(tokens) and tokens[i] in signs
+    found = []
+    for i in range(len(tokens)):
+        free = i == 0 or tokens[i - 1] not in "-/."
+        if free and number(i, 4) and sign(i + 1, "-") and number(i + 2, 2) and sign(i + 3, "-") and number(i + 4, 2):
+            found.append((1, i, int(tokens[i]), int(tokens[i + 2]), int(tokens[i + 4])))
+        elif number(i, 1, 2) and month(i + 1) and number(i + 2, 4):
+            found.append((2, i, int(tokens[i + 2]), month(i + 1), int(tokens[i])))
+        elif month(i) and number(i + 1, 1, 2) and number(i + 2, 4):
+            found.append((3, i, int(tokens[i + 2]), month(i), int(tokens[i + 1])))
+        elif number(i, 1, 2) and sign(i + 1, "/", ".") and number(i + 2, 1, 2) and sign(i + 3, "/", ".") and number(i + 4, 4):
+            found.append((4, i, int(tokens[i + 4]), int(tokens[i + 2]), int(tokens[i])))
+        elif month(i) and number(i + 1, 4) and not (i and number(i - 1, 1, 2)):
+            found.append((5, i, int(tokens[i + 1]), month(i), 1))
+    if not found:
+        return None
+    _, _, y, m, d = min(found)
+    return f"{y:04d}-{m:02d}-{d:02d}" if dates.OLDEST < y < dates.NEWEST and 1 <= m <= 12 and 1 <= d <= 31 else None
+
+
+def read(text: str) -> Read:
+    """What a sentence says."""
+    s, out = Sentence(text), Read()
+    if not _award(s, out):
+        _tender(s, out)
+    out.ref, out.people, out.project = _reference(s), _people(s), _project(s)
+    pairs, year = set(zip(s.low, s.low[1:], strict=False)), any(c.isdigit() and len(w) >= 4 for w in s.words for c in w[:1])
+    out.closing = year and (not pairs.isdisjoint({("closing", "date"), ("due", "date"), ("bid", "due"), ("last", "date"), ("are", "due"), ("closes", "on"), ("close", "on"), ("be", "submitted")}) or "deadline" in s.low)
+    out.dated = year and (not {"signed", "awarded", "dated"}.isdisjoint(s.low) or not pairs.isdisjoint({("received", "on"), ("announced", "on"), ("of", "award")}))
+    if out.awardee:
+        out.usd = usd_of(text)
+    if out.awardee or out.dated or out.closing:
+        out.day = day_of(text)
+    return out
+
+
+READ = "awarder string, awardee string, role string, parent string, issuer string, ref string, project string, usd long, day string, dated boolean, closing boolean, people array<struct<name:string,title:string>>"
+#: A sentence without any of these letters in a row says nothing that read() looks for.
+CUES = sorted(GIVES | GETS | SIGNS | ASKS | {"tender", "bid", "rfq", "rfp", "quiry", "due", "date", "deadline", "submitted"} | PROJECT | POSTS)
+
+
+def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"usd": pa.int64(), "dated": pa.bool_(), "closing": pa.bool_(), "people": pa.list_(pa.struct([("name", pa.string()), ("title", pa.string())]))}
+    for b in batches:
+        found = [vars(read(t)) for t in b.column("sentence").to_pylist()]
+        cells = {k: pa.array([f[k] for f in found], kinds.get(k, pa.string())) for k in vars(Read())}
+        yield pa.RecordBatch.from_arrays([*b.columns, *cells.values()], names=[*b.schema.names, *cells])
+
+
+def sentence_facts(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """A row for each sentence with a cue: ``key``, place, sentence and what it says."""
+    cue = "(?i)" + "|".join(CUES)
+    cut = df.select(key, text.alias("_text")).where(F.col("_text").rlike(cue)).select(key, F.posexplode(evidence.sentences(F.col("_text"))).alias("place", "sentence"))
+    kept = cut.where(F.col("sentence").rlike(cue))
+    return kept.mapInArrow(_reads, f"{key} {df.schema[key].dataType.simpleString()}, place int, sentence string, {READ}")
+
+
+def mentions(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key``, name, role, place, title: each name once a text, with the role that says most, from the first sentence that has it.
+
+    A parent of who got the work is neither side of the award.
+    """
+    rank = {"main_epc": 5, "subcontractor": 5, "supplier": 5, "consortium_member": 4, "owner": 3, "parent": 2, "person": 1}
+    rows = sentence_facts(df, key, text)
+    one = lambda name, role, title=None: F.struct(name.alias("name"), role.alias("role"), (F.lit(None).cast("string") if title is None else title).alias("title"))
+    giver = F.when(F.col("role") == "subcontractor", "main_epc").when(F.col("role") == "supplier", "unknown").otherwise("owner")
+    every = F.concat(F.array(one(F.col("awarder"), giver), one(F.col("awardee"), F.col("role")), one(F.col("parent"), F.lit("parent")), one(F.col("issuer"), F.lit("owner"))), F.transform("people", lambda p: one(p["name"], F.lit("person"), p["title"])))
+    each = rows.select(key, "place", F.explode(every).alias("m")).where("m.name is not null").select(key, "place", "m.*")
+    points = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("role")), F.lit(0))
+    best = F.min(F.struct((-points).alias("points"), "place", "name", "role", "title"))
+    return each.groupBy(key, F.lower("name").alias("_key")).agg(best.alias("b")).select(key, "b.name", "b.role", "b.place", "b.title")
+
+
+def facts(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key``, stage, awarder, awardee, role, usd, award_date, tender_ref, closing_date, quote of each text; what isn't said is null."""
+    first = lambda test, *what: F.min(F.when(test, F.struct("place", *what)))
+    got = sentence_facts(df, key, text).groupBy(key).agg(
+        first(F.col("awardee").isNotNull(), "sentence", "awarder", "awardee", "role", "usd", "day").alias("award"),
+        first(F.col("issuer").isNotNull(), "sentence", "issuer").alias("asked"),
+        first(F.col("dated"), "day").alias("dated"),
+        first(F.col("ref").isNotNull(), "ref").alias("ref"),
+        first(F.col("closing"), "day").alias("closing"),
+    )
+    out = df.select(key).distinct().join(got, key, "left")
+    award, asked = F.col("award"), F.col("asked")
+    stage = F.when(award.isNotNull(), "awarded").when(asked.isNotNull(), "epc_tender").otherwise("unknown")
+    return out.select(key, stage.alias("stage"), F.when(award.isNotNull(), award["awarder"]).otherwise(asked["issuer"]).alias("awarder"), award["awardee"].alias("awardee"), award["role"].alias("role"), award["usd"].alias("usd"), F.when(award.isNotNull(), F.coalesce(award["day"], F.col("dated.day"))).alias("award_date"), F.col("ref.ref").alias("tender_ref"), F.col("closing.day").alias("closing_date"), F.coalesce(award["sentence"], asked["sentence"]).alias("quote"))
 
 
 def agreed(first: DataFrame, second: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:

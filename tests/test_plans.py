@@ -71,8 +71,8 @@ def test_facts(spark):
         "Acme Gas has invited bids for a plant. Tender No: AB-12/7. Bids are due by 5 June 2024.": ("epc_tender", "Acme Gas", None, None, None, None),
         "Nothing happened.": ("unknown", None, None, None, None, None),
     }
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", extract.facts(F.col("t")).alias("f"))
-    got = {r.t: (r.f.stage, r.f.awarder, r.f.awardee, r.f.role, r.f.usd, r.f.award_date) for r in df.collect()}
+    df = extract.facts(spark.createDataFrame([(t,) for t in texts], "t string"), "t", F.col("t"))
+    got = {r.t: (r.stage, r.awarder, r.awardee, r.role, r.usd, r.award_date) for r in df.collect()}
     assert got == texts
-    tender = df.where("f.stage = 'epc_tender'").first().f
+    tender = df.where("stage = 'epc_tender'").first()
     assert (tender.tender_ref, tender.closing_date) == ("AB-12/7", "2024-06-05")
