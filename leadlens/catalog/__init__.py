@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlens.catalog import buyers, domain, feeds, graph, reading, relational, scoring, spine, stories, streams, temporal, textual, tree  # noqa: F401
+from leadlens.catalog import buyers, domain, feeds, graph, reading, relational, scoring, spine, stories, streams, temporal, textual, tree, work  # noqa: F401
 from leadlens.registry import QUERIES
 
 
