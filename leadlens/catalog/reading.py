@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.operators import dictionary
+from leadlens.functions import rules
+from leadlens.operators import dictionary, identity
 from leadlens.operators.focus import Focus, focus_text
 from leadlens.registry import Tables, query
 
@@ -91,3 +92,31 @@ def brief_match(t: Tables) -> DataFrame:
     rows = t.benchmark.select(F.col("item_id").alias("item"), w.alias("w")).where(F.size("w") >= 5)
     uses = rows.select("item", F.posexplode(F.slice("w", 1, 5)).alias("i", "x")).select("item", F.col("x.w").alias("phrase"), (F.col("i") < 2).alias("core"))
     return dictionary.works_in(t.documents, "doc_id", F.col("text"), uses)
+
+
+def _quoted(values: tuple[str, ...] | list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _words_sql(x: str) -> str:
+    return r"regexp_extract_all(lower(" + x + r"), '[\p{L}\p{N}]+')"
+
+
+@query(rf"""WITH h AS (SELECT page_id, url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS text,
+  regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www[.]', '') AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages
+), l AS (SELECT *, regexp_replace(split_part(host, '.', 1), '[^a-z0-9]', '', 'g') AS letters, len(list_filter({_quoted(rules.NOT_COMPANIES)}, lambda d: host = d OR ends_with(host, '.' || d))) > 0 OR regexp_matches(path, '(?i)/(?:jobs?|careers?|vacanc\w*)(?:/|$)') AS barred FROM h
+), s AS (SELECT *, CASE WHEN length(letters) >= {identity.LEAST_LETTERS} THEN list_filter(regexp_extract_all(' ' || text || ' ', '[^\p{{L}}\p{{N}}&]((?i:' || regexp_replace(letters, '(.)', '\1[^\\p{{L}}\\p{{N}}&]*', 'g') || '))', 1), lambda m: regexp_matches(m, '^[\p{{Lu}}\p{{N}}]')) END AS found FROM l
+), c AS (SELECT *, list_filter(list_transform(range(1, len(parts) + 1), lambda i: {{'i': i, 'name': trim(regexp_replace(parts[i], '(?i)^(?:{"|".join(identity.LABELS)})\s*[:–—-]?\s+', ''))}}), lambda x: coalesce(length(x.name) BETWEEN 5 AND 105 AND len({_words_sql("x.name")}) > 0 AND NOT list_contains({_quoted(identity.TRADE)}, {_words_sql("x.name")}[1]) AND NOT list_has_all({_quoted(identity.TRADE + identity.FIRM)}, {_words_sql("x.name")})
+  AND ((length({_words_sql("x.name")}[1]) >= {identity.LEAST_LETTERS} AND starts_with(letters, {_words_sql("x.name")}[1])) OR array_to_string({_words_sql("x.name")}, '') = letters OR (length({_words_sql("x.name")}[1]) >= 3 AND list_has_any({_words_sql("x.name")}, {_quoted(identity.FIRM)}))
+  OR (len(parts) > 1 AND x.i = len(parts) AND len({_words_sql("x.name")}) >= 2)), FALSE)) AS names FROM (SELECT *, regexp_split_to_array(title, '\s+[|–—-]\s+|\s*[|]\s*') AS parts FROM s)
+), t AS (SELECT *, CASE WHEN NOT list_has_any({_words_sql("title")}, {_quoted(identity.NEWS)}) AND len(names) > 0 THEN names[len(names)].name END AS by_title,
+  list_filter(list_transform(found, lambda m: rtrim(regexp_replace(m, '[^\p{{L}}\p{{N}}&]+$', ''))), lambda m: len(regexp_extract_all(m, '[\p{{L}}\p{{N}}&]+')) <= {identity.MOST_WORDS})[1] AS by_text FROM c)
+SELECT page_id, letters, CASE WHEN NOT barred THEN coalesce(by_title, by_text) END AS company FROM t""")
+def page_identity(t: Tables) -> DataFrame:
+    """Whose every page is, from its title or from words of its text that spell its host."""
+    text = F.col("html")
+    for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
+        text = F.regexp_replace(text, pattern, " ")
+    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
+    rows = t.pages.select("page_id", "url", title.alias("title"), text.alias("text"))
+    return rows.select("page_id", identity.host_letters(F.col("url")).alias("letters"), identity.page_company(F.col("url"), F.col("title"), F.col("text")).alias("company"))
