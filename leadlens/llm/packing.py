@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import saved, slices, utf8, whole_groups
+from leadlens.llm.common import saved, slices, tidy, utf8, whole_groups
 from leadlens.llm.wordbpe import WordBpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -70,7 +70,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Documents as token pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32. Null text: the end id alone."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(tidy(_pieces(tokenizer, capacity, end_id)), PIECES)
 
 
 def _pack(capacity: int, level: int):
@@ -111,7 +111,7 @@ def packed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     kind = f"bin long, fill long, items array<{item_type(pieces)}>, starts array<long>"
     while True:
         dealt = rows.select("fill", "items", "starts", F.pmod("spread", F.lit(groups)).alias("part"), "spread")
-        bins = saved(dealt.repartition("part").sortWithinPartitions("part", "spread").drop("spread").mapInArrow(_pack(capacity, level), kind))
+        bins = saved(dealt.repartition("part").sortWithinPartitions("part", "spread").drop("spread").mapInArrow(tidy(_pack(capacity, level)), kind))
         open_ = F.col("fill") < int(FULL * capacity)
         n = bins.agg(F.count("*").alias("bins"), F.count_if(open_).alias("open"), F.sum(F.when(open_, F.size("items"))).alias("pieces")).first()
         if groups == 1 or (left is not None and n.bins > (1 - LEAST_GAIN) * left):
