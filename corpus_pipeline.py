@@ -20,7 +20,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't scored as toxic; the model is fitted on the labelled documents of the table."""
+    """Documents that aren't scored as toxic; the model is fitted on the labelled documents of the table.
+
+    A null text is scored like an empty one and stays null; texts are scored whole; rows that repeat are scored alike; rows
+    without an id are scored, too; other columns stay whatever their names; no documents give none.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -38,17 +42,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that an earlier one has in a passage of at least 50."""
+    """All documents, without the bytes that an earlier one has in a passage of at least 50.
+
+    Null texts and rows without an id stay as they are; texts are of any length; rows that repeat an id don't repeat each
+    other; other columns stay whatever their names; no documents give none.
+    """
     return _counted(without_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the kind in brackets."""
+    """All documents, with personal data replaced by the kind in brackets.
+
+    Null texts stay null and empty ones empty; texts are of any length; rows that repeat are treated alike; other columns
+    stay whatever their names; no documents give none.
+    """
     return _counted(mask_spans(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents with their places in sequences of 4096."""
+    """The token pieces of all documents with their places in sequences of 4096.
+
+    A null or empty text is one piece of the end id; texts are of any length; rows that repeat, or have no id, are documents
+    of their own; which of equally long pieces goes first isn't fixed; no documents give no pieces.
+    """
     return best_fit_pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 

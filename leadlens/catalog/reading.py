@@ -9,6 +9,7 @@ from leadlens.functions import rules
 from leadlens.operators import dictionary, identity
 from leadlens.operators.focus import Focus, focus_text
 from leadlens.registry import Tables, query
+from leadlens.sources.pages import read_pages
 
 #: Words of the documents' invented languages, as a search would have them.
 FOCUS = Focus({30: ("license", "thanea", "attion", "thanedble"), 20: ("retion", "ontion", "enlich", "onbleea"), 10: ("thtion", "queque", "ciónas", "enheit", "eriner")}, ("of", "the", "die", "les", "los", "en"), limit=1500)
@@ -120,3 +121,9 @@ def page_identity(t: Tables) -> DataFrame:
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
     rows = t.pages.select("page_id", "url", title.alias("title"), text.alias("text"))
     return rows.select("page_id", identity.host_letters(F.col("url")).alias("letters"), identity.page_company(F.col("url"), F.col("title"), F.col("text")).alias("company"))
+
+
+@query()
+def html_reader(t: Tables) -> DataFrame:
+    """Title, day, language, links and tables of every page; compared with another parser in the tests."""
+    return read_pages(t.pages)

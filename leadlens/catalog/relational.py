@@ -251,11 +251,13 @@ def run_length_collapse(t: Tables) -> DataFrame:
     return rk.run_lengths(t.events, ["user_id"], "event_type", F.col("ts"), F.col("event_id"))
 
 
-@query("SELECT o_custkey, o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS delta, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 20")
+@query("SELECT o_custkey, o_orderkey, o_totalprice - before AS delta, r AS place FROM (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 20")
 def score_history(t: Tables) -> DataFrame:
-    last = rk.top_per(t.orders, ["o_custkey"], 20, F.desc("o_orderdate"), F.desc("o_orderkey"), rank="place")
+    """The 20 newest values of each lead with the change from the one before, which may be older than the 20."""
     before = F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return last.select("o_custkey", "o_orderkey", (F.col("o_totalprice") - before).alias("delta"), "place")
+    rows = t.orders.withColumn("before", before)
+    last = rk.top_per(rows, ["o_custkey"], 20, F.desc("o_orderdate"), F.desc("o_orderkey"), rank="place")
+    return last.select("o_custkey", "o_orderkey", (F.col("o_totalprice") - F.col("before")).alias("delta"), "place")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlens.functions import dates, evidence, money, names, rules
 from leadlens.operators import extract
 from leadlens.operators.resolve import resolve_companies
+from leadlens.operators.roundup import verified_entries
 from leadlens.plans.carriers import BUYER_SQL, STORIES_SQL, stories
 from leadlens.registry import Tables, query
 
@@ -158,13 +159,12 @@ def page_kind(t: Tables) -> DataFrame:
     return t.pages.select("page_id", rules.page_kind(url, title, F.lit("plain text")).alias("kind"))
 
 
-@query(f"{WITH} SELECT story_id, CASE story_id % 3 WHEN 0 THEN CAST(signed AS VARCHAR) WHEN 1 THEN CAST(signed AS VARCHAR) END AS day FROM stories WHERE year(signed) >= 2000")
+@query(f"{WITH} SELECT story_id, CASE WHEN year(signed) >= 2000 AND story_id % 3 < 2 THEN CAST(signed AS VARCHAR) END AS day FROM stories")
 def publication_dateline(t: Tables) -> DataFrame:
-    """The day of a dateline, in either order; a day within a sentence is none."""
+    """The day of a dateline, in either order; a day within a sentence is none, nor is one before 2000."""
     case = F.col("story_id") % 3
     line = F.when(case == 0, F.concat(F.lit("Dubai, "), F.date_format("signed", "MMM d, yyyy"), F.lit(" - News"))).when(case == 1, F.date_format("signed", "d MMMM yyyy")).otherwise(F.concat(F.lit("It was signed on "), F.date_format("signed", "d MMMM yyyy")))
-    rows = stories(t).where(F.year("signed") >= 2000)
-    return rows.select("story_id", rules.dateline(F.concat(F.lit("Menu\n"), line, F.lit("\n"), F.col("first"))).cast("string").alias("day"))
+    return stories(t).select("story_id", rules.dateline(F.concat(F.lit("Menu\n"), line, F.lit("\n"), F.col("first"))).cast("string").alias("day"))
 
 
 @query(f"{WITH} SELECT story_id, TRUE AS tender, millions, CAST(millions * 1000000 AS DOUBLE) AS largest FROM stories")
@@ -241,3 +241,24 @@ UNION ALL SELECT story_id, 'Anna Berg', 'person', 'Procurement Manager' FROM new
 def news_mentions(t: Tables) -> DataFrame:
     """Everybody whom press items name, with the role that says most."""
     return extract.mentions(news(t), "story_id", F.col("body")).select("story_id", "name", "role", "title")
+
+
+@query(f"""{WITH}, e AS (SELECT o_custkey, story_id, seller, o_orderstatus AS status, lead(seller) OVER (PARTITION BY o_custkey ORDER BY story_id) AS other FROM stories JOIN orders ON o_orderkey = story_id
+), g AS (SELECT *, status = 'F' AND length(seller) >= 3 AS good FROM e
+), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, seller, good ORDER BY story_id) AS nth, count(*) FILTER (NOT good) OVER (PARTITION BY o_custkey) AS dropped, coalesce(other = seller OR starts_with(other, seller || ' '), FALSE) AS also FROM g)
+SELECT o_custkey, story_id, seller AS name, CASE WHEN also THEN 'value,kind' ELSE 'value' END AS fields, CASE WHEN also THEN 1 ELSE 2 END AS lost, dropped FROM n WHERE good AND nth = 1""")
+def roundup_verify(t: Tables) -> DataFrame:
+    """Every buyer's stories as one article, and its list of sellers as somebody has read it: with quotes that were never
+    written, names that the quote doesn't have, and fields that belong to the next story."""
+    rows = stories(t).join(t.orders.select(F.col("o_orderkey").alias("story_id"), "o_custkey", "o_orderstatus"), "story_id")
+    order = Window.partitionBy("o_custkey").orderBy("story_id")
+    rows = rows.withColumn("after", F.lead("first").over(order))
+    quote = F.when(F.col("o_orderstatus") == "O", F.regexp_replace("first", "awarded", "promised")).otherwise(F.col("first"))
+    name = F.when(F.col("o_orderstatus") == "P", "Nobody At All").otherwise(F.col("seller"))
+    value = F.concat(F.lit("USD "), F.col("millions").cast("string"), F.lit(" million"))
+    field = lambda kind, text, said: F.struct(F.lit(kind).alias("field"), text.alias("text"), said.alias("quote"))
+    fields = F.array(field("value", value, F.col("first")), field("kind", F.lit("supply contract"), F.col("after")), field("date", F.lit("yesterday"), F.col("first")))
+    entries = rows.select(F.col("o_custkey").alias("article"), F.col("story_id").alias("place"), name.alias("name"), quote.alias("quote"), fields.alias("fields"))
+    bodies = rows.groupBy(F.col("o_custkey").alias("article")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("story_id", "first"))), lambda x: x["first"]), "\n").alias("body"))
+    out = verified_entries(bodies, entries)
+    return out.select(F.col("article").alias("o_custkey"), F.col("place").alias("story_id"), "name", F.array_join("fields.field", ",").alias("fields"), "lost", "dropped")

@@ -140,7 +140,7 @@ def domain_class(t: Tables) -> DataFrame:
     listed = F.broadcast(t.spark.createDataFrame([("spam-farm.example.org", "junk")], "suffix string, class string"))
     host = urls.host(F.col("url"))
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 10), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hits = t.pages.select("page_id", F.explode(suffixes).alias("suffix")).join(listed, "suffix").groupBy("page_id").agg(F.min("class").alias("class"))
     return t.pages.select("page_id", host.alias("host")).join(hits, "page_id", "left").select("page_id", F.when(F.col("class").isNotNull(), F.col("class")).when(F.col("host").startswith("blog."), "blog").otherwise("site").alias("kind"))
 

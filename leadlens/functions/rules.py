@@ -88,7 +88,7 @@ NOT_COMPANIES = [*PUBLISHERS, "linkedin.com", "facebook.com", "wikipedia.org", "
 def under(host: Column, domains: list[str]) -> Column:
     """Whether a host is one of the domains or under one: its own suffixes are looked up, not every domain compared."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 20), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return F.coalesce(F.arrays_overlap(suffixes, F.array(*map(F.lit, domains))), F.lit(False))
 
 

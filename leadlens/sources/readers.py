@@ -78,7 +78,7 @@ def fill_dates(c: Column, today: dt.date) -> Column:
         n = F.regexp_extract(p, r"^([+-]?\d+)\}\}", 1)
         return F.when(n != "", F.concat(F.date_format(F.date_add(F.lit(today), n.try_cast("int")), "yyyy-MM-dd"), F.regexp_replace(p, r"^[+-]?\d+\}\}", ""))).otherwise(F.concat(F.lit("{{date:"), p))
 
-    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 10_000), one), ""))
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
 
 
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
