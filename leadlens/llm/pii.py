@@ -225,7 +225,9 @@ def written(spans: list[tuple[int, str, int]]) -> str:
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans counted by base kind, base_sha256 and spans for every row of docs (doc_id, text).
 
-    Null text counts as empty: no spans. Repeated rows and rows without an id stay. Offsets count code points.
+    Null text counts as empty: no spans. Texts are read whole, whatever their length. Repeated rows and rows without an id
+    stay. Spans that begin together go by kind, as listed. Other columns are ignored, whatever their names. Offsets count
+    code points. An empty table gives no rows.
     """
     classifier = fit(docs)
 
@@ -257,7 +259,12 @@ def masked(text: str, classifier: Classifier) -> str:
 
 
 def mask_spans(docs: DataFrame) -> DataFrame:
-    """docs with personal data replaced in ``text``; all other columns stay as they are."""
+    """docs with personal data replaced in ``text``; all other columns stay as they are, whatever their names.
+
+    Null texts stay null, empty ones empty; texts are read whole, whatever their length. Of spans that overlap, the one that
+    begins first is replaced and the rest of the other as well. Rows that repeat are treated alike. An empty table gives
+    no rows.
+    """
     classifier = fit(docs)
 
     @F.pandas_udf("string")

@@ -108,7 +108,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, extra: list[str] | None =
 
     Takes doc_id and text. Returns doc_id, size (UTF-8 bytes and 1), text_crc32, law, shard, slot (gapless from 0 in
     each shard, by hash of the id) and grown_shard (null). Null text counts as empty. Repeated rows and rows without
-    an id are rows of their own. An empty table gives no rows.
+    an id are rows of their own. A text of any length counts whole and isn't cut. Groups of equal spread are combined by
+    the hash of their text. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = saved(docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("key")))

@@ -397,7 +397,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns; the text is read once more, never joined.
 
-    Null and empty texts are clean where texts without hits are. Repeated rows and rows without an id are judged alone.
+    Null and empty texts are clean where texts without hits are. Texts are scored whole, whatever their length. Repeated
+    rows and rows without an id are judged alone; a score at the threshold drops its row. An empty table gives no rows.
     """
     model = fit(docs, labels)
 
