@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlens.catalog import scoring as sq
-from leadlens.plans import rubric, signals
+from leadlens.operators.ranking import top_per
+from leadlens.plans import rubric, scoring, signals
 from leadlens.plans.carriers import AS_OF
 from leadlens.registry import Tables, query
 
@@ -113,3 +114,39 @@ def rubric_full(t: Tables) -> DataFrame:
     # A bid under a budget isn't a tender's window here, as its tender is told by its day alone.
     scored = rubric.totals(rubric.points(context.withColumn("funding", F.when(bid, None).otherwise(F.col("funding"))).withColumn("government_budget", F.col("status") == "P")))
     return scored.select("lead_id", *(F.col(k.lower()).cast("int").alias(k.lower()) for k in rubric.PARTS), F.col("score").cast("int").alias("score"), "unknown")
+
+
+@query(f"""WITH {sq.FACTS_SQL}, {CONTEXT_SQL}, {sq.GATES_SQL}, z AS (SELECT lead_id, CAST({_SUM(_NAMES)} AS INTEGER) AS total FROM y)
+SELECT lead_id, total AS score, confidence, band, CASE WHEN NOT (g1 AND g2 AND g3 AND g4 AND g6 AND (g5 OR g5_cap)) THEN 'rejected' WHEN total >= 70 AND band = 'high' AND NOT g5_cap THEN 'genuine'
+WHEN total BETWEEN 55 AND 69 OR (total >= 70 AND band IN ('high', 'medium')) THEN 'research' ELSE 'watch' END AS class FROM gated JOIN z USING (lead_id)""")
+def score_context(t: Tables) -> DataFrame:
+    """Every order's class by its gates, its confidence and the score of all 19 parts."""
+    full = rubric_full(t).select("lead_id", "score")
+    return scoring.classify(sq._gated(t).join(full, "lead_id")).select("lead_id", "score", "confidence", "band", "class")
+
+
+#: Rows of each kind that a lead's page shows.
+SHOWN = 5
+
+
+@query(f"""WITH {sq.EVIDENCE_SQL}, e AS (SELECT lead_id, tier || ':' || publisher AS x, row_number() OVER (PARTITION BY lead_id ORDER BY weight DESC, tier, publisher, twice) AS r FROM evidence
+), ev AS (SELECT lead_id, count(*) AS n_evidence, string_agg(x, ',' ORDER BY r) FILTER (r <= {SHOWN}) AS evidence FROM e GROUP BY 1
+), d AS (SELECT lead_id, count(DISTINCT publisher) AS n_parties, list_sort(list(DISTINCT publisher))[1:{SHOWN}] AS ps FROM evidence GROUP BY 1
+), h AS (SELECT o_orderkey AS lead_id, list(CAST(floor(o_totalprice / 1000) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN {SHOWN - 1} PRECEDING AND CURRENT ROW) AS hs FROM orders
+), s AS (SELECT user_id, string_agg(event_type, ',' ORDER BY r) AS signals FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= {SHOWN} GROUP BY 1
+)
+SELECT o_orderkey AS lead_id, coalesce(n_evidence, 0) AS n_evidence, coalesce(evidence, '') AS evidence, coalesce(n_parties, 0) AS n_parties, coalesce(array_to_string(ps, ','), '') AS parties, array_to_string(hs, ',') AS history, coalesce(signals, '') AS signals
+FROM orders LEFT JOIN ev ON ev.lead_id = o_orderkey LEFT JOIN d ON d.lead_id = o_orderkey LEFT JOIN h ON h.lead_id = o_orderkey LEFT JOIN s ON user_id = o_custkey""")
+def lead_page(t: Tables) -> DataFrame:
+    """What every lead's page shows: its best evidence, the parties beside it, its buyer's last values up to it, and the
+    buyer's newest signals. Children are cut to what is shown before they are gathered."""
+    ev = sq.evidence(t)
+    best = top_per(ev, ["lead_id"], SHOWN, F.desc("weight"), F.col("tier"), F.col("publisher"), F.col("agreement") == "both", rank="r").groupBy("lead_id").agg(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", "tier", F.col("publisher").cast("string")).alias("x")))).alias("e"))
+    parties = ev.groupBy("lead_id").agg(F.count("*").alias("n_evidence"), F.count_distinct("publisher").alias("n_parties"))
+    few = top_per(ev.select("lead_id", "publisher").distinct(), ["lead_id"], SHOWN, F.col("publisher"), rank="r").groupBy("lead_id").agg(F.array_sort(F.collect_list("publisher")).alias("p"))
+    recent = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-(SHOWN - 1), 0)
+    history = t.orders.select(F.col("o_orderkey").alias("lead_id"), "o_custkey", F.collect_list(F.floor(F.col("o_totalprice") / 1000).cast("long")).over(recent).alias("h"))
+    newest = top_per(t.events, ["user_id"], SHOWN, F.desc("ts"), F.desc("event_id"), rank="r").groupBy(F.col("user_id").alias("o_custkey")).agg(F.array_sort(F.collect_list(F.struct("r", "event_type"))).alias("s"))
+    rows = history.join(parties, "lead_id", "left").join(best, "lead_id", "left").join(few, "lead_id", "left").join(newest, "o_custkey", "left")
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return rows.select("lead_id", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), text(F.col("e.x")).alias("evidence"), F.coalesce("n_parties", F.lit(0)).alias("n_parties"), text(F.col("p").cast("array<string>")).alias("parties"), text(F.col("h").cast("array<string>")).alias("history"), text(F.col("s.event_type")).alias("signals"))
