@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.operators.asof import as_of
+from leadlens.operators.selling import sell_items
 from leadlens.operators.teams import Slot, team_slots
 from leadlens.registry import Tables, query
 from leadlens.sources.versions import Versions
@@ -110,3 +111,32 @@ def lead_table_upserts(t: Tables) -> DataFrame:
         table.upsert(batch, kind, "changed")
     table.upsert(first.withColumn("state", F.lit("again")), "customers again", "changed", insert_only=True)
     return table.read()
+
+
+#: What each segment plans to buy: group, item, fit, why, and the months after its newest order.
+NEEDS = [
+    ("BUILDING", 0, "STANDARD", "good", "Builders start with it", 0, 3), ("BUILDING", 1, "LARGE", "possible", "Later packages", 3, 9), ("BUILDING", 1, "STANDARD", "possible", "Again", 3, 9),
+    ("MACHINERY", 0, "MEDIUM", "good", "Makers use it", 1, 6), ("MACHINERY", 1, "ECONOMY", "possible", "Spare parts", 6, 12),
+    ("AUTOMOBILE", 0, "SMALL", "good", "Every line has it", 0, 2), ("AUTOMOBILE", 1, "PROMO", "possible", "Trials", 2, 8),
+    ("HOUSEHOLD", 0, "PROMO", "possible", "Resale", 0, 12),
+]
+_BY_TYPE = "SELECT DISTINCT o_custkey AS buyer, p_type AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE "
+
+
+@query(f"""WITH rules(role, grp, item, fit, why, a, b) AS (VALUES {", ".join(map(str, NEEDS))}), buyers AS (SELECT c_custkey AS buyer, c_mktsegment AS role, day FROM customer LEFT JOIN (SELECT o_custkey, CAST(max(o_orderdate) AS DATE) AS day FROM orders GROUP BY 1) ON o_custkey = c_custkey
+), plan AS (SELECT buyer, item, arg_min(fit, grp) AS fit, arg_min(why, grp) AS why, min(grp) AS grp, arg_min(a, grp) AS a, arg_min(b, grp) AS b FROM buyers JOIN rules USING (role) GROUP BY 1, 2
+), opening AS (SELECT role, arg_min(a, grp) AS oa, arg_min(b, grp) AS ob FROM rules GROUP BY 1), said AS ({_BY_TYPE} l_quantity >= 49), own AS ({_BY_TYPE} l_quantity >= 48 AND l_returnflag = 'R'
+), every AS (SELECT buyer, item FROM plan UNION SELECT buyer, item FROM said UNION SELECT buyer, item FROM own
+), r AS (SELECT e.buyer, e.item, day, p.item IS NOT NULL AS planned, s.item IS NOT NULL AS named, o.item IS NOT NULL AS made, p.fit AS pfit, p.why AS pwhy, p.grp AS pgrp, a, b, oa, ob FROM every e JOIN buyers USING (buyer) LEFT JOIN plan p ON p.buyer = e.buyer AND p.item = e.item LEFT JOIN said s ON s.buyer = e.buyer AND s.item = e.item
+  LEFT JOIN own o ON o.buyer = e.buyer AND o.item = e.item LEFT JOIN opening USING (role)
+), f AS (SELECT buyer, item, CASE WHEN made THEN 'competitor' WHEN named THEN 'good' ELSE pfit END AS fit, CASE WHEN made THEN 'They make it' WHEN planned AND named THEN pwhy || ', named in the source' WHEN planned THEN pwhy ELSE 'Named in the source' END AS why,
+  CASE WHEN planned THEN a WHEN named AND NOT made THEN oa END AS first, CASE WHEN planned THEN b WHEN named AND NOT made THEN ob END AS last, coalesce(pgrp, CASE WHEN made OR oa IS NULL THEN 99 ELSE 0 END) AS grp, day FROM r)
+SELECT buyer, item, fit, why, CAST(CAST(day + to_months(CAST(first AS INT)) AS DATE) AS VARCHAR) AS opens, CAST(CAST(day + to_months(CAST(last AS INT)) AS DATE) AS VARCHAR) AS closes, row_number() OVER (PARTITION BY buyer ORDER BY CASE fit WHEN 'good' THEN 1 WHEN 'possible' THEN 2 ELSE 3 END, grp, item) AS place FROM f""")
+def items_to_sell(t: Tables) -> DataFrame:
+    """What to sell to every customer: its segment's needs, what its large lines name, and what it makes itself."""
+    rules = t.spark.createDataFrame(NEEDS, "role string, grp int, item string, fit string, why string, first int, last int")
+    newest = t.orders.groupBy(F.col("o_custkey").alias("buyer")).agg(F.to_date(F.max("o_orderdate")).alias("trigger"))
+    buyers = t.customer.select(F.col("c_custkey").alias("buyer"), F.col("c_mktsegment").alias("role")).join(newest, "buyer", "left")
+    lines = t.lineitem.where("l_quantity >= 48").join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_custkey").alias("buyer"), F.col("p_type").alias("item"), "l_quantity", "l_returnflag")
+    out = sell_items(buyers, rules, lines.where("l_quantity >= 49"), lines.where("l_returnflag = 'R'"))
+    return out.withColumns({"opens": F.col("opens").cast("string"), "closes": F.col("closes").cast("string")})
