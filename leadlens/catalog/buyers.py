@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.operators.buyers import DIMENSIONS, BuyerSearch, ordered, representatives
+from leadlens.operators.tables import TableQuery
 from leadlens.registry import Tables, query
 
 ROLES = {"BUILDING": "epc_contractor", "MACHINERY": "manufacturer", "AUTOMOBILE": "owner", "HOUSEHOLD": "distributor"}
@@ -132,3 +133,53 @@ def lead_detail(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderkey").alias("lead_id"), F.col("o_custkey").alias("company_id")).join(records(t), "company_id").join(lines, F.col("lead_id") == F.col("l_orderkey"), "left")
     zero = lambda c, z=0: F.coalesce(c, F.lit(z)).alias(c)
     return rows.select("lead_id", "name", "country", "role", "stage", zero("lines"), zero("suppliers"), zero("quantity", 0.0), zero("flags", ""), (F.col("slots") - 1).alias("other_leads"), "found")
+
+
+#: Records with what the table of leads asks for beside them.
+_TABLE_SQL = f"""{RECORDS_SQL}, x AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS contact_roles, bool_or(event_type = 'purchase' AND value >= 400) AS validated FROM events GROUP BY 1
+), rows_ AS (SELECT r.*, CASE WHEN r.rejected THEN 'rejected' WHEN r.fit >= 50 THEN 'approved' ELSE 'open' END AS qualification, industry AS keyword, concat_ws(' ', role, region) AS what, coalesce(contact_roles, []) AS contact_roles, coalesce(validated, FALSE) AS validated,
+  CASE WHEN trigger_date IS NULL THEN 'none' WHEN datediff('day', trigger_date, DATE '2001-08-02') <= 90 THEN 'recent' WHEN datediff('day', trigger_date, DATE '2001-08-02') <= 365 THEN 'ongoing' ELSE 'past' END AS activity FROM records r LEFT JOIN x ON x.user_id = company_id)"""
+#: A query for each predicate, and what it says in SQL.
+TABLE_QUERIES = {
+    "qualification": (TableQuery(qualification="rejected"), "qualification = 'rejected'"),
+    "default": (TableQuery(), "qualification <> 'rejected'"),
+    "country": (TableQuery(show_rejected=True, country="INDIA"), "country = 'INDIA'"),
+    "role": (TableQuery(show_rejected=True, role="owner"), "role = 'owner'"),
+    "trigger": (TableQuery(show_rejected=True, trigger="O"), "trigger_kind = 'O'"),
+    "age": (TableQuery(show_rejected=True, age="180"), "datediff('day', trigger_date, DATE '2001-08-02') BETWEEN 0 AND 180"),
+    "undated": (TableQuery(show_rejected=True, age="undated"), "trigger_date IS NULL"),
+    "fit": (TableQuery(show_rejected=True, fit="potential"), "stage = 'potential'"),
+    "product": (TableQuery(show_rejected=True, product="PROMO"), "list_contains(items, 'PROMO')"),
+    "keyword": (TableQuery(show_rejected=True, keyword="BUILD"), "contains(lower(keyword), 'build')"),
+    "text": (TableQuery(show_rejected=True, text="Owner Asia"), "contains(lower(concat_ws(' ', name, what, trigger_kind)), 'owner asia')"),
+    "company": (TableQuery(show_rejected=True, company=77), "company_id = 77"),
+    "contact_role": (TableQuery(show_rejected=True, contact_role="click"), "list_contains(contact_roles, 'click')"),
+    "missing": (TableQuery(show_rejected=True, contacts="missing"), "found = 0"),
+    "validated": (TableQuery(show_rejected=True, contacts="validated"), "validated"),
+    "active": (TableQuery(show_rejected=True, activity="active"), "activity IN ('recent', 'ongoing')"),
+}
+
+
+def table_rows(t: Tables) -> DataFrame:
+    """The records as the table of leads has them."""
+    seen = t.events.groupBy(F.col("user_id").alias("company_id")).agg(F.array_sort(F.collect_set("event_type")).alias("contact_roles"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") >= 400)).alias("validated"))
+    age = F.date_diff(F.lit("2001-08-02").cast("date"), "trigger_date")
+    activity = F.when(age.isNull(), "none").when(age <= 90, "recent").when(age <= 365, "ongoing").otherwise("past")
+    qualification = F.when(F.col("rejected"), "rejected").when(F.col("fit") >= 50, "approved").otherwise("open")
+    rows = records(t).join(seen, "company_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumns({"qualification": qualification, "keyword": F.col("industry"), "what": F.concat_ws(" ", "role", "region"), "contact_roles": F.coalesce("contact_roles", none), "validated": F.coalesce("validated", F.lit(False)), "activity": activity})
+
+
+@query(f"WITH {_TABLE_SQL} SELECT company_id, " + " || ".join(f"CASE WHEN coalesce({sql}, FALSE) THEN '1' ELSE '0' END" for _, sql in TABLE_QUERIES.values()) + " AS passes FROM rows_")
+def table_predicates(t: Tables) -> DataFrame:
+    """Which of the table's predicates each record passes, one digit each."""
+    return table_rows(t).select("company_id", F.concat(*(F.when(q.test(), "1").otherwise("0") for q, _ in TABLE_QUERIES.values())).alias("passes"))
+
+
+@query(f"""WITH {_TABLE_SQL}, f AS (SELECT * FROM rows_ WHERE qualification <> 'rejected' AND role = 'owner' AND list_contains(items, 'PROMO') AND found > 0 AND activity IN ('recent', 'ongoing'))
+SELECT company_id, name, value, (SELECT count(*) FROM f) AS total FROM f ORDER BY value DESC NULLS LAST, company_id LIMIT 10 OFFSET 10""")
+def table_page(t: Tables) -> DataFrame:
+    """The second page of active owners with contacts, by value, and how many there are."""
+    asked = TableQuery(role="owner", product="PROMO", contacts="found", activity="active")
+    return asked.page(table_rows(t), "value", True, 2, 10).select("company_id", "name", "value", "total")
