@@ -301,8 +301,8 @@ def read(text: str) -> Read:
 
 
 READ = "awarder string, awardee string, role string, parent string, issuer string, ref string, project string, usd long, day string, dated boolean, closing boolean, people array<struct<name:string,title:string>>"
-#: A sentence without any of these letters in a row says nothing that read() looks for.
-CUES = sorted(GIVES | GETS | SIGNS | ASKS | {"tender", "bid", "rfq", "rfp", "quiry", "due", "date", "deadline", "submitted"} | PROJECT | POSTS)
+#: A sentence without any of these words says nothing that read() looks for.
+CUES = sorted(GIVES | GETS | SIGNS | ASKS | {"tender", "bid", "rfq", "rfp", "enquiry", "inquiry", "due", "date", "dated", "deadline", "submitted", "award", "close", "closes"} | PROJECT | POSTS)
 
 
 def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,9 +315,13 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sentence_facts(df: DataFrame, key: str, text: Column) -> DataFrame:
     """A row for each sentence with a cue: ``key``, place, sentence and what it says."""
-    cue = "(?i)" + "|".join(CUES)
-    cut = df.select(key, text.alias("_text")).where(F.col("_text").rlike(cue)).select(key, F.posexplode(evidence.sentences(F.col("_text"))).alias("place", "sentence"))
-    kept = cut.where(F.col("sentence").rlike(cue))
+    cues = F.array(*map(F.lit, CUES))
+    # Reading costs far more than moving a text: all cores take part, also where the rows come from a few small partitions.
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = df.select(key, text.alias("_text")).repartition(tasks, key)
+    cut = spread.select(key, F.posexplode(evidence.sentences(F.col("_text"))).alias("place", "sentence"))
+    kept = cut.where(F.arrays_overlap(F.split(F.lower("sentence"), "[^a-z]+"), cues))
     return kept.mapInArrow(_reads, f"{key} {df.schema[key].dataType.simpleString()}, place int, sentence string, {READ}")
 
 
