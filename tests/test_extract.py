@@ -73,3 +73,17 @@ def test_mentions(spark):
     got = {(r.id, r.name): (r.role, r.place) for r in extract.mentions(df, "id", F.col("t")).collect()}
     assert got == {(1, "Acme Gas"): ("owner", 1), (1, "Zeta Works"): ("main_epc", 1), (1, "Pipe Makers"): ("subcontractor", 2), (1, "Anna Berg"): ("person", 3)}
     assert [r.stage for r in extract.facts(df, "id", F.col("t")).orderBy("id").collect()] == ["awarded", "unknown", "unknown"]
+
+
+def test_facts_read_their_texts_once(spark, tmp_path):
+    texts = [(1, "Acme Gas has awarded Zed Steel a pipe order.\nTender No: RF-1/A."), (2, None), (3, "Nothing.")]
+    spark.createDataFrame(texts, "id long, t string").write.parquet(f"{tmp_path}/t")
+    out = extract.facts(spark.read.parquet(f"{tmp_path}/t"), "id", F.col("t"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert [(r.id, r.stage, r.awardee, r.tender_ref) for r in out.orderBy("id").collect()] == [(1, "awarded", "Zed Steel", "RF-1/A"), (2, "unknown", None, None), (3, "unknown", None, None)]
+
+
+def test_led_amounts_are_those_of_the_pattern():
+    for text in ("worth US$5 mn", "1,USD 5", "Rs. 30 crore and $2", "USDD5 EUR7", "USD  5", "12 and 13", "$$4bn", "rm3", "x SAR\n9 lakh"):
+        led = extract._LED.search(text)
+        assert (extract._led(text) or [None])[0] == (led or [None])[0]
