@@ -32,12 +32,13 @@ def signals(parties: DataFrame, edges: DataFrame, stages: DataFrame, tenders: Da
     """
     today = F.lit(as_of)
     day = lambda *c: F.coalesce(*c, today)
-    awarded = parties.where("award_date is not null")
-    won = _rows(awarded.where("role in ('main_epc', 'consortium_member')"), type=F.lit("contract_awarded"), signal_date=F.col("award_date"))
-    supplied = _rows(awarded.where("role = 'supplier'"), type=F.lit("contract_awarded"), signal_date=F.col("award_date"), package_id=F.lit(None))
-    under = _rows(parties.where("role = 'subcontractor'"), type=F.lit("subcontract_awarded"), signal_date=day(F.col("award_date"), F.col("seen")))
-    ordered = _rows(edges.where("type = 'supplied_by' and event_date is not null"), type=F.lit("supply_order_announced"), signal_date=F.col("event_date"), company_id=F.col("from_id"))
-    listed = _rows(edges.where("type = 'approved_vendor_of'"), type=F.lit("approved_vendor_listed"), signal_date=day(F.col("event_date"), F.col("seen")), company_id=F.col("to_id"))
+    # Kinds of one table exclude each other: each table is read once, whatever number of kinds it has.
+    under, has_day = F.col("role") == "subcontractor", F.col("award_date").isNotNull()
+    won = F.when(under, "subcontract_awarded").when(F.col("role").isin("main_epc", "consortium_member", "supplier") & has_day, "contract_awarded")
+    awarded = _rows(parties.where(won.isNotNull()), type=won, signal_date=F.when(under, day(F.col("award_date"), F.col("seen"))).otherwise(F.col("award_date")), **({"package_id": F.when(F.col("role") != "supplier", F.col("package_id"))} if "package_id" in parties.columns else {}))
+    supplied, event_day = F.col("type") == "supplied_by", F.col("event_date")
+    told = F.when(supplied & event_day.isNotNull(), "supply_order_announced").when(F.col("type") == "approved_vendor_of", "approved_vendor_listed")
+    related = _rows(edges.where(told.isNotNull()), type=told, signal_date=F.when(supplied, event_day).otherwise(day(event_day, F.col("seen"))), company_id=F.when(supplied, F.col("from_id")).otherwise(F.col("to_id")))
     # A tender says more than the stage that it belongs to.
     reached = F.when(F.col("stage") == "feed", "feed_awarded").when(F.col("tendered"), None).when(F.col("stage") == "prequalification", "prequalification_opened").when(F.col("stage") == "epc_tender", "tender_released")
     at_stage = _rows(stages.where(reached.isNotNull()), type=reached, signal_date=day(F.col("event_date"), F.col("seen")), company_id=F.col("owner_id"))
@@ -46,7 +47,7 @@ def signals(parties: DataFrame, edges: DataFrame, stages: DataFrame, tenders: Da
     opened = _rows(open_, type=route, signal_date=day(F.col("issued")), company_id=F.col("buyer_id"), tender_ref=F.col("ref"))
     closing = _rows(open_.where(F.datediff("closing", today).between(*SOON)), type=F.lit("tender_closing_soon"), signal_date=today, company_id=F.col("buyer_id"), tender_ref=F.col("ref"))
     hiring = _rows(jobs, type=F.lit("hiring_project_roles"), signal_date=day(F.col("posted")))
-    return reduce(DataFrame.unionByName, [won, supplied, under, ordered, listed, at_stage, opened, closing, hiring])
+    return reduce(DataFrame.unionByName, [awarded, related, at_stage, opened, closing, hiring])
 
 
 def fingerprint() -> Column:
@@ -58,7 +59,11 @@ def fingerprint() -> Column:
 def upserted(rows: DataFrame) -> DataFrame:
     """One row for each event with the evidence of all its sources; a second source adds to the first and never makes a second row."""
     keys = [c for c in COLUMNS if c not in ("signal_date", "evidence_id")]
-    return rows.withColumn("fingerprint", fingerprint()).groupBy("fingerprint", *keys).agg(F.min("signal_date").alias("signal_date"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
+    # An event is its keys and its month: the longer fingerprint is made of each event once, behind the shuffle. What is told twice is one row before lists are made.
+    dealt = rows.withColumn("month", F.trunc("signal_date", "month")).repartition(*keys, "month")
+    told = dealt.groupBy(*keys, "month", "evidence_id").agg(F.min("signal_date").alias("signal_date"))
+    each = told.groupBy(*keys, "month").agg(F.min("signal_date").alias("signal_date"), F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
+    return each.select(fingerprint().alias("fingerprint"), *keys, "signal_date", "evidence_ids")
 
 
 def candidates(events: DataFrame, packages: DataFrame) -> DataFrame:
@@ -69,11 +74,11 @@ def candidates(events: DataFrame, packages: DataFrame) -> DataFrame:
     stays one lead.
     """
     named = events.where("company_id is not null").withColumnRenamed("company_id", "buyer_id")
-    bids = named.where(F.col("type").isin(*BID)).select(F.lit("bid").alias("kind"), "buyer_id", "project_id", "package_id", "fingerprint")
-    supply = named.where(F.col("type").isin(*SUPPLY)).withColumn("kind", F.lit("supply_subcontract"))
-    direct = supply.where("package_id is not null or project_id is null").select("kind", "buyer_id", "project_id", "package_id", "fingerprint")
-    open_ = supply.where("package_id is null and project_id is not null").drop("package_id")
-    own = open_.join(packages, "project_id").where("owner_id is null or owner_id = buyer_id").select("kind", "buyer_id", "project_id", "package_id", "fingerprint")
-    bare = open_.join(packages.select("project_id").distinct(), "project_id", "left_anti").select("kind", "buyer_id", "project_id", F.lit(None).cast("long").alias("package_id"), "fingerprint")
-    all_ = reduce(DataFrame.unionByName, [bids, direct, own, bare])
+    bid, supply = F.col("type").isin(*BID), F.col("type").isin(*SUPPLY)
+    columns = ["kind", "buyer_id", "project_id", "package_id", "fingerprint"]
+    direct = named.where(bid | (supply & (F.col("package_id").isNotNull() | F.col("project_id").isNull()))).withColumn("kind", F.when(bid, "bid").otherwise("supply_subcontract")).select(*columns)
+    open_ = named.where(supply & F.col("package_id").isNull() & F.col("project_id").isNotNull()).drop("package_id").withColumn("kind", F.lit("supply_subcontract"))
+    met = open_.join(packages.select("project_id", "package_id", "owner_id", F.lit(True).alias("met")), "project_id", "left")
+    own = met.where("met is null or owner_id is null or owner_id = buyer_id").select(*columns)
+    all_ = direct.unionByName(own)
     return all_.groupBy("kind", "buyer_id", "project_id", "package_id").agg(F.count_distinct("fingerprint").alias("signals"))

@@ -76,3 +76,11 @@ def test_facts(spark):
     assert got == texts
     tender = df.where("stage = 'epc_tender'").first()
     assert (tender.tender_ref, tender.closing_date) == ("AB-12/7", "2024-06-05")
+
+
+def test_candidates_read_their_facts_few_times(spark, sf_dir):
+    from leadlens.catalog import queries
+
+    reads = lambda name: queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate")
+    scans = lambda name: queries()[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString().count("lineitem.parquet")
+    assert reads("signal_upsert") and scans("signal_upsert") <= 2 and scans("build_candidates") <= 5
