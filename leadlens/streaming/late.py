@@ -36,7 +36,7 @@ def sliced(rows: DataFrame, slice_: Column, n: int) -> str:
     folder = f"{shared_folder(rows.sparkSession)}/slices-{uuid.uuid4().hex}"
     dealt = rows.withColumn("slice", slice_.cast("int"))
     for i in range(n):
-        dealt.where(F.col("slice") == i).coalesce(1).write.mode("append").parquet(folder)
+        dealt.where(F.col("slice") == i).repartition(1).write.mode("append").parquet(folder)
     return folder
 
 
@@ -62,8 +62,8 @@ class Threads(StatefulProcessor):
 
     Rows wait in a list state until the watermark has passed them, so that they are taken by time in whatever order they
     came. The value state is (state, follow-ups, due); ``due`` is the time of the next follow-up, of the review, or of
-    the end of a thread that is idle, at which its state is cleared. Timers stand at the times of rows and at due times.
-    Times are microseconds.
+    the end of a thread that is idle, at which its state is cleared. A timer stands at the next of both, the first row that
+    waits or the due time: all that the watermark has passed is then taken at once. Times are microseconds.
     """
 
     def __init__(self, delay: timedelta, limit: int, idle: timedelta):
@@ -75,16 +75,17 @@ class Threads(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "us long, row_id long, kind string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.appendValue((r.us, r.row_id, r.kind))
-            self.handle.registerTimer(-(-r.us // 1000))
+        came = [(r.us, r.row_id, r.kind) for r in rows]
+        self.waiting.appendList(came)
+        self.handle.registerTimer(-(-min(came)[0] // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        state, follow_ups, due = tuple(self.thread.get()) if self.thread.exists() else (None, 0, None)
-        before, out, done = due, [], 0
+        before = self.thread.get()
+        state, follow_ups, due = tuple(before) if before else (None, 0, None)
+        out, done = [], 0
         while True:
             at = rows[done][0] if done < len(rows) else None
             if due is not None and due <= now and (at is None or due <= at):
@@ -97,15 +98,17 @@ class Threads(StatefulProcessor):
             if step:
                 out.append((time, step))
         if done == len(rows):
-            self.waiting.clear()
+            if rows:
+                self.waiting.clear()
         elif done:
             self.waiting.put(rows[done:])
         if state is None:
-            self.thread.clear()
-        else:
+            if before:
+                self.thread.clear()
+        elif not before or tuple(before) != (state, follow_ups, due):
             self.thread.update((state, follow_ups, due))
-        if due is not None and due != before:
-            self.handle.registerTimer(-(-due // 1000))
+        if done < len(rows) or due is not None:
+            self.handle.registerTimer(-(-min(([rows[done][0]] if done < len(rows) else []) + ([due] if due is not None else [])) // 1000))
         for time, step in out:
             yield Row(thread=key[0], us=time, step=step)
 

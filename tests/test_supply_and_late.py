@@ -88,3 +88,19 @@ def test_thread_steps_in_any_order(spark, tmp_path):
         out = jobs.drained(late.thread_steps(stream, "20 hours", timedelta(hours=8), 1, timedelta(hours=40)))
     got = sorted((r.thread, int((r["at"] - at(0)).total_seconds() // 3600), r.step) for r in out.collect())
     assert got == [(1, 0, "sent"), (1, 5, "replied"), (1, 45, "ended"), (2, 1, "sent"), (2, 9, "follow_up"), (2, 17, "review"), (2, 57, "ended")]
+
+
+def test_a_thread_has_one_timer_for_all_rows_that_came():
+    from leadlens.streaming.late import Threads
+
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, a))
+
+    t = Threads(36, 2, 96)
+    t.handle = t.waiting = t.thread = State()
+    rows = [type("R", (), {"us": us, "row_id": i, "kind": "out"})() for i, us in enumerate((9_000, 5_500, 7_000))]
+    assert list(t.handleInputRows((1,), iter(rows), None)) == []
+    assert [c for c in calls if c[0] == "registerTimer"] == [("registerTimer", (6,))]
