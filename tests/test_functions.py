@@ -79,6 +79,17 @@ def test_dates(spark):
     assert [backed(v, exact) for v in ("2026-03-15", "2026-03-16", "5 March 2026", "March 2026")] == [True, False, False, True]
 
 
+def test_dates_are_found_by_one_pattern(spark):
+    assert [(d.y, d.m, d.d) for d in one(spark, dates.dates_in, "15 March 2024-05-06, No. 2024-01-02-03 of 7 th. of May 2023")] == [(2024, 3, 15), (2024, 5, 6), (2024, 1, 2), (2023, 5, 7)]
+    assert one(spark, dates.dates_in, None) == [] and one(spark, dates.parse_date, "X-2024-05-06 1st May 2020") == "2020-05-01"
+    plan = spark.range(1).select(dates.dates_in(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # no window is made for each token
+
+
+def test_money_behind_signs_of_two_units(spark):
+    assert [(m.currency, m.amount) for m in (one(spark, money.parse_money, t) for t in ("😀😀 USD 5 million", "é 7 bn EUR", "x USD 1,200"))] == [("USD", 5e6), ("EUR", 7e9), ("USD", 1200.0)]
+
+
 def test_numbers(spark):
     backed = lambda v, q: one(spark, money.number_backed, v, q)
     assert backed("14,500,000,000", "valued at Rs 1,450 crore") and backed("24", "120 km of 24-inch") and not backed("25", "24-inch")
