@@ -86,6 +86,13 @@ def test_dates_are_found_by_one_pattern(spark):
     assert "sequence(" not in plan  # no window is made for each token
 
 
+def test_a_backed_date_is_read_once(spark):
+    df = spark.createDataFrame([("2026-03-15", "due by 15 March 2026"), ("soon", "due Soon"), (None, "x")], "v string, q string")
+    out = df.select(evidence.value_backed(F.col("v"), F.col("q"), F.lit("date")).alias("b"))
+    assert [r.b for r in out.collect()] == [True, True, False]
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2 * df.select(dates.dates_in(F.col("v")))._jdf.queryExecution().analyzed().toString().count("regexp_extract_all")
+
+
 def test_money_behind_signs_of_two_units(spark):
     assert [(m.currency, m.amount) for m in (one(spark, money.parse_money, t) for t in ("😀😀 USD 5 million", "é 7 bn EUR", "x USD 1,200"))] == [("USD", 5e6), ("EUR", 7e9), ("USD", 1200.0)]
 
