@@ -32,14 +32,31 @@ def indexed(phrases: DataFrame) -> DataFrame:
     return rows.select("item", "phrase", F.explode(F.array(letters, F.concat(letters, F.lit("s")))).alias("letters"), _cuts(F.col("words")).alias("cuts"))
 
 
-def runs(texts: DataFrame, key: str, text: Column, most: int) -> DataFrame:
-    """(key, span, letters, cuts): runs of up to ``most`` words of a text that nothing but single blanks or hyphens part, each once a span."""
+def beginnings(index: DataFrame) -> DataFrame:
+    """(first): what the first word of a run can be that has an indexed phrase: its words up to a cut, or all its letters."""
+    return index.select(F.explode(F.concat(F.transform("cuts", lambda c: F.substring("letters", F.lit(1), c)), F.array("letters"))).alias("first")).distinct()
+
+
+def runs(texts: DataFrame, key: str, text: Column, most: int, first: DataFrame) -> DataFrame:
+    """(key, span, letters, words): runs of up to ``most`` words of a text that nothing but single blanks or hyphens part, if
+    they begin with a word of ``first``.
+
+    Each word comes as a row with the words behind it, and only rows that can begin a phrase become runs.
+    """
     each = texts.select(key, F.posexplode(spans(text)).alias("span", "part"))
-    chains = F.transform(F.split(F.lower("part"), _BREAK), _words)
-    runs_of = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(w) - i + 1)), lambda n: F.slice(w, i, n))))
-    found = F.flatten(F.transform(F.filter(chains, lambda w: F.size(w) > 0), runs_of))
-    rows = each.select(key, "span", F.explode(F.array_distinct(found)).alias("words"))
-    return rows.select(key, "span", F.array_join("words", "").alias("letters"), _cuts(F.col("words")).alias("cuts"))
+    chains = each.select(key, "span", F.explode(F.split(F.lower("part"), _BREAK)).alias("chain")).select(key, "span", F.array_remove(F.split("chain", r"[\s-]"), "").alias("words"))
+    behind = F.arrays_zip(*(F.slice("words", k + 1, F.greatest(F.size("words"), F.lit(1))).alias(str(k)) for k in range(most)))
+    rows = chains.select(key, "span", F.inline(behind).alias(*(f"w{k}" for k in range(most)))).join(first, F.col("w0") == F.col("first"), "left_semi")
+    words = F.filter(F.array(*(f"w{k}" for k in range(most))), lambda w: w.isNotNull())
+    found = rows.select(key, "span", words.alias("words")).select(key, "span", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("n")).select(key, "span", F.slice("words", F.lit(1), F.col("n")).alias("words"))
+    return found.select(key, "span", F.array_join("words", "").alias("letters"), F.col("words"))
+
+
+def _named(texts: DataFrame, key: str, text: Column, phrases: DataFrame, most: int) -> DataFrame:
+    """hits(), which may repeat."""
+    index = indexed(phrases).withColumnRenamed("cuts", "own")
+    rows = runs(texts, key, text, most, beginnings(index.withColumnRenamed("own", "cuts"))).join(index, "letters").where(F.size(F.array_except(_cuts(F.col("words")), "own")) == 0)
+    return rows.select(key, "span", "item", "phrase")
 
 
 def hits(texts: DataFrame, key: str, text: Column, phrases: DataFrame, most: int = 4) -> DataFrame:
@@ -49,14 +66,12 @@ def hits(texts: DataFrame, key: str, text: Column, phrases: DataFrame, most: int
     phrase's are, or not at all, is tested behind it. Spark sends the dictionary to all tasks if it is small, or else
     shuffles both sides.
     """
-    index = indexed(phrases).withColumnRenamed("cuts", "own")
-    rows = runs(texts, key, text, most).join(index, "letters").where(F.size(F.array_except("cuts", "own")) == 0)
-    return rows.select(key, "span", "item", "phrase").distinct()
+    return _named(texts, key, text, phrases, most).distinct()
 
 
 def items_in(texts: DataFrame, key: str, text: Column, phrases: DataFrame) -> DataFrame:
     """(key, item): the items of which a text has any phrase."""
-    return hits(texts, key, text, phrases).select(key, "item").distinct()
+    return _named(texts, key, text, phrases, 4).select(key, "item").distinct()
 
 
 def evidence_of_items(texts: DataFrame, key: str, text: Column, phrases: DataFrame, context: tuple[str, ...], shortest: int = 5) -> DataFrame:

@@ -60,6 +60,16 @@ def test_dictionary(spark):
     assert found.count() == len(want)
 
 
+def test_one_long_line_is_linear(spark):
+    import time
+
+    words = " ".join(f"w{i}" for i in range(30_000))
+    df = spark.createDataFrame([(1, words + " gate valves " + words), (2, words)], "id long, t string")
+    began = time.perf_counter()
+    got = dictionary.items_in(df, "id", F.col("t"), spark.createDataFrame([("b", "gate valve")], "item string, phrase string")).collect()
+    assert [(r.id, r["item"]) for r in got] == [(1, "b")] and time.perf_counter() - began < 60
+
+
 def test_kinds_of_work(spark):
     uses = [("lng", "lng", True), ("lng", "terminal", True), ("lng", "tank", False), ("lng", "regas", False), ("bare", "boiler", False)]
     df = spark.createDataFrame([(0, "An LNG export terminal."), (1, "LNG here. A terminal there."), (2, "Tanks and regas"), (3, "a tank"), (4, "boilers")], "id long, t string")
