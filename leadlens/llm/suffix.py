@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlens.llm.common import SLICE_BYTES, buffers, give_back, mix, powers, prefix_hash, range_hash, remembered, saved, slices, tidy, utf8, whole_groups
+from leadlens.llm.common import SLICE_BYTES, buffers, give_back, mix, powers, prefix_hash, range_hash, remembered, slices, tidy, utf8, whole_groups
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
@@ -35,6 +35,8 @@ SAMPLE_BYTES, FREQUENT = 8 << 20, 32
 #: Ends a snippet in a shard; no UTF-8 text has this byte.
 SEPARATOR = b"\xff"
 _PLACE = np.uint64((1 << 30) - 1)
+#: The bits of an anchor's hash that blocks exchange, in whose order their entries are.
+_SENT = np.uint64((1 << 48) - 1)
 _KEY = f"S{LENGTH}"
 _NO_ONE = np.iinfo(np.int64).max
 
@@ -130,7 +132,7 @@ class Block:
         self.first_run = np.concatenate([[0], np.cumsum([len(x[0]) for x in own])]).astype(np.int64)
         del own
         bucket = deal.bucket(h, s)
-        order = np.lexsort((d, s, h, bucket))
+        order = np.lexsort((d, s, h & _SENT, bucket))
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (s[order][1:] != s[order][:-1])
         head = order[new]
@@ -155,15 +157,27 @@ _ENTRIES = "block long, bucket long, h binary, s binary, who binary, ids binary"
 _ANSWERS = "block long, kind int, at long, payload binary"
 
 
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Ascending 64-bit values as steps, the first bytes of all, the second of all, ...: what shuffles compress best."""
+    steps = np.diff(values.view(np.uint64), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(packed: bytes, width: int) -> np.ndarray:
+    steps = np.zeros((len(packed) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
+    return np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64)
+
+
 def _send(deal: Deal) -> Callable:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         remembered("suffix")
         b = Block(table, deal)
         out: dict[str, list] = {k: [] for k in ("block", "bucket", "h", "s", "who", "ids")}
-        low = b.h.view(np.uint8).reshape(-1, 8)[:, :6]
+        low = b.h & _SENT
         for lo, hi in zip(b.bounds[:-1].tolist(), b.bounds[1:].tolist(), strict=True):
             ids, who = np.unique(b.least[lo:hi], return_inverse=True)
-            row = (key[0].as_py(), int(b.bucket[lo]), low[lo:hi].tobytes(), b.s[lo:hi].tobytes(), who.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes(), ids.astype("<i8").tobytes())
+            row = (key[0].as_py(), int(b.bucket[lo]), _packed(low[lo:hi], 6), b.s[lo:hi].tobytes(), who.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes(), _packed(ids, 8))
             for x, v in zip(out.values(), row, strict=True):
                 x.append(v)
         give_back()
@@ -176,10 +190,8 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One bucket of anchors: which entries a smaller id has, and which owners must be compared byte by byte."""
     raw = {c: [x.as_py() for x in table.column(c)] for c in ("h", "s", "who", "ids")}
     size = [len(x) // 8 for x in raw["s"]]
-    h = np.zeros((sum(size), 8), np.uint8)
-    h[:, :6] = np.frombuffer(b"".join(raw["h"]), np.uint8).reshape(-1, 6)
-    h, s = h.view(np.uint64)[:, 0], np.frombuffer(b"".join(raw["s"]), np.uint64)
-    d = np.concatenate([np.frombuffer(i, "<i8")[np.frombuffer(w, np.uint16 if 2 * n == len(w) else np.uint32)] for i, w, n in zip(raw["ids"], raw["who"], size, strict=True)])
+    h, s = np.concatenate([_unpacked(x, 6) for x in raw["h"]]), np.frombuffer(b"".join(raw["s"]), np.uint64)
+    d = np.concatenate([_unpacked(i, 8).view(np.int64)[np.frombuffer(w, np.uint16 if 2 * n == len(w) else np.uint32)] for i, w, n in zip(raw["ids"], raw["who"], size, strict=True)])
     order = np.lexsort((d, s, h))
     ho, so, do = h[order], s[order], d[order]
     new_h = np.ones(len(h), bool)
@@ -496,7 +508,7 @@ def _removed(docs: DataFrame, wanted: dict[str, pa.DataType], schema: T.StructTy
     snippets = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_compare(deal), _SNIPPETS)
     settled = snippets.where("parts = 1").repartition("h").sortWithinPartitions("h", "d").mapInArrow(tidy(_settle), _ANSWERS)
     if len(deal.frequent):
-        frequent = saved(snippets.where("parts > 1"))
+        frequent = snippets.where("parts > 1")  # not saved: a job of its own would deal all texts and entries once more
         ranges = frequent.groupBy("h", "salt").applyInArrow(_sorted_runs, _RUNS)
         least = ranges.groupBy("h", "part").applyInArrow(_merge, "h long, salt int, part int, least binary")
         shards = frequent.groupBy("h", "salt").cogroup(least.groupBy("h", "salt")).applyInArrow(_settle_shard, _ANSWERS)

@@ -401,6 +401,13 @@ def test_frequent_anchors_over_tasks(spark, monkeypatch):
     assert got == brute_repeats(data)
 
 
+def test_frequent_anchors_make_no_job_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "_frequent", lambda docs, size: (np.array([7], np.uint64), np.array([2])))
+    assert "LogicalRDD" not in suffix.remove_repeats(spark.range(3).selectExpr("id as doc_id", "repeat(cast(id as string), 60) as text"))._jdf.queryExecution().optimizedPlan().toString()
+    ids = np.array([-(1 << 63), -5, 0, 3, (1 << 63) - 1])
+    assert (suffix._unpacked(suffix._packed(ids, 8), 8).view(np.int64) == ids).all() and not len(suffix._unpacked(b"", 6))
+
+
 def test_without_repeats_keeps_columns(spark):
     import datetime as dt
 
