@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlens.operators.ranking import top_per
+from leadlens.operators.steps import stored
 from leadlens.operators.supply import supply_tree
 from leadlens.registry import Tables, query
 
@@ -14,6 +15,8 @@ BUYS = {"LARGE": ["PROMO", "STANDARD", "MEDIUM"], "PROMO": ["STANDARD", "SMALL"]
 #: Types that a company is known for; days that a relation is remembered (all are older than a deal's own); lines that a user has put in or taken out.
 OWN_TYPES, BIG = 2, 48
 QUOTA, DEPTH = 3, 3
+#: What a line says of its relation; of one day and project the higher one holds.
+SET, REMOVED = 1, 2
 
 _EDGES = ", ".join(f"('{k}', {i}, '{v}')" for k, vs in BUYS.items() for i, v in enumerate(vs))
 _TYPES = ", ".join(f"('{k}')" for k in BUYS)
@@ -67,20 +70,23 @@ WITH edges(kind, pos, type) AS (VALUES {_EDGES}), kinds(kind) AS (VALUES {_TYPES
 
 
 def chain(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(roots, companies, relations, manual) as supply_tree() takes them."""
-    typed = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_quantity", "p_type")
-    counts = typed.groupBy(F.col("l_suppkey").alias("company"), "p_type").agg(F.count("*").alias("n"))
-    own = top_per(counts, ["company"], OWN_TYPES, F.desc("n"), F.col("p_type"), rank="nth").groupBy("company").agg(F.array_sort(F.collect_list(F.struct("nth", "p_type"))).getField("p_type").alias("types"))
+    """(roots, companies, relations, manual) as supply_tree() takes them. Lines meet their parts and their orders once, and are stored."""
+    act = F.when(F.col("l_quantity") >= BIG, F.when(F.col("l_returnflag") == "A", SET).when(F.col("l_returnflag") == "R", REMOVED))
+    typed = t.lineitem.select(F.col("l_orderkey").alias("project"), F.col("l_suppkey").alias("supplier"), "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("day"), act.alias("act"))
+    typed = typed.join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("type"), F.lit(True).alias("known")), "l_partkey", "left")
+    first = F.when(F.col("l_linenumber").isNotNull() & F.col("supplier").isNotNull(), F.struct("l_linenumber", "supplier"))
+    buyer = F.min(first).over(Window.partitionBy("project"))["supplier"]
+    lines = stored(typed.withColumn("buyer", buyer).select("project", "buyer", "supplier", "day", "type", "act", F.coalesce("known", F.lit(False)).alias("known")))
+    counts = lines.where("known").groupBy(F.col("supplier").alias("company"), "type").agg(F.count("*").alias("n"))
+    own = top_per(counts, ["company"], OWN_TYPES, F.desc("n"), F.col("type"), rank="nth").groupBy("company").agg(F.array_sort(F.collect_list(F.struct("nth", "type"))).getField("type").alias("types"))
     places = F.broadcast(t.nation.select(F.col("n_nationkey").alias("place"), F.col("n_regionkey").alias("region")))
     companies = t.supplier.select(F.col("s_suppkey").alias("company"), F.col("s_nationkey").alias("place")).join(own, "company", "left").join(places, "place", "left")
-    companies = companies.select("company", F.coalesce("types", F.array().cast("array<string>")).alias("types"), "place", "region")
-    prime = typed.groupBy(F.col("l_orderkey").alias("project")).agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("buyer"))
-    lines = typed.join(prime, F.col("l_orderkey") == F.col("project")).where("l_suppkey != buyer").select("buyer", F.col("l_suppkey").alias("supplier"), "project", F.to_date("l_shipdate").alias("day"), "p_type", "l_returnflag", "l_quantity")
-    acts = lines.where(F.col("l_returnflag").isin("R", "A") & (F.col("l_quantity") >= BIG))
-    manual = acts.select(F.col("buyer").alias("parent"), F.col("p_type").alias("type"), F.col("supplier").alias("company"), F.when(F.col("l_returnflag") == "R", "removed").otherwise("set").alias("action"), F.struct("day", "project", "l_returnflag").alias("at"))
-    newest = prime.join(t.orders, F.col("o_orderkey") == F.col("project")).groupBy("buyer").agg(F.max_by("project", F.struct(F.to_date("o_orderdate").alias("d"), "project")).alias("project"))
+    companies = stored(companies.select("company", F.coalesce("types", F.array().cast("array<string>")).alias("types"), "place", "region"))
+    later = lines.where("known and project is not null and supplier != buyer")
+    manual = later.where("act is not null").select(F.col("buyer").alias("parent"), "type", F.col("supplier").alias("company"), F.when(F.col("act") == REMOVED, "removed").otherwise("set").alias("action"), F.struct("day", "project", "act").alias("at"))
+    newest = lines.where("supplier = buyer").join(t.orders, F.col("o_orderkey") == F.col("project")).groupBy("buyer").agg(F.max_by("project", F.struct(F.to_date("o_orderdate").alias("d"), "project")).alias("project"))
     roots = newest.join(companies, F.col("buyer") == F.col("company")).select(F.col("company").alias("root"), "company", F.get("types", F.lit(0)).alias("type"), "project")
-    return roots, companies, lines.select("buyer", "supplier", "project", "day"), manual
+    return roots, companies, later.select("buyer", "supplier", "project", "day"), manual
 
 
 @query(TREE_SQL)

@@ -104,3 +104,31 @@ def test_a_thread_has_one_timer_for_all_rows_that_came():
     rows = [type("R", (), {"us": us, "row_id": i, "kind": "out"})() for i, us in enumerate((9_000, 5_500, 7_000))]
     assert list(t.handleInputRows((1,), iter(rows), None)) == []
     assert [c for c in calls if c[0] == "registerTimer"] == [("registerTimer", (6,))]
+
+
+def test_tree_of_odd_lines_and_what_it_stores(spark, sf_dir, tmp_path):
+    """Lines whose part or supplier isn't known, without a number, or with a part that is there twice; what is stored is a few bytes a line."""
+    import subprocess
+
+    import duckdb
+
+    from leadlens.catalog import oracle_sql
+
+    con = duckdb.connect()
+    for name in ("lineitem", "part", "supplier", "orders", "nation"):
+        con.execute(f"CREATE TABLE {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    con.execute("UPDATE lineitem SET l_partkey = 1000000 + l_partkey WHERE l_partkey % 3 = 0")
+    con.execute("UPDATE lineitem SET l_suppkey = 7000 WHERE l_orderkey % 5 = 0 AND l_linenumber = 2")
+    con.execute("UPDATE lineitem SET l_suppkey = NULL WHERE l_orderkey % 7 = 0 AND l_linenumber = 1")
+    con.execute("UPDATE lineitem SET l_orderkey = NULL WHERE l_orderkey % 11 = 0")
+    con.execute("INSERT INTO part SELECT * FROM part WHERE p_partkey % 4 = 1")
+    for name in ("lineitem", "part", "supplier", "orders", "nation"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    want = sorted(con.execute(oracle_sql()["supply_chain_tree"]).fetchall(), key=str)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path / "steps"))
+    size = lambda: int(subprocess.run(["du", "-sb", spark.sparkContext.getCheckpointDir().removeprefix("file:")], capture_output=True, text=True).stdout.split()[0])
+    before = size()
+    got = queries()["supply_chain_tree"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == want and {r[6] for r in want} >= {"confirmed", "likely"}
+    assert size() - before < 60 * con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
