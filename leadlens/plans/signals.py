@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +23,13 @@ def _rows(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*map(cell, COLUMNS))
 
 
-def signals(parties: DataFrame, edges: DataFrame, stages: DataFrame, tenders: DataFrame, jobs: DataFrame, as_of: dt.date) -> DataFrame:
-    """type, signal_date, company_id, project_id, package_id, tender_ref and evidence_id of all events that the facts tell.
+def projects(parties: DataFrame, edges: DataFrame, stages: DataFrame, tenders: DataFrame, as_of: dt.date) -> DataFrame:
+    """type, signal_date, company_id, project_id, package_id, tender_ref and evidence_id of all events that facts of projects tell.
 
     parties: project_id, company_id, role, package_id, award_date, seen (the earliest evidence). edges: type, from_id, to_id,
     project_id, package_id, event_date, seen. stages: project_id, owner_id, stage, event_date, seen, tendered. tenders:
-    project_id, buyer_id, package_id, ref, issued, closing, status, route. jobs: project_id, company_id, posted. All have
-    evidence_id. Events without a day of their own have that of their evidence, or today's.
+    project_id, buyer_id, package_id, ref, issued, closing, status, route. All have evidence_id. Events without a day of their
+    own have that of their evidence, or today's.
     """
     today = F.lit(as_of)
     day = lambda *c: F.coalesce(*c, today)
@@ -46,8 +47,17 @@ def signals(parties: DataFrame, edges: DataFrame, stages: DataFrame, tenders: Da
     route = F.when(F.col("route") == "prequal", "prequalification_opened").when(F.col("route") == "vendor_registration", "vendor_registration_opened").otherwise("tender_released")
     opened = _rows(open_, type=route, signal_date=day(F.col("issued")), company_id=F.col("buyer_id"), tender_ref=F.col("ref"))
     closing = _rows(open_.where(F.datediff("closing", today).between(*SOON)), type=F.lit("tender_closing_soon"), signal_date=today, company_id=F.col("buyer_id"), tender_ref=F.col("ref"))
-    hiring = _rows(jobs, type=F.lit("hiring_project_roles"), signal_date=day(F.col("posted")))
-    return reduce(DataFrame.unionByName, [awarded, related, at_stage, opened, closing, hiring])
+    return reduce(DataFrame.unionByName, [awarded, related, at_stage, opened, closing])
+
+
+def hiring(jobs: DataFrame, as_of: dt.date) -> DataFrame:
+    """The same of job posts: project_id, company_id, posted, evidence_id."""
+    return _rows(jobs, type=F.lit("hiring_project_roles"), signal_date=F.coalesce("posted", F.lit(as_of)))
+
+
+def signals(parties: DataFrame, edges: DataFrame, stages: DataFrame, tenders: DataFrame, jobs: DataFrame, as_of: dt.date) -> DataFrame:
+    """All events of projects() and hiring()."""
+    return projects(parties, edges, stages, tenders, as_of).unionByName(hiring(jobs, as_of))
 
 
 def fingerprint() -> Column:
@@ -56,29 +66,45 @@ def fingerprint() -> Column:
     return F.sha1(F.concat_ws("|", *map(part, ("type", "company_id", "project_id", "package_id", "tender_ref")), F.date_format("signal_date", "yyyy-MM")))
 
 
-def upserted(rows: DataFrame) -> DataFrame:
-    """One row for each event with the evidence of all its sources; a second source adds to the first and never makes a second row."""
+def _each(parts: Sequence[DataFrame], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, map(made, parts))
+
+
+def upserted(*parts: DataFrame) -> DataFrame:
+    """One row for each event with the evidence of all its sources; a second source adds to the first and never makes a second row.
+
+    Signals may come in several parts that have no event in common. A part whose facts are dealt by project_id isn't shuffled.
+    """
+    keys = [c for c in COLUMNS if c not in ("signal_date", "evidence_id")]
+
+    def made(rows: DataFrame) -> DataFrame:
+        # An event is its keys and its month: the longer fingerprint is made of each event once. What is told twice is one row before lists are made.
+        told = rows.withColumn("month", F.trunc("signal_date", "month")).groupBy(*keys, "month", "evidence_id").agg(F.min("signal_date").alias("signal_date"))
+        each = told.groupBy(*keys, "month").agg(F.min("signal_date").alias("signal_date"), F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
+        return each.select(fingerprint().alias("fingerprint"), *keys, "signal_date", "evidence_ids")
+
+    return _each(parts, made)
+
+
+def named(*parts: DataFrame) -> DataFrame:
+    """The events of upserted() that suggest leads, with their keys alone: what candidates() needs of them."""
     keys = [c for c in COLUMNS if c not in ("signal_date", "evidence_id")]
-    # An event is its keys and its month: the longer fingerprint is made of each event once, behind the shuffle. What is told twice is one row before lists are made.
-    dealt = rows.withColumn("month", F.trunc("signal_date", "month")).repartition(*keys, "month")
-    told = dealt.groupBy(*keys, "month", "evidence_id").agg(F.min("signal_date").alias("signal_date"))
-    each = told.groupBy(*keys, "month").agg(F.min("signal_date").alias("signal_date"), F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
-    return each.select(fingerprint().alias("fingerprint"), *keys, "signal_date", "evidence_ids")
+    suggest = F.col("company_id").isNotNull() & F.col("type").isin(*BID, *SUPPLY)
+    return _each(parts, lambda rows: rows.where(suggest).select(*keys, F.trunc("signal_date", "month").alias("month")).distinct())
 
 
-def candidates(events: DataFrame, packages: DataFrame) -> DataFrame:
+def candidates(events: DataFrame, packages: DataFrame | None) -> DataFrame:
     """kind, buyer_id, project_id, package_id and the number of signals of every lead that the events suggest.
 
-    packages: project_id, package_id, owner_id (null if nobody's). Calls for bids are leads on their own project. A buyer
-    without a package is a lead on each package of the project that it or nobody owns; an award whose project has none
-    stays one lead.
+    ``events``: a row for each. packages: project_id, package_id, owner_id (null if nobody's), each package once; None if no
+    event is of a project. Calls for bids are leads on their own project. A buyer without a package is a lead on each package
+    of the project that it or nobody owns; an award whose project has none stays one lead.
     """
-    named = events.where("company_id is not null").withColumnRenamed("company_id", "buyer_id")
     bid, supply = F.col("type").isin(*BID), F.col("type").isin(*SUPPLY)
-    columns = ["kind", "buyer_id", "project_id", "package_id", "fingerprint"]
-    direct = named.where(bid | (supply & (F.col("package_id").isNotNull() | F.col("project_id").isNull()))).withColumn("kind", F.when(bid, "bid").otherwise("supply_subcontract")).select(*columns)
-    open_ = named.where(supply & F.col("package_id").isNull() & F.col("project_id").isNotNull()).drop("package_id").withColumn("kind", F.lit("supply_subcontract"))
-    met = open_.join(packages.select("project_id", "package_id", "owner_id", F.lit(True).alias("met")), "project_id", "left")
-    own = met.where("met is null or owner_id is null or owner_id = buyer_id").select(*columns)
-    all_ = direct.unionByName(own)
-    return all_.groupBy("kind", "buyer_id", "project_id", "package_id").agg(F.count_distinct("fingerprint").alias("signals"))
+    told = events.where(F.col("company_id").isNotNull() & (bid | supply)).withColumnRenamed("company_id", "buyer_id").withColumn("kind", F.when(bid, "bid").otherwise("supply_subcontract"))
+    if packages is not None:
+        # Leads that are open to packages meet them; the others pass once.
+        open_ = supply & F.col("package_id").isNull()
+        met = told.withColumn("open", open_).join(packages.select(F.col("project_id").alias("of"), F.col("package_id").alias("on"), "owner_id", F.lit(True).alias("met")), F.col("open") & (F.col("project_id") == F.col("of")), "left")
+        told = met.where("met is null or owner_id is null or owner_id = buyer_id").withColumn("package_id", F.coalesce("package_id", "on"))
+    return told.groupBy("kind", "buyer_id", "project_id", "package_id").agg(F.count("*").alias("signals"))

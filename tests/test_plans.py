@@ -84,3 +84,41 @@ def test_candidates_read_their_facts_few_times(spark, sf_dir):
     reads = lambda name: queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate")
     scans = lambda name: queries()[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString().count("lineitem.parquet")
     assert reads("signal_upsert") and scans("signal_upsert") <= 2 and scans("build_candidates") <= 5
+
+
+def test_events_stay_where_their_order_lies(spark, sf_dir):
+    """Orders' events are grouped, and meet their packages, without a shuffle or a list of their own: only tables are dealt, by order."""
+    from leadlens.catalog import queries
+
+    for name in ("build_candidates", "signal_upsert"):
+        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and not [line for line in dealt if "project_id" in line or "l_suppkey" in line or "fingerprint" in line], name
+
+
+def test_candidates_of_odd_lines(spark, sf_dir, tmp_path):
+    import duckdb
+
+    from leadlens.catalog import oracle_sql, queries
+
+    con, tables = duckdb.connect(), ("lineitem", "orders", "events")
+    for name in tables:
+        con.execute(f"CREATE TABLE {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    con.execute("UPDATE lineitem SET l_suppkey = NULL WHERE l_orderkey % 7 = 0 AND l_linenumber < 3")
+    con.execute("UPDATE lineitem SET l_orderkey = NULL WHERE l_orderkey % 11 = 0")
+    con.execute("UPDATE lineitem SET l_partkey = 1 WHERE l_orderkey % 5 = 0")
+    con.execute("INSERT INTO lineitem SELECT * FROM lineitem WHERE l_orderkey % 3 = 0")
+    con.execute("UPDATE orders SET o_custkey = NULL WHERE o_orderkey % 17 = 0")
+    con.execute("UPDATE events SET user_id = NULL WHERE event_id % 9 = 0")
+    for name in tables:
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    for name in ("build_candidates", "signal_upsert"):
+        want = sorted(con.execute(oracle_sql()[name]).fetchall(), key=str)
+        assert sorted(map(tuple, queries()[name](spark, str(tmp_path)).collect()), key=str) == want, name
+
+
+def test_named_events_give_the_same_candidates(spark):
+    rows = spark.createDataFrame([("tender_released", D(2024, 5, d), 1, 2, None, "T", d) for d in (1, 2, 31)] + [("contract_awarded", D(2024, m, 3), 4, 2, None, None, m) for m in (1, 2)] + [("hiring_project_roles", D(2024, 1, 1), 4, None, None, None, 9), ("tender_closing_soon", D(2024, 1, 1), 4, 2, None, None, 9), ("contract_awarded", D(2024, 1, 1), None, 2, 7, None, 9)], "type string, signal_date date, company_id long, project_id long, package_id long, tender_ref string, evidence_id long")
+    packages = spark.createDataFrame([(2, 7, None), (2, 8, 4), (2, 9, 1)], "project_id long, package_id long, owner_id long")
+    got = [sorted(map(tuple, signals.candidates(made(rows), packages).collect()), key=str) for made in (signals.upserted, signals.named)]
+    assert got[0] == got[1] == sorted([("bid", 1, 2, None, 1), ("supply_subcontract", 4, 2, 7, 2), ("supply_subcontract", 4, 2, 8, 2), ("supply_subcontract", 4, None, None, 1)], key=str)
